@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact, pieces, simhash
+from . import bpe, exact, mixing, pieces, simhash
 from .common import read
 
 
@@ -13,6 +14,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents")).drop("_row")
 
@@ -26,7 +32,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op7_simhash, op8_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op7_simhash, op8_token_counts, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH d AS (
