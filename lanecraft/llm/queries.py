@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, pieces, simhash
+from . import bpe, exact, jpeg, mixing, pieces, simhash
 from .common import read
 
 
@@ -27,12 +27,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.features(read(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op7_simhash, op8_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op7_simhash, op8_token_counts, op9_jpeg, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH d AS (
