@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jpeg, mixing, pieces, simhash
+from . import bpe, exact, jpeg, mixing, pieces, simhash, toxicity
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents")).drop("_row")
 
@@ -36,7 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op7_simhash, op8_token_counts, op9_jpeg, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_toxicity, op7_simhash, op8_token_counts, op9_jpeg, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH d AS (
