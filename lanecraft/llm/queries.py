@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jpeg, mixing, pieces, simhash, toxicity
+from . import bpe, exact, jpeg, mixing, passages, pieces, simhash, toxicity
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(read(spark, sf_dir, "documents"), kept_bytes=False).drop("_row")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents")).drop("_row")
 
@@ -40,7 +44,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_toxicity, op7_simhash, op8_token_counts, op9_jpeg, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_toxicity, op6_passages, op7_simhash, op8_token_counts, op9_jpeg, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH d AS (
