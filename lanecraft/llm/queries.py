@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jpeg, mixing, passages, pieces, simhash, toxicity
+from . import bpe, exact, jpeg, mixing, pages, passages, pieces, secrets, simhash, toxicity
 from .common import read
 
 
@@ -14,6 +14,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read(spark, sf_dir, "documents"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(read(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
@@ -44,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_toxicity, op6_passages, op7_simhash, op8_token_counts, op9_jpeg, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op3_main_text, op4_mixing, op5_toxicity, op6_passages, op7_simhash, op8_token_counts, op9_jpeg, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH d AS (
