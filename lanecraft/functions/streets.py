@@ -99,10 +99,14 @@ def mapped(value: Column, options: dict) -> Column:
     return out
 
 
-def classified(t: Tags) -> dict[str, Column]:
-    """lts, path_level, car_free, bike_priority, bike_infra, speed_kmh, density, surface and smoothness of a way."""
-    highway, bicycle, lane = t("highway"), t("bicycle"), lane_kind(t)
-    speed, lanes = number(t("maxspeed")), number(t("lanes"))
+def classified(t: Tags, lane: Column | None = None, speed: Column | None = None, lanes: Column | None = None) -> dict[str, Column]:
+    """lts, path_level, car_free, bike_priority, bike_infra, speed_kmh, density, surface and smoothness of a way.
+
+    ``lane``, ``speed`` and ``lanes`` are columns that hold what ``lane_kind`` and ``number`` say, if there are any.
+    """
+    highway, bicycle = t("highway"), t("bicycle")
+    lane = lane_kind(t) if lane is None else lane
+    speed, lanes = number(t("maxspeed")) if speed is None else speed, number(t("lanes")) if lanes is None else lanes
     road = is_(t("bicycle_road"), "yes") | is_(t("cyclestreet"), "yes")
     on_foot = is_(highway, "footway") & is_in(bicycle, ("yes", "designated"))
     on_path = is_(highway, "path") & ~is_(bicycle, "no")

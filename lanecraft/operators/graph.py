@@ -15,9 +15,17 @@ FLAT = streets.flat
 
 
 def with_class(ways: DataFrame, t: streets.Tags = FLAT) -> DataFrame:
-    """``ways`` with the columns of its classification and ``item``."""
-    out = ways.withColumns(streets.classified(t))
-    return out.withColumn("item", streets.item(t, F.col("path_level")))
+    """``ways`` with the columns of its classification and ``item``.
+
+    In steps, each a projection whose columns the next one names: written as one expression, what they share would be
+    spelled out again at each use, beyond what a generated method can hold.
+    """
+    first = {"_lane": streets.lane_kind(t), "_speed": streets.number(t("maxspeed")), "_lanes": streets.number(t("lanes"))}
+    found = streets.classified(t, F.col("_lane"), F.col("_speed"), F.col("_lanes"))
+    found.pop("path_level")
+    flags = ("car_free", "bike_priority", "bike_infra", "speed_kmh")
+    out = ways.withColumns(first).withColumns(found).withColumn("path_level", streets.path_level(F.col("lts"), *map(F.col, flags)))
+    return out.withColumn("item", streets.item(t, F.col("path_level"))).drop(*first)
 
 
 def decided(classed: DataFrame, modes: DataFrame) -> DataFrame:
@@ -102,11 +110,11 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     seen = starts.select("mode", "node").distinct().checkpoint()
     front = seen
     while True:
-        step = front.join(links, (front["mode"] == links["mode"]) & (front["node"] == links["src"])).select(links["mode"], F.col("dst").alias("node")).distinct()
+        step = front.withColumnRenamed("node", "src").join(links, ["mode", "src"]).select("mode", F.col("dst").alias("node")).distinct()
         front = step.join(seen, ["mode", "node"], "left_anti").checkpoint()
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front)
 
 
 def dijkstra(links: dict[int, list[tuple[int, float]]], start: int, goals: set[int]) -> tuple[dict[int, float], dict[int, int]]:
@@ -148,6 +156,7 @@ def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
                 out += [(mode, pair, i, node, cost[node]) for i, node in enumerate(reversed(path))]
         return pd.DataFrame(out, columns=["mode", "pair", "idx", "node", "cost"])
 
+    pairs = pairs.toDF(*pairs.columns)  # new columns even where pairs come from the edges
     return edges.groupBy("mode", "region").cogroup(pairs.groupBy("mode", "region")).applyInPandas(run, "mode string, pair long, idx int, node long, cost double")
 
 

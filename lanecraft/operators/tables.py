@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lanecraft.functions import geo, streets
 
+from . import graph
+
 DAY_MS = 86_400_000
 
 
@@ -50,8 +52,8 @@ def audit_groups(ways: DataFrame, samples: int = 5, t: streets.Tags = streets.fl
 
     Samples are the smallest ids; they are cut before they are gathered, so a group of any size sends a few from each task.
     """
-    once = ways.dropDuplicates(["way_id"])
-    keyed = once.select("way_id", streets.signature(t).alias("signature"), streets.item(t, streets.classified(t)["path_level"]).alias("item"), (geo.length(F.col("coords")) / 1000).alias("km"))
+    once = graph.with_class(ways.dropDuplicates(["way_id"]), t)
+    keyed = once.select("way_id", streets.signature(t).alias("signature"), "item", (geo.length(F.col("coords")) / 1000).alias("km"))
     sums = keyed.groupBy("signature", "item").agg(F.count("*").alias("ways"), F.sum("km").alias("km"))
     first = latest(keyed, ["signature", "item"], [F.col("way_id").asc()], samples).groupBy("signature", "item").agg(F.array_join(F.array_sort(F.collect_list(F.col("way_id"))), ",").alias("samples"))
     return sums.join(first, (sums["signature"] == first["signature"]) & sums["item"].eqNullSafe(first["item"])).select(sums["signature"], sums["item"], "ways", "km", "samples")
