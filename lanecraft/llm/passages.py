@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, text, with_row
+from .common import LAST_ID, text, with_row
 
 LEAST = 50
 GRAM = 20
@@ -115,7 +116,8 @@ def grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 INT32S, INT64S = pa.list_(pa.int32()), pa.list_(pa.int64())
 KEYS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("once", INT32S), ("often", INT32S)])
 SHARED = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("names", INT32S)])
-STRINGS = pa.schema([("bucket", pa.int64()), ("keys", INT64S), ("ids", INT64S), ("rows", INT64S), ("starts", INT64S), ("lengths", INT64S), ("data", pa.binary())])
+STRINGS = pa.schema([("bucket", pa.int64()), ("keys", INT64S), ("ids", INT64S), ("rows", INT64S), ("starts", INT32S), ("lengths", INT32S), ("data", pa.binary())])
+PACKED = pa.schema([("slice", pa.int64()), ("rows", INT64S), ("doc_ids", INT64S), ("lengths", INT64S), ("data", pa.binary())])
 SPANS = pa.schema([("slice", pa.int64()), ("_row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -124,6 +126,30 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of a slice as one row, compressed: they go through two shuffles."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        slices = batch.column("slice").to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)] if len(slices) else []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            texts = [v.as_py() for v in batch.column("bytes").slice(a, b - a)]
+            rows, ids = (batch.column(c).slice(a, b - a).to_pylist() for c in ("_row", "doc_id"))
+            line = [[int(slices[a])], [rows], [ids], [list(map(len, texts))], [squeeze(b"".join(texts))]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(line, PACKED.types, strict=True)], schema=PACKED)
+
+
+def unpacked(table: pa.Table) -> list[tuple[int, int | None, bytes]]:
+    """_row, doc_id and bytes of a slice's documents."""
+    out, expand = [], zstandard.ZstdDecompressor().decompress
+    for line in table.to_pylist():
+        data, at = expand(line["data"], max_output_size=sum(line["lengths"])) if sum(line["lengths"]) else b"", 0
+        for row, doc_id, n in zip(line["rows"], line["doc_ids"], line["lengths"], strict=True):
+            out.append((row, doc_id, data[at : at + n]))
+            at += n
+    return sorted(out, key=lambda x: x[0])
+
+
 def said(buckets: int):
     """First round, in a slice: which keys it has in one document and which in more."""
 
@@ -184,9 +210,8 @@ def told(buckets: int):
             return none
         names = [(np.uint64(b) << np.uint64(32)) | v.to_numpy().view(np.uint32) for b, v in zip(shared.column("bucket").to_numpy(), (x.values for x in shared.column("names")), strict=True)]
         wanted = np.sort(np.concatenate(names))
-        documents = documents.sort_by("_row")
-        texts = [v.as_py() for v in documents.column("bytes")]
-        ids, rows = documents.column("id").to_numpy(), documents.column("_row").to_numpy()
+        rows, ids, texts = zip(*unpacked(documents), strict=True)
+        ids = [LAST_ID if i is None else i for i in ids]
         held: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
         key_of: dict[bytes, int] = {}
         for document, start, stop, key in runs(texts):
@@ -196,7 +221,7 @@ def told(buckets: int):
             keep = np.flatnonzero(wanted[at] == code)
             for d, a, b, k in zip(document[keep].tolist(), start[keep].tolist(), (stop[keep] + LEAST).tolist(), key[keep].view(np.int64).tolist(), strict=True):
                 string = texts[d][a:b]
-                held[string].append((int(ids[d]), int(rows[d]), a))
+                held[string].append((ids[d], rows[d], a))
                 key_of[string] = k
         out, later = defaultdict(list), []
         for string, places in held.items():
@@ -240,7 +265,7 @@ def previous_factors(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def settled(table: pa.Table) -> pa.Table:
     """Second round, in a bucket: the spans of the suffixes whose longest previous factor is LEAST or more."""
     columns = {n: np.concatenate([v.values.to_numpy() for v in table.column(n)]) for n in ("keys", "ids", "rows", "starts", "lengths")}
-    key, ids, rows, starts, lengths = columns.values()
+    key, ids, rows, starts, lengths = (c.astype(np.int64) for c in columns.values())
     spans: list[np.ndarray] = []
     if table.column("bucket")[0].as_py() < 0:
         spans.append(np.stack([rows, starts, starts + lengths]))
@@ -295,8 +320,8 @@ def removed(documents: pa.Table, spans: pa.Table) -> pa.Table:
     order = np.argsort(row, kind="stable")
     row, start, stop = row[order], spans.column("start").to_numpy()[order], spans.column("stop").to_numpy()[order]
     out = []
-    for own, doc_id, value in zip(documents.column("_row").to_numpy().tolist(), documents.column("doc_id").to_pylist(), documents.column("bytes"), strict=True):
-        data = np.frombuffer(value.as_py(), np.uint8)
+    for own, doc_id, value in unpacked(documents):
+        data = np.frombuffer(value, np.uint8)
         a, b = np.searchsorted(row, [own, own + 1])
         depth = np.zeros(len(data) + 1, np.int64)
         np.add.at(depth, start[a:b], 1)
@@ -314,14 +339,14 @@ def without_repeats(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
     Null texts are empty; texts below LEAST bytes never change. A document without id counts as later than all others;
     rows with the same id never remove each other's bytes. ``docs`` must come straight from files or a checkpoint.
     """
-    rows = with_row(docs).select("_row", "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), text().cast("binary").alias("bytes"))
+    rows = with_row(docs).select("_row", "doc_id", text().cast("binary").alias("bytes"))
     rows = rows.withColumn("slice", F.shiftright("_row", SLICE_BITS))
     size = docs.agg(F.sum(F.octet_length(text()))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     keyed = rows.select("slice", "bytes").mapInArrow(said(buckets), ddl(KEYS))
     shared = keyed.groupBy("bucket").applyInArrow(met, ddl(SHARED))
-    own = rows.select("slice", "_row", "doc_id", "id", "bytes")
-    strings = cut(own.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(told(buckets), ddl(STRINGS)))
+    own = rows.select("slice", "_row", "doc_id", "bytes").mapInArrow(packed, ddl(PACKED))
+    strings = own.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(told(buckets), ddl(STRINGS))
     # What a slice has settled itself needs no meeting, so those rows may stay where they are.
     apart = strings.withColumn("part", F.when(F.col("bucket") < 0, F.xxhash64("rows") % 1024).otherwise(0))
     spans = apart.groupBy("bucket", "part").applyInArrow(lambda t: settled(t), ddl(SPANS))
