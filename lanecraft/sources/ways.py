@@ -93,8 +93,9 @@ def ways_of_elements(rows: DataFrame) -> DataFrame:
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark runs, one JSON object per line; lines that are no JSON are skipped."""
     schema = "date string, version string, samples long, clientPct double, valhallaPct double, brouterPct double, google double, _bad string"
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull()).drop("_bad")
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"))
+    return rows.where(F.col("r._bad").isNull()).select("r.*").drop("_bad")
 
 
 def write_tiles(ways: DataFrame, path: str) -> None:
