@@ -117,6 +117,27 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)
 
 
+def reachable_in_regions(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """The same for ``edges(mode, region, src, dst)`` that stay in their region and ``starts(mode, region, node)``: one task for a region's graph."""
+
+    def run(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        links = defaultdict(list)
+        for s, d in zip(graph["src"].tolist(), graph["dst"].tolist(), strict=True):
+            links[s].append(d)
+        seen = set(asked["node"].tolist())
+        stack = list(seen)
+        while stack:
+            for node in links.get(stack.pop(), ()):
+                if node not in seen:
+                    seen.add(node)
+                    stack.append(node)
+        mode = asked["mode"].iloc[0] if len(asked) else None
+        return pd.DataFrame({"mode": [mode] * len(seen), "node": sorted(seen)})
+
+    links = edges.select("mode", "region", "src", "dst").distinct()
+    return links.groupBy("mode", "region").cogroup(starts.groupBy("mode", "region")).applyInPandas(run, "mode string, node long")
+
+
 def dijkstra(links: dict[int, list[tuple[int, float]]], start: int, goals: set[int]) -> tuple[dict[int, float], dict[int, int]]:
     """Costs and predecessors, until all goals are settled."""
     cost, before, done, heap, left = {start: 0.0}, {}, set(), [(0.0, start)], set(goals)

@@ -63,3 +63,14 @@ def apart_from(rest: DataFrame, primary: DataFrame, box: float = 0.0005) -> Data
     there = rest.withColumn("row", geo.tile(F.col("lat"), box * 2)).withColumn("col", geo.tile(F.col("lng"), box * 2))
     near = (F.abs(F.col("plat") - F.col("lat")) <= box) & (F.abs(F.col("plng") - F.col("lng")) <= box)
     return there.join(cells, (there["row"] == cells["row"]) & (there["col"] == cells["col"]) & near, "left_anti").drop("row", "col")
+
+
+def way_of_segment(points: DataFrame, vertices: DataFrame, box: float = 0.002) -> DataFrame:
+    """route, way_id and hits: of the ways within ``box`` of most of a route's points the one with the least sum of distances."""
+    asked = points.select("route", "idx", F.col("lat").alias("plat"), F.col("lng").alias("plng"), F.explode(around(box)).alias("c")).select("route", "idx", "plat", "plng", "c.*")
+    there = vertices.select("way_id", "lat", "lng").withColumn("row", geo.tile(F.col("lat"), box)).withColumn("col", geo.tile(F.col("lng"), box))
+    dlat, dlng = F.abs(F.col("plat") - F.col("lat")), F.abs(F.col("plng") - F.col("lng"))
+    met = asked.join(there, ["row", "col"]).where((dlat < box) & (dlng < box)).groupBy("route", "way_id", "idx").agg(F.min(dlat + dlng).alias("far"))
+    sums = met.groupBy("route", "way_id").agg(F.count("*").alias("hits"), F.round(F.sum("far"), 9).alias("far"))
+    best = sums.groupBy("route").agg(F.min(F.struct((-F.col("hits")).alias("n"), "far", "way_id")).alias("b"))
+    return best.select("route", F.col("b.way_id").alias("way_id"), (-F.col("b.n")).alias("hits"))

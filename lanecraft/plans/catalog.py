@@ -159,7 +159,9 @@ _LEGEND = ", ".join(f"({O.text(m)}, {O.text(i)}, {O.text(lv)}, {i in dims.prefer
 @query(f"WITH {O.CLS}, l AS (SELECT * FROM (VALUES {_LEGEND}) t(mode, item, level, preferred, optional)) SELECT mode, coalesce(l.level, path_level) AS display, preferred, optional, count(*) AS ways FROM cls JOIN l USING (item) GROUP BY ALL")
 def legend_levels(spark, sf):
     both = dims.legend(spark).join(dims.legend(spark, True).select("mode", "item", F.col("preferred").alias("optional")), ["mode", "item"])
-    rows = classed(spark, sf).groupBy("item", "path_level").agg(F.count("*").alias("n")).join(F.broadcast(both), "item")
+    rows = classed(spark, sf).groupBy("item", "path_level").agg(F.count("*").alias("n"))
+    # The key is never null, so no null test is pushed down into the classification.
+    rows = rows.withColumn("item", F.coalesce("item", F.lit(""))).join(F.broadcast(both), "item")
     return rows.groupBy("mode", F.coalesce("level", "path_level").alias("display"), "preferred", "optional").agg(F.sum("n").alias("ways"))
 
 
@@ -263,15 +265,20 @@ _START = (O.LAT0 + 9_000_000) * 100_000_000 + O.LNG0 + 18_000_000
     SELECT mode, count(*) AS nodes, sum(node % 1000003)::BIGINT AS check_sum FROM reach GROUP BY mode"""
 )
 def reachable_set(spark, sf):
-    starts = spark.range(1).select(F.lit(MODE).alias("mode"), F.lit(_START).cast("long").alias("node"))
-    found = graph.reachable(all_edges(spark, sf).where(F.col("mode") == MODE), starts)
+    starts = spark.range(1).select(F.lit(MODE).alias("mode"), F.lit(0).cast("long").alias("region"), F.lit(_START).cast("long").alias("node"))
+    links = _with_region(all_edges(spark, sf).where(F.col("mode") == MODE))
+    found = graph.reachable_in_regions(links, starts)
     return found.groupBy("mode").agg(F.count("*").alias("nodes"), F.sum(F.col("node") % 1000003).alias("check_sum"))
 
 
+def _with_region(links: DataFrame) -> DataFrame:
+    """Edges with the district of their grid, which no edge leaves."""
+    return links.withColumn("region", F.floor((F.col("src") / 100_000_000 - 9_000_000 - src.LAT0) / (src.LAT_STEP * 40)).cast("long"))
+
+
 def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Edges with their district, and a pair for each of its edge nodes that is 97 apart."""
-    district = F.floor((F.col("src") / 100_000_000 - 9_000_000 - src.LAT0) / (src.LAT_STEP * 40)).cast("long")
-    links = graph.last_edges(all_edges(spark, sf)).withColumn("region", district)
+    """Edges with their district, and for each district and mode the pair of its first and last node."""
+    links = _with_region(graph.last_edges(all_edges(spark, sf)))
     ends = links.groupBy("mode", "region").agg(F.min("src").alias("src"), F.max("src").alias("dst"))
     return links, ends.withColumn("pair", F.col("region"))
 
@@ -559,3 +566,107 @@ def polyline_decode(spark, sf):
     line = T.polyline(F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@"), 5)
     rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.posexplode(line).alias("idx", "p"))
     return rows.select("id", "idx", "p.lat", "p.lng")
+
+
+# --- Further reports, lookups and sources ---
+
+
+@query(f"WITH {O.CLS}, {O.LEGS}, t AS (SELECT highway, path_level, sum(metres) AS m FROM cls JOIN lengths USING (way_id) GROUP BY ALL) SELECT highway, path_level, round(m / sum(m) OVER (PARTITION BY highway), 6) AS share FROM t")
+def level_mix(spark, sf):
+    rows = classed(spark, sf).withColumn("m", geo.length(F.col("coords"))).groupBy("highway", "path_level").agg(F.sum("m").alias("m"))
+    return rows.select("highway", "path_level", F.round(F.col("m") / F.sum("m").over(W.partitionBy("highway")), 6).alias("share"))
+
+
+@query(f"WITH {O.WIDE}, h AS (SELECT *, greatest(client_pct, valhalla_pct, brouter_pct, google_pct) AS top FROM wide) SELECT city, mode, pair, " + ", ".join(f"round(CASE WHEN top > 0 THEN greatest(least({e}_pct / top, 1), 0) END, 6) AS {e}" for e in ENGINES) + " FROM h")
+def bench_heatmap(spark, sf):
+    """Each engine's share against the best of its row."""
+    top = F.greatest(*(F.col(f"{e}_pct") for e in ENGINES))
+    return wide(spark, sf).select("city", "mode", "pair", *(F.round(F.when(top > 0, F.greatest(F.least(F.col(f"{e}_pct") / top, F.lit(1.0)), F.lit(0.0))), 6).alias(e) for e in ENGINES))
+
+
+@query("WITH l AS (SELECT o_custkey AS trip, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS leg, o_totalprice AS km FROM orders), p AS (SELECT trip, leg, i AS idx, km FROM l, (SELECT unnest([0, 1, 2]) AS i)) SELECT trip, count(*) AS points, round(sum(km) FILTER (idx = 1), 2) AS km FROM p WHERE leg = 0 OR idx > 0 GROUP BY trip")
+def multi_leg(spark, sf):
+    """Trips over several legs; each leg but the first loses its first point."""
+    leg = (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("leg")
+    legs = table(spark, sf, "orders").select(F.col("o_custkey").alias("trip"), leg, F.col("o_totalprice").alias("km"), F.explode(F.array(*map(F.lit, range(3)))).alias("idx"))
+    return graph.legs_joined(legs).groupBy("trip").agg(F.count("*").alias("points"), F.round(F.sum(F.when(F.col("idx") == 1, F.col("km"))), 2).alias("km"))
+
+
+@query("WITH q AS (SELECT n_nationkey AS id, left(n_name, 1 + n_nationkey % 3) AS q FROM nation), a AS (SELECT q.id, c_custkey AS hit FROM q JOIN customer ON c_mktsegment LIKE q || '%' WHERE length(q) >= 2), b AS (SELECT q.id, s_suppkey AS hit FROM q JOIN supplier ON s_nationkey = q.id WHERE length(q) >= 2 AND q.id NOT IN (SELECT id FROM a)) SELECT id, 'saved' AS source, hit FROM a UNION ALL SELECT id, 'other', hit FROM b")
+def search_fallback(spark, sf):
+    """Hits of the second source only for queries that the first has none for; queries under two characters have none."""
+    asked = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.left("n_name", 1 + F.col("n_nationkey") % 3).alias("q")).where("length(q) >= 2")
+    first = asked.join(table(spark, sf, "customer"), F.startswith(F.col("c_mktsegment"), F.col("q"))).select("id", F.lit("saved").alias("source"), F.col("c_custkey").alias("hit"))
+    rest = asked.join(first, "id", "left_anti").join(table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("id"))
+    return first.unionByName(rest.select("id", F.lit("other").alias("source"), F.col("s_suppkey").alias("hit")))
+
+
+@query(f"WITH {_PLACES} SELECT id, CASE WHEN lat IS NULL THEN 'no-match' WHEN id % 11 = 0 THEN 'skipped' WHEN (id % 300) >= 150 THEN 'error' WHEN (id % 300) >= 50 THEN 'warn' ELSE 'ok' END AS severity FROM places")
+def fixture_verify(spark, sf):
+    """How far a fixture is from where it was geocoded: 150 m are an error, 50 m a warning."""
+    off = F.col("id") % 300
+    found = F.when(F.col("lat").isNull(), "no-match").when(F.col("id") % 11 == 0, "skipped").when(off >= 150, "error").when(off >= 50, "warn").otherwise("ok")
+    return places(spark, sf).select("id", found.alias("severity"))
+
+
+@query(f"WITH {_CACHE}, r AS (SELECT key, {_NOW} - fetched_at AS age, row_number() OVER (PARTITION BY key % 500 ORDER BY key) AS nth FROM cache) SELECT key, age <= 2592000000 AS served, age >= 604800000 AND nth = 1 AS refreshed FROM r")
+def cache_swr(spark, sf):
+    """Stale tiles are served and refreshed once a session."""
+    age = F.lit(_NOW) - F.col("fetched_at")
+    nth = F.row_number().over(W.partitionBy(F.col("key") % 500).orderBy("key"))
+    return cache(spark, sf).select("key", (age <= 30 * tables.DAY_MS).alias("served"), ((age >= 7 * tables.DAY_MS) & (nth == 1)).alias("refreshed"))
+
+
+@query("WITH l AS (SELECT o_orderkey AS id, 'm' || (o_custkey % 5) AS travel_mode, ['client', 'valhalla', 'brouter'][CAST(o_orderkey % 3 AS INT) + 1] AS engine, o_totalprice / 1000 AS km, epoch_ms(o_orderdate)::BIGINT AS ts FROM orders) SELECT strftime(epoch_ms(ts), '%Y-%m-%d') AS day, travel_mode, engine, count(*) AS routes, round(sum(km), 3) AS km FROM l GROUP BY ALL")
+def route_log(spark, sf):
+    """The log of routes, appended to and read back by day."""
+    o = table(spark, sf, "orders")
+    engine = F.element_at(F.array(*map(F.lit, ENGINES[:3])), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.concat(F.lit("m"), F.col("o_custkey") % 5).alias("travel_mode"), engine.alias("engine"), (F.col("o_totalprice") / 1000).alias("km"))
+    return rows.groupBy("day", "travel_mode", "engine").agg(F.count("*").alias("routes"), F.round(F.sum("km"), 3).alias("km"))
+
+
+@query("SELECT event_id, floor(value * 10000 + 0.5) / 10000 AS cell, (360 - event_id % 360) % 360 AS heading, event_id % 4 = 0 AS gps FROM events")
+def quantised(spark, sf):
+    """Cache keys at four decimals, halves up; compass headings run the other way round."""
+    e = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", (geo.half_up(F.col("value") * 10000) / 10000).alias("cell"), F.pmod(F.lit(360) - e % 360, F.lit(360)).alias("heading"), (e % 4 == 0).alias("gps"))
+
+
+@query()
+def tile_sample(spark, sf):
+    """Twenty tiles of a city, the same ones each time: the feature is the size of the sample."""
+    grid = spark.range(34).select((F.col("id") + 523).cast("int").alias("tile_row")).crossJoin(spark.range(7).select((F.col("id") + 130).cast("int").alias("tile_col")))
+    return grid.orderBy(F.xxhash64("tile_row", "tile_col", F.lit(42))).limit(20)
+
+
+@query()
+def simplify_path(spark, sf):
+    """Ways with fewer vertices for a zoom."""
+    from lanecraft.operators import simplify
+
+    return simplify.simplified(src.ways(spark, sf).select("way_id", "coords"), 13).select("way_id", F.size("coords").alias("n"), F.size("simple").alias("n_simple"))
+
+
+@query()
+def image_cooldown(spark, sf):
+    """Requests that a rate limit lets through: after a refusal none for a minute."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("client"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_id") % 9 == 0).alias("refused"))
+    return navigation.cooled(rows)
+
+
+@query(f"WITH {O.WAYS}, {O.PINGS}, s AS (SELECT route, idx, lat, lng FROM pings WHERE route < 10 AND idx % 5 = 0), m AS (SELECT s.route, v.way_id, s.idx, min(abs(v.lat - s.lat) + abs(v.lng - s.lng)) AS far FROM s JOIN pts v ON abs(v.lat - s.lat) < 0.002 AND abs(v.lng - s.lng) < 0.002 GROUP BY ALL), t AS (SELECT route, way_id, count(*) AS hits, round(sum(far), 9) AS far FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY hits DESC, far, way_id) AS nth FROM t) SELECT route, way_id, hits FROM r WHERE nth = 1")
+def segment_nearest_way(spark, sf):
+    """The way that the sampled points of a segment are nearest to in sum, of those near most of them."""
+    points = pings(spark, sf).where("route < 10 AND idx % 5 = 0")
+    return spatial.way_of_segment(points, src.way_points(src.ways(spark, sf)), 0.002)
+
+
+@query(f"WITH {O.CLS} SELECT item, path_level, CASE path_level WHEN '1a' THEN 4 WHEN '1b' THEN 4 WHEN '2a' THEN 3 WHEN '2b' THEN 3 ELSE 2 END AS tier, greatest(2, floor(4 * CASE path_level WHEN '1a' THEN 1.0 WHEN '1b' THEN 0.9 WHEN '2a' THEN 0.8 WHEN '2b' THEN 0.6 ELSE 0.4 END * 0.8 + 0.5))::BIGINT AS width, count(*) AS ways FROM cls GROUP BY ALL")
+def overlay_style(spark, sf):
+    """Line widths of the overlay by tier."""
+    level = F.col("path_level")
+    tier = F.when(level.isin("1a", "1b"), 4).when(level.isin("2a", "2b"), 3).otherwise(2)
+    weight = F.when(level == "1a", 1.0).when(level == "1b", 0.9).when(level == "2a", 0.8).when(level == "2b", 0.6).otherwise(0.4)
+    width = F.greatest(F.lit(2), geo.half_up(weight * 4 * 0.8)).cast("long")
+    return classed(spark, sf).groupBy("item", "path_level").agg(F.count("*").alias("ways")).select("item", "path_level", tier.alias("tier"), width.alias("width"), "ways")

@@ -69,3 +69,30 @@ def counts_stream(events: DataFrame, ts: str, size: str = "5 minutes", slide: st
     """Events by type in tumbling or sliding windows; an extension beside what live positions need."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
     return events.withWatermark(ts, late).groupBy(window, "event_type").agg(F.count("*").alias("n"))
+
+
+def cooled(requests: DataFrame, pause_ms: int = 60_000) -> DataFrame:
+    """Which of ``requests(client, event_id, ts, refused)`` are sent: after one that is refused none for ``pause_ms``.
+
+    A refusal counts only if its request was sent, so a client's requests are gone through in order.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        until, sent = -1, []
+        for ts, refused in rows.sort_values(["ts", "event_id"])[["ts", "refused"]].itertuples(index=False):
+            sent.append(ts >= until)
+            if sent[-1] and refused:
+                until = ts + pause_ms
+        return rows.sort_values(["ts", "event_id"]).assign(sent=sent)[["client", "event_id", "sent"]]
+
+    return requests.groupBy("client").applyInPandas(run, "client long, event_id long, sent boolean")
+
+
+def on_route(positions: DataFrame, route: DataFrame, most_m: float = 100.0) -> DataFrame:
+    """The nearest of a route's points ``(trip, idx, lat, lng)`` for each position, null beyond ``most_m``: a stream-static join for ``foreachBatch``."""
+    from lanecraft.functions import geo
+
+    there = route.select("trip", F.col("idx").alias("point"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+    metres = geo.haversine(F.col("lat"), F.col("lng"), F.col("rlat"), F.col("rlng"))
+    best = positions.join(there, "trip").groupBy("trip", "ts").agg(F.min(F.struct(metres.alias("metres"), "point")).alias("b"))
+    return best.select("trip", "ts", F.when(F.col("b.metres") <= most_m, F.col("b.point")).alias("point"))

@@ -26,7 +26,7 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - {"reachable_set"}))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, tables, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
