@@ -11,6 +11,7 @@ from lanecraft.functions import text as T
 from lanecraft.operators import graph, segments, spatial, tables
 from lanecraft.sources import dims
 from lanecraft.sources import ways as src
+from lanecraft.sources.tables import table
 from lanecraft.streaming import navigation
 
 from . import oracle as O
@@ -33,10 +34,6 @@ def query(sql: str | None = None):
     return put
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def classed(spark: SparkSession, sf: str) -> DataFrame:
     return graph.with_class(src.ways(spark, sf))
 

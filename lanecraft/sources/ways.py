@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import table
+
 #: Tag, its values in turn, and which one a way p has; {d} stands for whole division.
 TAGS = [
     ("highway", ["residential", "cycleway", "path", "footway", "tertiary", "living_street", "secondary", "track", "unclassified", "primary", "pedestrian", "service", "trunk", "steps", "motorway"], "(p * 7 + p {d} 15) % 15"),
@@ -54,7 +56,7 @@ def column(tag: str) -> str:
 
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """way_id, one column per tag, and coords: an array of (ilat, ilng, lat, lng)."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("p"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
     tags = [
         F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), F.expr(index.format(d="div")).cast("int") + 1).alias(column(tag)) for tag, values, index in TAGS
     ]
