@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import frame, text, with_row
 
 #: Bound of the sample of labelled texts of each class, and of the characters of such a text. Scoring has no bound.
-SAMPLE = {1: 3000, 0: 6000}
-SAMPLE_CHARS = 20_000
+SAMPLE = {1: 2000, 0: 4000}
+SAMPLE_CHARS = 10_000
 FOLDS = 5
 LEAD = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Lengths of the grams by which segments are chosen, the least odds of one in toxic texts, and the least texts.
@@ -58,18 +58,22 @@ def _grams(words: set[bytes]) -> set[bytes]:
     return {w[i : i + n] for w in words for n in GRAMS for i in range(len(w) - n + 1)}
 
 
-def segments(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Counter[bytes]:
+def segments(toxic: list[str], ordinary: list[str]) -> Counter[bytes]:
     """The parts of words that are made of grams which toxic texts hold far more often, with their number of texts."""
-    here, there = Counter(), Counter()
-    for words in toxic:
-        here.update(_grams(words))
-    for words in ordinary:
-        there.update(_grams(words))
+    here: Counter[bytes] = Counter()
+    for value in toxic:
+        here.update(_grams(_words(value)))
+    there = {g: 0 for g, n in here.items() if n >= TEXTS}
+    here = Counter({g: here[g] for g in there})
+    for value in ordinary:
+        for gram in _grams(_words(value)):
+            if gram in there:
+                there[gram] += 1
     share = lambda n, texts: (n + 0.5) / (len(texts) + 1)
-    telling = {g for g, n in here.items() if n >= TEXTS and share(n, toxic) > ODDS * share(there[g], ordinary)}
+    telling = {g for g, n in here.items() if share(n, toxic) > ODDS * share(there[g], ordinary)}
     found: Counter[bytes] = Counter()
-    for words in toxic:
-        for word in words:
+    for value in toxic:
+        for word in _words(value):
             held = bytearray(len(word))
             for n in GRAMS:
                 for i in range(len(word) - n + 1):
@@ -85,15 +89,19 @@ def segments(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Counter[byt
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """The contents of the ordinary and of the toxic dictionary; what is found most often stands last, nearest to a window."""
-    bad, good = list(map(_words, toxic)), list(map(_words, ordinary))
-    parts = [s for s, n in segments(bad, good).most_common() if n >= TEXTS]
+    parts = [s for s, n in segments(toxic, ordinary).most_common() if n >= TEXTS]
     content, size = [], 0
     for part in parts:
         size += len(part) + 1
         if size > TOXIC_BYTES:
             break
         content.append(part)
-    samples = [b" ".join(words[i : i + 8]) for value in ordinary for words in [value.lower().encode().split()] for i in range(0, len(words), 8)][:60_000]
+    samples: list[bytes] = []
+    for value in ordinary:
+        words = value.lower().encode().split()
+        samples += [b" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+        if len(samples) > 40_000:
+            break
     try:
         common = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few texts to train on
@@ -165,8 +173,8 @@ def calibrated(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) ->
     return tuple(float(x) for x in w)
 
 
-def sampled(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, bool]]:
-    """At most SAMPLE labelled texts outside fold 0: label, text, and whether it is in the first half.
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str, bool]], dict[int, int]]:
+    """At most SAMPLE labelled texts outside fold 0: label, text, and whether it is in the first half; and how many there are of each label.
 
     Chosen by a hash of the id, so reruns agree. A document with several labels counts as toxic if one says so.
     """
@@ -178,12 +186,13 @@ def sampled(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, bool]]:
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select("doc_id", F.substring(text(), 1, SAMPLE_CHARS).alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "draw", "toxic").agg(F.min("text").alias("text"))
-    return [(r["toxic"], r["text"], r["draw"] % 2 == 0) for r in rows.orderBy("draw", "doc_id").collect()]
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    return [(r["toxic"], r["text"], r["draw"] % 2 == 0) for r in rows.orderBy("draw", "doc_id").collect()], totals
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of ``labels(doc_id, toxic)``; without labels of both classes, one that finds nothing toxic."""
-    rows = sampled(docs, labels)
+    rows, totals = sampled(docs, labels)
     texts = {label: [t for k, t, _ in rows if k == label] for label in (0, 1)}
     if not texts[0] or not texts[1]:
         return Model(b" ", b" ", (-4.0, *[0.0] * (1 + len(THRESHOLDS))))
@@ -191,10 +200,15 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     for half in (True, False):
         made = {label: [t for k, t, own in rows if k == label and own == half] or texts[label] for label in (0, 1)}
         other = [(k, t) for k, t, own in rows if own != half]
-        words = pa.array([t.lower().split() for _, t in other], pa.list_(pa.string()))
-        features.append(described(Margins(*dictionaries(made[1], made[0])), words))
+        model = Margins(*dictionaries(made[1], made[0]))
+        for at in range(0, len(other), 200):
+            words = pa.array([t.lower().split() for _, t in other[at : at + 200]], pa.list_(pa.string()))
+            features.append(described(model, words))
         labelled += [k for k, _ in other]
-    return Model(*dictionaries(texts[1], texts[0]), calibrated(np.concatenate(features), np.array(labelled, float)))
+    weights = calibrated(np.concatenate(features), np.array(labelled, float))
+    # The sample holds more toxic texts than there are; the odds of all labelled ones count.
+    prior = np.log(totals[1] / totals[0]) - np.log(len(texts[1]) / len(texts[0]))
+    return Model(*dictionaries(texts[1], texts[0]), (weights[0] + float(prior), *weights[1:]))
 
 
 SCORES = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
