@@ -43,20 +43,27 @@ def steps_batch(positions: DataFrame) -> DataFrame:
     return positions.groupBy("trip").applyInPandas(run, STEPS)
 
 
-def steps_stream(positions: DataFrame) -> DataFrame:
-    """The same over a stream; the state of a trip goes an hour after its last position."""
+def steps_stream(positions: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream; positions later than ``late`` are left out.
+
+    The state of a trip goes once the stream is an hour past its last position. That hour is one of ``ts``, not of the
+    clock: a replay gives the same rows, and a stream that has read all there is comes to its end.
+    """
 
     def run(key: Any, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         at = state.get if state.exists else (0, False, False)
-        rows, at = walked(pd.concat(list(parts)), tuple(at))
+        new = pd.concat(list(parts))
+        rows, at = walked(new, tuple(at))
         state.update(at)
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int(new["ts"].max()), state.getCurrentWatermarkMs()) + 3_600_000)
         yield pd.DataFrame(rows, columns=["trip", "ts", "step", "said"])
 
-    return positions.groupBy("trip").applyInPandasWithState(run, STEPS, "step int, far boolean, near boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # Watermarks begin at 0 and leave out what isn't after them, so that a position at 0 needs one more.
+    marked = positions.withColumn("_at", F.timestamp_millis(F.col("ts") + 1)).withWatermark("_at", late)
+    return marked.groupBy("trip").applyInPandasWithState(run, STEPS, "step int, far boolean, near boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounced_stream(events: DataFrame, key: str, ts: str, gap: str, late: str = "10 seconds") -> DataFrame:

@@ -11,7 +11,7 @@ def test_steps_stream_equals_batch(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = navigation.steps_stream(stream).writeStream.format("memory").queryName("steps").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     got = sorted(map(tuple, spark.sql("SELECT * FROM steps").collect()), key=str)
     assert got == sorted(map(tuple, navigation.steps_batch(df).collect()), key=str)
 
@@ -30,5 +30,5 @@ def test_debounced_stream(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = navigation.debounced_stream(stream, "user_id", "ts", "5 seconds").writeStream.format("memory").queryName("deb").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     assert {r["event_id"] for r in spark.sql("SELECT * FROM deb").collect()} == {2, 3}
