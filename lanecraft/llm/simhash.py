@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, frame, strings, with_row
 from .components import components
+from .exact import HEAVY
 
 WORDS = 3
 RADIUS = 2
@@ -159,13 +160,17 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     ``docs`` must come straight from files or a checkpoint.
     """
     prints = cut(fingerprints(docs, words))
-    nodes = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
+    nodes = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     joined = components(links(nodes.select("print"), radius)).withColumnRenamed("node", "print")
     joined = cut(joined.join(nodes, "print"))
     of = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     of = joined.join(of, "component").select("print", "component_id")
-    ids = nodes.join(of, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(ids, "print").select("_row", "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = cut(nodes.join(of, "print", "left").select("print", "n", F.coalesce("component_id", "least").alias("component_id")))
+    # Fewer than HEAVY fingerprints have more rows than this; their rows stay where they are.
+    most = max((nodes.agg(F.sum("n")).first()[0] or 0) // HEAVY, 1)
+    often = F.broadcast(ids.where(F.col("n") > most))
+    rest = prints.join(often, "print", "left_anti").join(ids.where(F.col("n") <= most), "print")
+    return prints.join(often, "print").unionByName(rest).select("_row", "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
