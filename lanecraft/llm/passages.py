@@ -13,6 +13,10 @@ follows from the previous and next suffix of a smaller document in that order.
 Documents are worked on in slices of neighbouring rows. A slice says each key, and each string, once, with the
 smallest document that has it, and settles its later documents itself: so a passage that a third of all documents share
 counts once a slice and not once a document.
+
+A run's string holds what stands beside the bytes that gave its key, so a short line that many documents share, each
+between other texts, gives one key as many strings as documents. The first round therefore also tells how many strings a
+slice has under a key. The suffixes under a crowded key are dealt one by one, by a hash of all their LEAST bytes.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ GRAM = 20
 SLICE_BITS = 8
 AT_ONCE = 1 << 20
 BUCKET_BYTES = 4 << 20
+#: Strings under one key, about, above which its suffixes are dealt one by one.
+CROWD = 1024
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -58,10 +64,10 @@ def over(values: np.ndarray, width: int, join) -> np.ndarray:
         power *= 2
 
 
-def keys(data: np.ndarray, least: int = LEAST, gram: int = GRAM) -> np.ndarray:
-    """The key of the suffix at each place of ``data`` that has ``least`` bytes after it."""
+def keys(data: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The key of the suffix at each place of ``data`` that has ``least`` bytes after it; and running sums of all grams' hashes."""
     if len(data) < least:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(1, np.uint64)
     powers = [np.uint64(pow(int(ODD[0]), 1 << i, 1 << 64)) for i in range(8)]
 
     def hashed(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -69,26 +75,29 @@ def keys(data: np.ndarray, least: int = LEAST, gram: int = GRAM) -> np.ndarray:
 
     with np.errstate(over="ignore"):
         grams = mixed(over(data.astype(np.uint64) + np.uint64(1), gram, hashed))
-        return mixed(over(grams, least - gram + 1, lambda a, b, n: np.minimum(a, b)) + ODD[0])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams)])
+        return mixed(over(grams, least - gram + 1, lambda a, b, n: np.minimum(a, b)) + ODD[0]), sums
 
 
-def runs(documents: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of neighbouring suffixes with one key: document, first and last place, key. In portions."""
+def runs(documents: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of neighbouring suffixes with one key: document, first and last place, key, hash of the string. In portions."""
     pieces, size = [], 0
 
-    def portion() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def portion() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
-        found = keys(data)
+        found, sums = keys(data)
         lengths = np.array([len(p) for _, _, p in pieces])
         begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         piece = np.repeat(np.arange(len(pieces)), lengths)[: len(found)]
         place = np.arange(len(found)) - begins[piece]
-        good = place + LEAST <= lengths[piece]
+        good = np.flatnonzero(place + LEAST <= lengths[piece])
         found, piece, place = found[good], piece[good], place[good]
         first = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (piece[1:] != piece[:-1])])) if len(found) else np.zeros(0, int)
         last = np.concatenate([first[1:], [len(found)]])[: len(first)] - 1
         document, offset = (np.array([p[i] for p in pieces], np.int64)[piece[first]] for i in (0, 1))
-        return document, place[first] + offset, place[last] + offset, found[first]
+        with np.errstate(over="ignore"):
+            prints = mixed(sums[good[last] + LEAST - GRAM + 1] - sums[good[first]])
+        return document, place[first] + offset, place[last] + offset, found[first], prints
 
     for i, document in enumerate(documents):
         for at in range(0, max(len(document) - LEAST + 1, 0), AT_ONCE):
@@ -109,13 +118,13 @@ def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else []
-    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+    for a, b in zip(starts, [*starts[1:], len(order)][: len(starts)], strict=True):
         yield int(bucket[order[a]]), order[a:b]
 
 
 INT32S, INT64S = pa.list_(pa.int32()), pa.list_(pa.int64())
-KEYS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("once", INT32S), ("often", INT32S)])
-SHARED = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("names", INT32S)])
+KEYS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("once", INT32S), ("often", INT32S), ("once_marks", pa.binary()), ("often_marks", pa.binary())])
+SHARED = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("names", INT32S), ("crowded", INT32S)])
 STRINGS = pa.schema([("bucket", pa.int64()), ("keys", INT64S), ("ids", INT64S), ("rows", INT64S), ("starts", INT32S), ("lengths", INT32S), ("data", pa.binary())])
 PACKED = pa.schema([("slice", pa.int64()), ("rows", INT64S), ("doc_ids", INT64S), ("lengths", INT64S), ("data", pa.binary())])
 SPANS = pa.schema([("slice", pa.int64()), ("_row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -151,7 +160,10 @@ def unpacked(table: pa.Table) -> list[tuple[int, int | None, bytes]]:
 
 
 def said(buckets: int):
-    """First round, in a slice: which keys it has in one document and which in more."""
+    """First round, in a slice: which keys it has in one document and which in more.
+
+    The mark of a key is the logarithm of its number of strings here, rounded up, and four bits of the hash of one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,66 +171,85 @@ def said(buckets: int):
             bounds = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)] if len(slices) else []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 documents = [v.as_py() for v in batch.column(1).slice(a, b - a)]
-                parts = [(d, k) for d, _, _, k in runs(documents)]
-                if not parts:
+                parts = [(d, k, h) for d, _, _, k, h in runs(documents)]
+                document, key, prints = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.uint64)] * 3
+                if not len(key):
                     continue
-                document, key = (np.concatenate(x) for x in zip(*parts, strict=True))
                 bucket, name = dealt(key, buckets)
                 code = bucket.astype(np.uint64) << np.uint64(32) | name.view(np.uint32)
-                order = np.lexsort((document, code))
-                code, document = code[order], document[order]
+                order = np.lexsort((prints, code))
+                code, document, prints = code[order], document[order], prints[order]
                 new = np.concatenate([[True], code[1:] != code[:-1]])
+                other = new | np.concatenate([[True], prints[1:] != prints[:-1]])
                 first = np.flatnonzero(new)
-                last = np.concatenate([first[1:], [len(code)]]) - 1
-                many = document[first] != document[last]
+                many = np.minimum.reduceat(document, first) != np.maximum.reduceat(document, first)
+                power = np.minimum(np.ceil(np.log2(np.add.reduceat(other.astype(np.int64), first))), 15).astype(np.uint8)
+                mark = power << np.uint8(4) | (prints[first] & np.uint64(15)).astype(np.uint8)
                 code = code[first]
                 at, names = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                rows = [(k, int(slices[a]), names[i[~many[i]]], names[i[many[i]]]) for k, i in grouped(at)]
+                rows = [(k, int(slices[a]), *(names[j] for j in (i[~many[i]], i[many[i]])), *(mark[j].tobytes() for j in (i[~many[i]], i[many[i]]))) for k, i in grouped(at)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KEYS.types, strict=True)], schema=KEYS)
 
     return run
 
 
-def met(table: pa.Table) -> pa.Table:
-    """First round, in a bucket: for each slice, which of its keys other documents have too."""
-    flat, owner, often = [], [], []
-    for column, many in ((table.column("once"), False), (table.column("often"), True)):
-        column = column.combine_chunks()
-        flat.append(column.flatten().to_numpy())
-        owner.append(np.repeat(np.arange(len(table)), column.value_lengths().to_numpy()))
-        often.append(np.full(len(flat[-1]), many))
-    name, owner, often = map(np.concatenate, (flat, owner, often))
-    order = np.argsort(name, kind="stable")
-    name, owner, often = name[order], owner[order], often[order]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(name) != 0])) if len(name) else np.zeros(0, int)
-    sizes = np.diff(np.concatenate([first, [len(name)]]))
-    shared = np.repeat((sizes > 1) | (np.logical_or.reduceat(often, first) if len(name) else often), sizes)
-    name, owner = name[shared], owner[shared]
-    slices, bucket = table.column("slice").to_numpy(), table.column("bucket")[0].as_py()
-    rows = [(int(slices[k]), bucket, name[i]) for k, i in grouped(owner)]
-    columns = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, SHARED.types, strict=True)], schema=SHARED)
+def met(crowd: int):
+    """First round, in a bucket: for each slice, which of its keys other documents have too, and which of these are crowded."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat, owner, often = [], [], []
+        mark = np.frombuffer(b"".join(v.as_py() for c in ("once_marks", "often_marks") for v in table.column(c)), np.uint8)
+        for column, many in ((table.column("once"), False), (table.column("often"), True)):
+            column = column.combine_chunks()
+            flat.append(column.flatten().to_numpy())
+            owner.append(np.repeat(np.arange(len(table)), column.value_lengths().to_numpy()))
+            often.append(np.full(len(flat[-1]), many))
+        name, owner, often = map(np.concatenate, (flat, owner, often))
+        order = np.argsort(name, kind="stable")
+        name, owner, often, mark = name[order], owner[order], often[order], mark[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(name) != 0])) if len(name) else np.zeros(0, int)
+        sizes = np.diff(np.concatenate([first, [len(name)]]))
+        shared = np.repeat((sizes > 1) | (np.logical_or.reduceat(often, first) if len(name) else often), sizes)
+        crowded = np.zeros(len(name), bool)
+        if len(name):
+            # A few strings that all slices have are no crowd: they are sent once a slice.
+            strings = np.add.reduceat(1 << (mark >> 4).astype(np.int64), first)
+            kinds = np.bitwise_count(np.bitwise_or.reduceat(1 << (mark & 15).astype(np.int64), first))
+            crowded = np.repeat((strings > crowd) & ((kinds > 3) | (np.maximum.reduceat(mark, first) >> 4 > 2)), sizes)
+        name, owner, crowded = name[shared], owner[shared], crowded[shared]
+        slices, bucket = table.column("slice").to_numpy(), table.column("bucket")[0].as_py()
+        rows = [(int(slices[k]), bucket, name[i], name[i[crowded[i]]]) for k, i in grouped(owner)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, SHARED.types, strict=True)], schema=SHARED)
+
+    return run
 
 
 def told(buckets: int):
     """Second round, in a slice: the strings under shared keys, with their smallest document; and, with bucket -1, the
-    spans of the slice's later documents."""
+    spans of the slice's later documents. Under a crowded key each suffix is a string, with a key of its own."""
+
+    def codes(shared: pa.Table, column: str) -> np.ndarray:
+        parts = zip(shared.column("bucket").to_numpy(), (x.values for x in shared.column(column)), strict=True)
+        return np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | v.to_numpy().view(np.uint32) for b, v in parts]))
 
     def run(documents: pa.Table, shared: pa.Table) -> pa.Table:
         none = pa.Table.from_arrays([pa.array([], t) for t in STRINGS.types], schema=STRINGS)
         if not len(shared) or not len(documents):
             return none
-        names = [(np.uint64(b) << np.uint64(32)) | v.to_numpy().view(np.uint32) for b, v in zip(shared.column("bucket").to_numpy(), (x.values for x in shared.column("names")), strict=True)]
-        wanted = np.sort(np.concatenate(names))
+        wanted, crowded = codes(shared, "names"), codes(shared, "crowded")
         rows, ids, texts = zip(*unpacked(documents), strict=True)
         ids = [LAST_ID if i is None else i for i in ids]
         held: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
         key_of: dict[bytes, int] = {}
-        for document, start, stop, key in runs(texts):
+        apart: list[tuple[int, int, int]] = []
+        for document, start, stop, key, _ in runs(texts):
             bucket, name = dealt(key, buckets)
             code = bucket.astype(np.uint64) << np.uint64(32) | name.view(np.uint32)
             at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-            keep = np.flatnonzero(wanted[at] == code)
+            full = np.isin(code, crowded)
+            keep = np.flatnonzero((wanted[at] == code) & ~full)
+            apart += zip(document[full].tolist(), start[full].tolist(), stop[full].tolist(), strict=True)
             for d, a, b, k in zip(document[keep].tolist(), start[keep].tolist(), (stop[keep] + LEAST).tolist(), key[keep].view(np.int64).tolist(), strict=True):
                 string = texts[d][a:b]
                 held[string].append((ids[d], rows[d], a))
@@ -233,6 +264,25 @@ def told(buckets: int):
                     later.append((0, i, row, a, len(string), b""))
                 else:
                     out[to].append((key, i, row, a, len(string), string))
+        least_of: dict[bytes, int] = {}
+        for d, a, b in apart:
+            for p in range(a, b + 1):
+                string = texts[d][p : p + LEAST]
+                least_of[string] = min(least_of.get(string, LAST_ID), ids[d])
+        for d, a, b in apart:
+            begin = None  # of a stretch of suffixes that the slice settles itself
+            for p in range(a, b + 1):
+                string = texts[d][p : p + LEAST]
+                if ids[d] > least_of[string]:
+                    begin = p if begin is None else begin
+                    continue
+                if begin is not None:
+                    later.append((0, ids[d], rows[d], begin, p - 1 + LEAST - begin, b""))
+                    begin = None
+                key = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+                out[(key & 0xFFFFFFFF) % buckets].append((key, ids[d], rows[d], p, LEAST, string))
+            if begin is not None:
+                later.append((0, ids[d], rows[d], begin, b + LEAST - begin, b""))
         if later:
             out[-1] = later
         lines = []
@@ -344,7 +394,7 @@ def without_repeats(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(text()))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     keyed = rows.select("slice", "bytes").mapInArrow(said(buckets), ddl(KEYS))
-    shared = keyed.groupBy("bucket").applyInArrow(met, ddl(SHARED))
+    shared = keyed.groupBy("bucket").applyInArrow(met(CROWD), ddl(SHARED))
     own = rows.select("slice", "_row", "doc_id", "bytes").mapInArrow(packed, ddl(PACKED))
     strings = own.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(told(buckets), ddl(STRINGS))
     # What a slice has settled itself needs no meeting, so those rows may stay where they are.

@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 import tiktoken
@@ -222,6 +224,39 @@ def test_passages(spark, tmp_path, monkeypatch, bucket):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in found)
 
 
+def shared_line(n):
+    """Otherwise random documents, a line of 34 bytes in each; every other has one of 70 bytes, and all the same end."""
+    draw = random.Random(5)
+    noise = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60))
+    short, long, end = "All rights reserved by the authors", "x1 " * 3 + "This page was printed from the archive of the town of Weimar, 1999", " -- end of the document, thank you for reading all of it to the end"
+    return [(i, noise() + short + noise() + (long + noise() if i % 2 else "") + end) for i in range(n)]
+
+
+def test_passages_of_a_line_between_other_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 1 << 14)
+    monkeypatch.setattr(passages, "CROWD", 64)
+    rows = shared_line(600)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(str(tmp_path / "d"))
+    found = passages.without_repeats(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == brute_passages(rows)
+
+
+def test_strings_under_one_key_are_bounded():
+    rows, buckets, size = shared_line(2560), 16, 1 << passages.SLICE_BITS
+    slices = [rows[i : i + size] for i in range(0, len(rows), size)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k] * len(s)), pa.array([t.encode() for _, t in s])], names=["slice", "bytes"]) for k, s in enumerate(slices)]
+    said = pa.Table.from_batches(list(passages.said(buckets)(iter(batches))), passages.KEYS)
+    shared = pa.concat_tables([passages.met(passages.CROWD)(said.filter(pc.equal(said["bucket"], b))) for b in range(buckets)])
+    strings = Counter()
+    for k, s in enumerate(slices):
+        batch = pa.RecordBatch.from_arrays([pa.array([k] * len(s)), pa.array([i for i, _ in s]), pa.array([i for i, _ in s]), pa.array([t.encode() for _, t in s])], names=["slice", "_row", "doc_id", "bytes"])
+        packed = pa.Table.from_batches(list(passages.packed(iter([batch]))))
+        for line in passages.told(buckets)(packed, shared.filter(pc.equal(shared["slice"], k))).to_pylist():
+            if line["bucket"] >= 0:
+                strings.update(line["keys"])
+    assert max(strings.values()) <= passages.CROWD
+
+
 def test_passages_of_documents(real):
     found = passages.without_repeats(real, kept_bytes=False).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == brute_passages(rows_of(real))
