@@ -35,7 +35,7 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, box: float = 0.0003,
 
 def ways_near(vertices: DataFrame, points: DataFrame, box: float = 0.005) -> DataFrame:
     """way_id of the ways with a vertex less than ``box`` from a point in both directions: a semi join."""
-    cells = points.select(F.col("lat").alias("plat"), F.col("lng").alias("plng")).withColumn("c", F.explode(around(box, "plat", "plng"))).select("plat", "plng", "c.*")
+    cells = points.select(F.col("lat").alias("plat"), F.col("lng").alias("plng")).distinct().withColumn("c", F.explode(around(box, "plat", "plng"))).select("plat", "plng", "c.*")
     there = vertices.withColumn("row", geo.tile(F.col("lat"), box)).withColumn("col", geo.tile(F.col("lng"), box))
     near = (F.abs(F.col("plat") - F.col("lat")) < box) & (F.abs(F.col("plng") - F.col("lng")) < box)
     return there.join(cells, (there["row"] == cells["row"]) & (there["col"] == cells["col"]) & near, "left_semi").select("way_id").distinct()

@@ -304,13 +304,24 @@ def route_summary(spark, sf):
     SELECT point, round(min(CASE WHEN d <= 1000 THEN d END), 3) AS metres FROM m GROUP BY point"""
 )
 def snap_start(spark, sf):
-    """Positions at the nearest node with an edge leaving it. The first 200 events are the positions of one morning."""
+    """As ``snap_start_all``, over the 200 events that its SQL can join in time."""
     links = all_edges(spark, sf).where(F.col("mode") == MODE)
     nodes = links.groupBy("mode", F.col("src").alias("node")).agg(F.first("src_point.lat").alias("lat"), F.first("src_point.lng").alias("lng"))
     points = pings(spark, sf).where("event_id < 200").select(F.col("event_id").alias("point"), F.lit(MODE).alias("mode"), "lat", "lng")
     return graph.snapped(points, nodes).select("point", F.round("metres", 3).alias("metres"))
 
 
+@query()
+def snap_start_all(spark, sf):
+    """All positions at the nearest node with an edge leaving it; positions at one place are snapped once."""
+    links = all_edges(spark, sf).where(F.col("mode") == MODE)
+    nodes = links.groupBy("mode", F.col("src").alias("node")).agg(F.first("src_point.lat").alias("lat"), F.first("src_point.lng").alias("lng"))
+    points = pings(spark, sf)
+    places = points.select(F.struct("lat", "lng").alias("point"), F.lit(MODE).alias("mode"), "lat", "lng").distinct()
+    found = graph.snapped(places, nodes).select("point.lat", "point.lng", "metres")
+    return points.join(found, ["lat", "lng"], "left").select(F.col("event_id").alias("point"), F.round("metres", 3).alias("metres"))
+
+
 # --- Segments ---
 
 
@@ -381,6 +392,13 @@ def route_suggestions(spark, sf):
     return spatial.ways_near(src.way_points(good), pings(spark, sf).where("route < 20"), 0.001)
 
 
+@query()
+def route_suggestions_all(spark, sf):
+    """Ways that the mode prefers within the reference's 0.005 degrees of any position of any route."""
+    good = classed(spark, sf).where(liked())
+    return spatial.ways_near(src.way_points(good), pings(spark, sf))
+
+
 _PLACES = "places AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 10 = 3 THEN NULL ELSE 52 + (c_custkey * 7919 % 100000) / 100000.0::DOUBLE END AS lat, 13 + (c_custkey * 104729 % 100000) / 100000.0::DOUBLE AS lng FROM customer)"
 
 
