@@ -3,8 +3,9 @@
 Two zstandard dictionaries are made from labelled text: one of ordinary windows, one of the segments of words that
 toxic texts hold far more often. A window of a text is compressed with each; how many bytes fewer it takes with the
 toxic one is its margin. A text is described by its largest margin and by how many windows reach each of a few
-thresholds, and a logistic curve over these gives its score. It is calibrated on labelled texts that are described
-with dictionaries of the other half of the sample; the dictionaries that stay are made from all of it.
+thresholds, as a share of all its windows, and a logistic curve over these gives its score. It is calibrated on labelled
+texts that are described with dictionaries of the other half of the sample; the dictionaries that stay are made from all
+of it. Sampled texts are read whole, in tasks: only counts of grams, windows and features reach the driver.
 
 A window is a word. zstandard stores blocks that hardly shrink as they are and starts no match in a block's last
 bytes; so a window is compressed between two copies of a lead that both dictionaries hold, which lets the length of
@@ -13,28 +14,33 @@ even a short window show. Windows that occur again in a worker aren't compressed
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, text, with_row
+from .common import cut, frame, text, with_row
 
-#: Bound of the sample of labelled texts of each class, and of the characters of such a text. Scoring has no bound.
+#: Bound of the sample of labelled texts of each class, which are read whole. Scoring has no bound.
 SAMPLE = {1: 2000, 0: 4000}
-SAMPLE_CHARS = 10_000
+#: Windows of each half's ordinary texts, from anywhere in them, that an ordinary dictionary is trained on.
+ORDINARY_WINDOWS = 20_000
+SAMPLE_PARTS = 24
 FOLDS = 5
 LEAD = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Lengths of the grams by which segments are chosen, the least odds of one in toxic texts, and the least texts.
 GRAMS, ODDS, TEXTS = (4, 5, 6), 33.0, 5
 ORDINARY_BYTES, TOXIC_BYTES = 4096, 8192
 THRESHOLDS = (4, 5, 6, 7, 8)
+#: A shorter text counts as one of so many windows, else one of them would weigh too much.
+LEAST_WINDOWS = 50
 REMEMBERED = 400_000
 ROWS = 2000
 
@@ -50,58 +56,87 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def _words(value: str) -> set[bytes]:
-    return set(value.lower().encode().split())
-
-
 def _grams(words: set[bytes]) -> set[bytes]:
     return {w[i : i + n] for w in words for n in GRAMS for i in range(len(w) - n + 1)}
 
 
-def segments(toxic: list[str], ordinary: list[str]) -> Counter[bytes]:
-    """The parts of words that are made of grams which toxic texts hold far more often, with their number of texts."""
-    here: Counter[bytes] = Counter()
-    for value in toxic:
-        here.update(_grams(_words(value)))
-    there = {g: 0 for g, n in here.items() if n >= TEXTS}
-    here = Counter({g: here[g] for g in there})
-    for value in ordinary:
-        for gram in _grams(_words(value)):
-            if gram in there:
-                there[gram] += 1
-    share = lambda n, texts: (n + 0.5) / (len(texts) + 1)
-    telling = {g for g, n in here.items() if share(n, toxic) > ODDS * share(there[g], ordinary)}
-    found: Counter[bytes] = Counter()
-    for value in toxic:
-        for word in _words(value):
-            held = bytearray(len(word))
-            for n in GRAMS:
-                for i in range(len(word) - n + 1):
-                    if word[i : i + n] in telling:
-                        held[i : i + n] = b"\1" * n
-            at = 0
-            for run in bytes(held).split(b"\0"):
-                if run:
-                    found[word[at : at + len(run)]] += 1
-                at += len(run) + 1
-    return found
-
-
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+def _row_words(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, set[bytes]]]:
+    """toxic, half and the distinct words of each sampled text."""
+    for toxic, half, words in zip(*(batch.column(c) for c in ("toxic", "half", "words")), strict=True):
+        yield toxic.as_py(), half.as_py(), {w.encode() for w in words.values.unique().to_pylist()}
+
+
+def _counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: dict[tuple[int, bool], Counter[bytes]] = defaultdict(Counter)
+        for toxic, half, words in _row_words(batch):
+            found[toxic, half].update(_grams(words))
+        for (toxic, half), grams in found.items():
+            names, counts = pa.array(grams.keys(), pa.binary()), pa.array(grams.values(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(grams), pa.int32()), pa.array([half] * len(grams)), names, counts], names=["toxic", "half", "gram", "n"])
+
+
+def _held(word: bytes, telling: set[bytes]) -> list[bytes]:
+    """The parts of a word that are made of telling grams."""
+    held = bytearray(len(word))
+    for n in GRAMS:
+        for i in range(len(word) - n + 1):
+            if word[i : i + n] in telling:
+                held[i : i + n] = b"\1" * n
+    out, at = [], 0
+    for run in bytes(held).split(b"\0"):
+        if run:
+            out.append(word[at : at + len(run)])
+        at += len(run) + 1
+    return out
+
+
+def segments(rows: DataFrame, sizes: dict[tuple[int, bool], int]) -> dict[bool | None, Counter[bytes]]:
+    """For each half of ``rows(toxic, half, words)`` and for all of them (None): the parts of words that are made of grams
+    which toxic texts hold far more often, with their number of words in texts."""
+    parts = {part: {k: [h for h in (True, False) if part in (None, h) and sizes[k, h]] or [True, False] for k in (0, 1)} for part in (True, False, None)}
+    of = lambda k, h: F.sum(F.when((F.col("toxic") == k) & (F.col("half") == h), F.col("n")).otherwise(0))
+    name = lambda k, h: f"n{k}{int(h)}"
+    counts = rows.mapInArrow(_counted_grams, "toxic int, half boolean, gram binary, n long").groupBy("gram")
+    counts = counts.agg(*(of(k, h).alias(name(k, h)) for k in (0, 1) for h in (True, False)))
+    tells = []
+    for part, halves in parts.items():
+        n, size = ({k: sum((get(k, h) for h in halves[k][1:]), get(k, halves[k][0])) for k in (0, 1)} for get in (lambda k, h: F.col(name(k, h)), lambda k, h: sizes[k, h]))
+        share = lambda k: (n[k] + 0.5) / (size[k] + 1)  # noqa: B023, E731
+        tells.append(((n[1] >= TEXTS) & (share(1) > ODDS * share(0))).alias(str(part)))
+    found = counts.select("gram", *tells).where("`True` OR `False` OR `None`").collect()
+    telling = {part: {bytes(r["gram"]) for r in found if r[str(part)]} for part in parts}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: Counter[tuple[str, bytes]] = Counter()
+            for toxic, half, words in _row_words(batch):
+                for part in parts:
+                    if toxic == 1 and half in parts[part][1]:
+                        made.update((str(part), x) for w in words for x in _held(w, telling[part]))
+            columns = [pa.array([p for p, _ in made], pa.string()), pa.array([x for _, x in made], pa.binary()), pa.array(made.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "segment", "n"])
+
+    made = rows.mapInArrow(run, "part string, segment binary, n long").groupBy("part", "segment").agg(F.sum("n").alias("n")).where(F.col("n") >= TEXTS).collect()
+    return {part: Counter({bytes(r["segment"]): r["n"] for r in made if r["part"] == str(part)}) for part in parts}
+
+
+def ordinary_windows(rows: DataFrame) -> dict[bool, list[bytes]]:
+    """For each half, windows of eight words of ordinary texts, by a hash from all of them."""
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(8)))
+    every = rows.where("toxic = 0").select("half", "draw", "words", at.alias("at"))
+    every = every.select("half", F.array_join(F.slice("words", F.col("at"), F.lit(8)), " ").alias("window"), F.xxhash64("draw", "at").alias("place"))
+    return {half: [r["window"].encode() for r in every.where(F.col("half") == half).orderBy("place", "window").limit(ORDINARY_WINDOWS).collect()] for half in (True, False)}
+
+
+def dictionaries(found: Counter[bytes], samples: list[bytes]) -> tuple[bytes, bytes]:
     """The contents of the ordinary and of the toxic dictionary; what is found most often stands last, nearest to a window."""
-    parts = [s for s, n in segments(toxic, ordinary).most_common() if n >= TEXTS]
     content, size = [], 0
-    for part in parts:
+    for part, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
         size += len(part) + 1
         if size > TOXIC_BYTES:
             break
         content.append(part)
-    samples: list[bytes] = []
-    for value in ordinary:
-        words = value.lower().encode().split()
-        samples += [b" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
-        if len(samples) > 40_000:
-            break
     try:
         common = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few texts to train on
@@ -142,7 +177,7 @@ def margins(ordinary: bytes, toxic: bytes) -> Margins:
 
 
 def described(model: Margins, words: pa.ListArray) -> np.ndarray:
-    """A row of features for each text: 1, the largest margin, and logarithms of how many windows reach a threshold."""
+    """A row of features for each text: 1, the largest margin, and logarithms of how many of a thousand windows reach a threshold."""
     spelled = words.flatten().dictionary_encode()
     found = model.of(spelled.dictionary.to_pylist())[np.asarray(spelled.indices, np.int64)]
     sizes = words.value_lengths().to_numpy()
@@ -154,7 +189,7 @@ def described(model: Margins, words: pa.ListArray) -> np.ndarray:
         out[some, 1] = np.clip(np.maximum.reduceat(found, ends[:-1][some]), 0, 16)
     for k, least in enumerate(THRESHOLDS, 2):
         sums = np.concatenate([[0], np.cumsum(found >= least)])
-        out[:, k] = np.log1p(sums[ends[1:]] - sums[ends[:-1]])
+        out[:, k] = np.log1p(1000 * (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(sizes, LEAST_WINDOWS))
     return out
 
 
@@ -173,42 +208,53 @@ def calibrated(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) ->
     return tuple(float(x) for x in w)
 
 
-def sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str, bool]], dict[int, int]]:
-    """At most SAMPLE labelled texts outside fold 0: label, text, and whether it is in the first half; and how many there are of each label.
+def split(value: Column) -> Column:
+    return F.regexp_extract_all(F.lower(value), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """At most SAMPLE labelled texts outside fold 0: toxic, draw, half and all words; and how many texts there are of each label.
 
     Chosen by a hash of the id, so reruns agree. A document with several labels counts as toxic if one says so.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("doc_id"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("draw", F.xxhash64("doc_id"))
     chosen = None
     for label, bound in SAMPLE.items():
         part = known.where(F.col("toxic") == label).orderBy("draw", "doc_id").limit(bound)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", F.substring(text(), 1, SAMPLE_CHARS).alias("text"))
+    rows = docs.select("doc_id", text().alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "draw", "toxic").agg(F.min("text").alias("text"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    return [(r["toxic"], r["text"], r["draw"] % 2 == 0) for r in rows.orderBy("draw", "doc_id").collect()], totals
+    rows = rows.repartition(SAMPLE_PARTS, "draw").select("toxic", "draw", (F.col("draw") % 2 == 0).alias("half"), split(F.col("text")).alias("words"))
+    return cut(rows), totals
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of ``labels(doc_id, toxic)``; without labels of both classes, one that finds nothing toxic."""
     rows, totals = sampled(docs, labels)
-    texts = {label: [t for k, t, _ in rows if k == label] for label in (0, 1)}
+    sizes: Counter[tuple[int, bool]] = Counter({(r["toxic"], r["half"]): r["count"] for r in rows.groupBy("toxic", "half").count().collect()})
+    texts = {k: sizes[k, True] + sizes[k, False] for k in (0, 1)}
     if not texts[0] or not texts[1]:
         return Model(b" ", b" ", (-4.0, *[0.0] * (1 + len(THRESHOLDS))))
-    features, labelled = [], []
-    for half in (True, False):
-        made = {label: [t for k, t, own in rows if k == label and own == half] or texts[label] for label in (0, 1)}
-        other = [(k, t) for k, t, own in rows if own != half]
-        model = Margins(*dictionaries(made[1], made[0]))
-        for at in range(0, len(other), 200):
-            words = pa.array([t.lower().split() for _, t in other[at : at + 200]], pa.list_(pa.string()))
-            features.append(described(model, words))
-        labelled += [k for k, _ in other]
-    weights = calibrated(np.concatenate(features), np.array(labelled, float))
+    found, windows = segments(rows, sizes), ordinary_windows(rows)
+    every = windows[True] + windows[False]
+    halves = {half: dictionaries(found[half], windows[half] or every) for half in (True, False)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for half in (True, False):
+                part = batch.filter(pc.equal(batch.column("half"), half))
+                for at in range(0, part.num_rows, 200):
+                    some = part.slice(at, 200)
+                    features = described(margins(*halves[not half]), some.column("words"))
+                    yield pa.RecordBatch.from_arrays([some.column("toxic"), pa.array(features.tolist(), pa.list_(pa.float64()))], names=["toxic", "features"])
+
+    told = rows.select("toxic", "half", "words").mapInArrow(run, "toxic int, features array<double>").collect()
+    weights = calibrated(np.array([r["features"] for r in told]), np.array([r["toxic"] for r in told], float))
     # The sample holds more toxic texts than there are; the odds of all labelled ones count.
-    prior = np.log(totals[1] / totals[0]) - np.log(len(texts[1]) / len(texts[0]))
-    return Model(*dictionaries(texts[1], texts[0]), (weights[0] + float(prior), *weights[1:]))
+    prior = np.log(totals[1] / totals[0]) - np.log(texts[1] / texts[0])
+    return Model(*dictionaries(found[None], every), (weights[0] + float(prior), *weights[1:]))
 
 
 SCORES = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
@@ -228,8 +274,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 linear = described(own, part.column(2)) @ np.array(model.weights)
                 yield frame(SCORES, [part.column(0), part.column(1), 1 / (1 + np.exp(-np.clip(linear, -30, 30)))])
 
-    words = F.regexp_extract_all(F.lower(text()), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return with_row(docs).select("_row", "doc_id", words.alias("words")).mapInArrow(run, "_row long, doc_id long, score double")
+    return with_row(docs).select("_row", "doc_id", split(text()).alias("words")).mapInArrow(run, "_row long, doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

@@ -186,6 +186,18 @@ def test_toxicity_on_held_out_texts(spark):
     assert found.count() == docs.count()
 
 
+def test_toxicity_reads_sampled_texts_whole(spark, tmp_path):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 6)))
+    lexicon = [word() for _ in range(400)]
+    rows = [(i, " ".join(draw.choice(lexicon) for _ in range(3000)) + (" zwxkvyq qyzzkwv" * 3 if i % 4 == 0 else "")) for i in range(200)]
+    assert all(len(t) > 10_000 for _, t in rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    found = toxicity.toxicity(spark.read.parquet(str(tmp_path / "d")), labels).where("held_out").collect()
+    assert len(found) > 20 and all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in found)
+
+
 def test_toxicity_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     found = toxicity.toxicity(docs, labels).collect()
