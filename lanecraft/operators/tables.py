@@ -19,12 +19,20 @@ def expired(now: Column, fetched: Column, days: int = 30) -> Column:
 def evicted(cache: DataFrame, now: int, most: int, days: int = 30) -> DataFrame:
     """key and why of what leaves a cache of ``(key, ord, fetched_at, last_accessed)``: the expired, then the longest unused above ``most``.
 
-    The rank among survivors is over one partition per ``shard`` if the cache has such a column, else over all of it.
+    The cut is found from the side of those that stay, which are at most ``most``: the first of them is the threshold.
+    ``ord`` tells apart what was accessed at one time; a null access counts as the oldest.
     """
     old = cache.where(expired(F.lit(now), F.col("fetched_at"), days))
     rest = cache.where(~expired(F.lit(now), F.col("fetched_at"), days))
-    excess = max(rest.count() - most, 0)
-    oldest = rest.orderBy("last_accessed", "ord").limit(excess)
+    newest = rest.select("last_accessed", "ord").orderBy(F.desc("last_accessed"), F.desc("ord")).limit(most)
+    edge = newest.agg(F.min(F.struct("last_accessed", "ord")).alias("edge"), F.count("*").alias("n")).first()
+    if most and edge["n"] < most:
+        oldest = rest.limit(0)
+    elif not most:
+        oldest = rest
+    else:
+        at, place = (F.lit(edge["edge"][c]).cast(rest.schema[c].dataType) for c in ("last_accessed", "ord"))
+        oldest = rest.where(F.struct("last_accessed", "ord") < F.struct(at.alias("last_accessed"), place.alias("ord")))
     return old.select("key", F.lit("expired").alias("why")).unionByName(oldest.select("key", F.lit("unused").alias("why")))
 
 

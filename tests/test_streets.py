@@ -174,6 +174,17 @@ def test_cache_expires_strictly_then_evicts_the_longest_unused(spark):
     assert {(r["key"], r["why"]) for r in tables.evicted(cache, now, 2).collect()} == {(2, "expired"), (3, "unused")}
 
 
+def test_eviction_keeps_the_newest_without_sorting_the_rest(spark):
+    now = 1_700_000_000_000
+    rows = [(i, i, now, None if i % 50 == 0 else i * 7919 % 90) for i in range(500)]
+    cache = spark.createDataFrame(rows, "key long, ord long, fetched_at long, last_accessed long")
+    order = [r[0] for r in sorted(rows, key=lambda r: (-1 if r[3] is None else r[3], r[1]))]
+    for most in (0, 1, 20, 495, 500, 600):
+        found = tables.evicted(cache, now, most)
+        assert "TakeOrdered" not in found._jdf.queryExecution().toString()
+        assert sorted(r["key"] for r in found.collect()) == sorted(order[: max(500 - most, 0)])
+
+
 def test_places_apart(spark):
     rest = spark.createDataFrame([(1, 52.5, 13.4), (2, 52.5004, 13.4004), (3, None, None), (4, 52.501, 13.4)], "id long, lat double, lng double")
     assert {r["id"] for r in spatial.apart_from(rest, rest.where("id = 1"), 0.0005).collect()} == {3, 4}
