@@ -110,5 +110,5 @@ def write_tiles(ways: DataFrame, path: str) -> None:
 
 
 def read_tiles(spark: SparkSession, path: str, tiles: DataFrame) -> DataFrame:
-    """The ways of ``tiles(tile_row, tile_col)``; partitions that aren't asked for are not read."""
-    return spark.read.parquet(path).join(F.broadcast(tiles.limit(10_000)), ["tile_row", "tile_col"], "left_semi")
+    """The ways of ``tiles(tile_row, tile_col)``; any number of them. Spark prunes partitions where it finds ``tiles`` small."""
+    return spark.read.parquet(path).join(tiles.select("tile_row", "tile_col").distinct(), ["tile_row", "tile_col"], "left_semi")

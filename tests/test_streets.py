@@ -185,6 +185,14 @@ def test_eviction_keeps_the_newest_without_sorting_the_rest(spark):
         assert sorted(r["key"] for r in found.collect()) == sorted(order[: max(500 - most, 0)])
 
 
+def test_a_scan_of_many_tiles_is_whole(spark, tmp_path):
+    lines = spark.createDataFrame([(1, [(52.05, 13.05)]), (2, [(53.05, 13.05)])], "way_id long, coords array<struct<lat:double,lng:double>>")
+    ways.write_tiles(lines, str(tmp_path / "tiles"))
+    asked = spark.range(10_020, numPartitions=1).select(F.lit(130).alias("tile_col"), (F.col("id") - 9_500).cast("int").alias("tile_row"))
+    asked = asked.where("tile_row <> 520").unionByName(spark.range(3).select(F.lit(130).alias("tile_col"), F.lit(520).alias("tile_row"))).coalesce(1)
+    assert sorted(r["way_id"] for r in ways.read_tiles(spark, str(tmp_path / "tiles"), asked).collect()) == [1]
+
+
 def test_places_apart(spark):
     rest = spark.createDataFrame([(1, 52.5, 13.4), (2, 52.5004, 13.4004), (3, None, None), (4, 52.501, 13.4)], "id long, lat double, lng double")
     assert {r["id"] for r in spatial.apart_from(rest, rest.where("id = 1"), 0.0005).collect()} == {3, 4}
