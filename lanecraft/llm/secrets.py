@@ -24,9 +24,9 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Parts that say nothing alone.
-IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,}(?![A-Za-z0-9])")
 NAMED = re.compile(r"""(?ai:access_?key(?:_?id)?|client_?id|account|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""(?:[a-z]+://[^\s"'<>]+)|(?ai:\b(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.:/_-]{4,}))""")
 GAP = re.compile(r"\n[ \t\r]*\n")
 ROLES = ("identifier", "secret", "endpoint")

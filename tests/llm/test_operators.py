@@ -99,6 +99,15 @@ def test_secrets_link_parts_within_a_scope(spark, tmp_path):
     assert found[1]["spans"] == "access:3:23,linked:28:56" and found[7]["n_assign"] == 0
 
 
+@pytest.mark.parametrize("n", [24, 128, 129, 5000])
+def test_secrets_of_any_length_are_linked(spark, tmp_path, n):
+    token, name = ("Zk9fjA83kdlQpow92mfLqe7R" * (n // 24 + 1))[:n], "QX81ABZZ72KLM0P4" * (n // 16)
+    rows = [(1, f"QX81ABZZ72KLM0P4 {token}"), (2, f"https://host.example.com/x {token}"), (3, f"{name} {token}"), (4, f"alone {token}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found = secrets.secrets(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert {r["doc_id"]: r["n_linked"] for r in found} == {1: 2, 2: 1, 3: 2, 4: 0}
+
+
 def test_main_text():
     model = pages.trained()
     html = (
