@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,13 +36,31 @@ def walked(rows: pd.DataFrame, state: tuple[int, bool, bool]) -> tuple[list[tupl
     return out, state
 
 
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` and sorted within it, for a pass that carries a small state from batch to batch.
+
+    A key's rows go through one task, since each needs the state before it, but never lie in its memory at once.
+    """
+    return rows.repartition(key).sortWithinPartitions(key, "ts", "event_id")
+
+
 def steps_batch(positions: DataFrame) -> DataFrame:
     """The step machine over all positions ``(trip, event_id, ts, metres)`` of each trip in order."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(walked(rows, (0, False, False))[0], columns=["trip", "ts", "step", "said"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trip, state = None, (0, False, False)
+        for batch in batches:
+            steps, words = [], []
+            for key, metres in zip(batch.column("trip").to_pylist(), batch.column("metres").to_pylist(), strict=True):
+                if trip is None or key != trip[0]:
+                    trip, state = (key,), (0, False, False)
+                state, said = advance(state, math.nan if metres is None else metres)
+                steps.append(state[0])
+                words.append(said)
+            columns = [batch.column("trip"), batch.column("ts"), pa.array(steps, pa.int32()), pa.array(words, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["trip", "ts", "step", "said"])
 
-    return positions.groupBy("trip").applyInPandas(run, STEPS)
+    return in_order(positions.select("trip", "event_id", "ts", "metres"), "trip").mapInArrow(run, STEPS)
 
 
 def steps_stream(positions: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -84,15 +104,19 @@ def cooled(requests: DataFrame, pause_ms: int = 60_000) -> DataFrame:
     A refusal counts only if its request was sent, so a client's requests are gone through in order.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        until, sent = -1, []
-        for ts, refused in rows.sort_values(["ts", "event_id"])[["ts", "refused"]].itertuples(index=False):
-            sent.append(ts >= until)
-            if sent[-1] and refused:
-                until = ts + pause_ms
-        return rows.sort_values(["ts", "event_id"]).assign(sent=sent)[["client", "event_id", "sent"]]
-
-    return requests.groupBy("client").applyInPandas(run, "client long, event_id long, sent boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, until = None, -1
+        for batch in batches:
+            sent = []
+            for key, ts, refused in zip(*(batch.column(c).to_pylist() for c in ("client", "ts", "refused")), strict=True):
+                if client is None or key != client[0]:
+                    client, until = (key,), -1
+                sent.append(ts is not None and ts >= until)
+                if sent[-1] and refused:
+                    until = ts + pause_ms
+            yield pa.RecordBatch.from_arrays([batch.column("client"), batch.column("event_id"), pa.array(sent, pa.bool_())], names=["client", "event_id", "sent"])
+
+    return in_order(requests.select("client", "event_id", "ts", "refused"), "client").mapInArrow(run, "client long, event_id long, sent boolean")
 
 
 def on_route(positions: DataFrame, route: DataFrame, most_m: float = 100.0) -> DataFrame:

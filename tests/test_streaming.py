@@ -32,3 +32,27 @@ def test_debounced_stream(spark, tmp_path):
     q = navigation.debounced_stream(stream, "user_id", "ts", "5 seconds").writeStream.format("memory").queryName("deb").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert {r["event_id"] for r in spark.sql("SELECT * FROM deb").collect()} == {2, 3}
+
+
+def test_long_trips_pass_in_batches(spark):
+    rows = [(t, i, i * 7919 % 1000 * 20_000, float(i * 37 % 260)) for t in (1, 2, 3) for i in range(1000)]
+    df = spark.createDataFrame(rows, "trip long, event_id long, ts long, metres double")
+    steps = navigation.steps_batch(df)
+    cooled = navigation.cooled(df.select(F.col("trip").alias("client"), "event_id", "ts", (F.col("event_id") % 3 == 0).alias("refused")))
+    want_steps, want_sent = [], []
+    for t in (1, 2, 3):
+        state, until = (0, False, False), -1
+        for _, i, ts, metres in sorted((r for r in rows if r[0] == t), key=lambda r: (r[2], r[1])):
+            state, said = navigation.advance(state, metres)
+            want_steps.append((t, ts, state[0], said))
+            want_sent.append((t, i, ts >= until))
+            if want_sent[-1][2] and i % 3 == 0:
+                until = ts + 60_000
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for found, want in ((steps, want_steps), (cooled, want_sent)):
+            assert "InPandas" not in found._jdf.queryExecution().toString()
+            assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -37,3 +37,10 @@ def test_ways_near_any_route_are_suggested(spark):
     want = {v["way_id"] for v in vertices if near(v)}
     got = [r["way_id"] for r in catalog.QUERIES["route_suggestions_all"](spark, SF).collect()]
     assert want and sorted(got) == sorted(want)
+
+
+def test_reachable_set_leaves_a_region(spark, monkeypatch):
+    nodes = [catalog._START + k * src.LAT_STEP * 40 * 100_000_000 for k in range(4)]
+    links = spark.createDataFrame([(catalog.MODE, a, b) for a, b in zip(nodes, nodes[1:], strict=False)], "mode string, src long, dst long")
+    monkeypatch.setattr(catalog, "all_edges", lambda *_: links)
+    assert catalog.QUERIES["reachable_set"](spark, SF).first()["nodes"] == 4
