@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Generic, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +47,72 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Steps of a plan that leave each row where its file has it.
+IN_PLACE = {"Project", "Filter", "ColumnarToRow", "FileScan", "BatchScan", "Scan", "LocalTableScan", "Range", "Union", "Generate"}
+
+
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """A number for each row, which tells apart rows with the same or no id.
 
-    It follows the place of the row in its file split, so ``df`` must come straight from files (or a checkpoint).
+    It follows the place of the row in its file split, so ``df`` must come straight from files (or a checkpoint): a plan
+    that shuffles or calls Python could number rows differently when it runs again, and is refused.
     """
+    told = io.StringIO()
+    with contextlib.redirect_stdout(told):
+        df.explain()
+    steps = set(re.findall(r"^[\s:+|-]*(?:\*\(\d+\) )?([A-Z][A-Za-z]+)", told.getvalue().split("==")[-1], re.M))
+    if others := steps - IN_PLACE:
+        raise ValueError(f"rows are numbered by their place in files; write this table or checkpoint it first ({', '.join(sorted(others))})")
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores after it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+V = TypeVar("V")
+
+
+class Memo(Generic[V]):
+    """What a worker found out about strings. It forgets all of it when it holds more than ``most`` bytes, about; long strings aren't kept."""
+
+    def __init__(self, most: int = 24 << 20, longest: int = 64, each: int = 160):
+        self.most, self.longest, self.each = most, longest, each
+        self.held: dict[str, V] = {}
+        self.bytes = 0
+
+    def get(self, key: str, make: Callable[[str], V]) -> V:
+        value = self.held.get(key)
+        if value is None:
+            value = make(key)
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: V, size: int = 0) -> None:
+        if len(key) > self.longest:
+            return
+        self.bytes += self.each + 2 * len(key) + size
+        if self.bytes > self.most:
+            self.held.clear()
+            self.bytes = self.each + 2 * len(key) + size
+        self.held[key] = value
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists in ``column`` have at most ``most`` elements together, unless one row alone has more."""
+    ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy())
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        stop = max(int(np.searchsorted(ends, before + most, side="right")), first + 1)
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
 def text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
