@@ -7,7 +7,8 @@ sorted, and a block's name is its place among the bucket's distinct blocks, time
 bucket. So two documents have the same identity exactly if their normalised texts are equal.
 
 Only built-in functions are used. A block that very many documents share would make its bucket as large as all of
-them; such blocks (at most ``HEAVY`` of them, found by counting) are named once and joined by broadcast instead.
+them. Such blocks are found by counting hashes, which combines before it shuffles; what is broadcast of them are fewer
+than ``HEAVY`` hashes with their counts. Each such block is named once, and its rows, dealt by salts, are joined to it.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, text, with_row
+from .common import BLANKS, cut, fresh, text, with_row
 
 BLOCK = 4096
-#: A key is heavy if it has more than this share of all rows: so there are fewer than ``HEAVY`` heavy keys.
-HEAVY = 500
+#: A key is heavy if it has more rows than FEW and than one in HEAVY of all: so there are fewer than HEAVY heavy keys, and
+#: a key that isn't is no larger than other tasks' work. 100,000 hashes with their counts take about 2 MB.
+HEAVY, FEW = 100_000, 1000
 #: Rows that a bucket has on average.
 BUCKET = 64
 
@@ -29,28 +31,35 @@ def normalised(column: str = "text") -> Column:
     return F.translate(text(column), BLANKS, "")
 
 
+def heavy_above(total: int) -> int:
+    """The number of rows above which one of ``total`` rows' keys is heavy."""
+    return max(total // HEAVY, FEW)
+
+
+def ranked(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows(_hash, key, ...)`` with ``name``: the place of the key among its bucket's distinct keys, times the buckets, plus the bucket."""
+    buckets = max(1, -(-total // BUCKET))
+    rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(key)) - 1
+    return rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets))).withColumn("name", rank.cast("long") * buckets + F.col("_bucket")).drop("_bucket")
+
+
 def named(rows: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` with ``name`` (long) in place of the column ``key``: equal keys, and only they, get equal names.
 
     ``rows`` must be cheap to compute twice: a first pass counts keys by their hash, which tells the heavy ones.
     """
+    least = heavy_above(total)
     hashed = rows.withColumn("_hash", F.xxhash64(key))
-    least = max(total // HEAVY, 1)
-    heavy = hashed.groupBy("_hash").count().where(F.col("count") > least).select("_hash", F.lit(True).alias("_heavy"))
-    marked = hashed.join(F.broadcast(cut(heavy)), "_hash", "left")
-    buckets = max(1, -(-total // BUCKET))
-    rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(key)) - 1
-    light = (
-        marked.where(F.col("_heavy").isNull())
-        .withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-        .withColumn("name", rank.cast("long") * buckets + F.col("_bucket"))
-    )
-    # Fewer than HEAVY hashes are heavy, so few distinct keys are left here: they are one small table, whose names are
-    # below 0 and so never those of a bucket.
-    few = marked.where("_heavy").groupBy("_hash", key).agg(F.lit(1).alias("_one")).select("_hash", key)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key))
-    few = few.withColumn("name", -place.cast("long"))
-    most = marked.where("_heavy").join(F.broadcast(few), ["_hash", key])
+    heavy = cut(hashed.groupBy("_hash").agg(F.count("*").alias("_n")).where(F.col("_n") > least))
+    marked = hashed.join(F.broadcast(heavy), "_hash", "left")
+    light = ranked(marked.where(F.col("_n").isNull()), key, total)
+    # Keys of heavy hashes are distinct here, so no bucket is large; their names are below 0 and so never those of others.
+    some = marked.where(F.col("_n").isNotNull())
+    salts = F.ceil(F.col("_n") / least)
+    few = ranked(some.groupBy("_hash", key).agg(F.first("_n").alias("_n")), key, heavy.count() * 2)
+    few = few.select("_hash", key, (-1 - F.col("name")).alias("name"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"))
+    place = F.xxhash64(*(c for c in rows.columns if c != key))
+    most = some.withColumn("_salt", F.pmod(place, salts)).join(few, ["_hash", "_salt", key])
     columns = [c for c in rows.columns if c != key]
     return light.select(*columns, "name").unionByName(most.select(*columns, "name"))
 
@@ -58,7 +67,8 @@ def named(rows: DataFrame, key: str, total: int) -> DataFrame:
 def identities(docs: DataFrame, column: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """A row per document: ``_row``, the ``carried`` columns, ``text_sha256``, ``_chars`` and its identity, ``level`` and ``name``.
 
-    ``docs`` must come straight from files or a checkpoint. Rows with null or repeated ids are rows like any others.
+    ``docs`` must come straight from files or a checkpoint. Rows with null or repeated ids are rows like any others. A text
+    of any length is cut into blocks, none of which is larger than BLOCK.
     """
     whole = with_row(docs).select(
         "_row", *carried, F.length(text(column)).cast("long").alias("_chars"), normalised(column).cast("binary").alias("_bytes")
@@ -109,10 +119,11 @@ def keepers(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     kept = F.min(F.struct(order.alias("order"), F.col(id_column).alias("id"), F.col("_row").alias("row")))
     groups = cut(rows.groupBy("level", "name").agg(kept.alias("k"), F.count("*").alias("group_size")))
     groups = groups.select("level", "name", F.col("k.row").alias("keep_row"), F.col("k.id").alias("keep_id"), "group_size")
-    # Fewer than HEAVY groups are large; their rows stay where they are.
-    large = F.broadcast(groups.where(F.col("group_size") > max(total // HEAVY, 1)))
+    # Fewer than HEAVY groups are large, at some 50 bytes each; their rows stay where they are.
+    most = heavy_above(total)
+    large = F.broadcast(groups.where(F.col("group_size") > most))
     near = rows.join(large, ["level", "name"])
-    small = rows.join(large, ["level", "name"], "left_anti").join(groups.where(F.col("group_size") <= max(total // HEAVY, 1)), ["level", "name"])
+    small = rows.join(large, ["level", "name"], "left_anti").join(groups.where(F.col("group_size") <= most), ["level", "name"])
     return near.unionByName(small)
 
 
@@ -128,5 +139,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they are."""
-    stay = keepers(identities(docs, carried=("doc_id",))).where(F.col("_row") == F.col("keep_row")).select("_row")
-    return with_row(docs).join(stay, "_row", "left_semi").drop("_row")
+    row = fresh(docs, "_row")
+    stay = keepers(identities(docs, carried=("doc_id",))).where(F.col("_row") == F.col("keep_row")).select(F.col("_row").alias(row))
+    return with_row(docs, row).join(stay, row, "left_semi").drop(row)

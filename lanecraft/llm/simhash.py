@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, frame, strings, with_row
+from .common import cut, frame, fresh, strings, with_row
 from .components import components
-from .exact import HEAVY
+from .exact import heavy_above
 
 WORDS = 3
 RADIUS = 2
@@ -166,8 +166,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     of = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     of = joined.join(of, "component").select("print", "component_id")
     ids = cut(nodes.join(of, "print", "left").select("print", "n", F.coalesce("component_id", "least").alias("component_id")))
-    # Fewer than HEAVY fingerprints have more rows than this; their rows stay where they are.
-    most = max((nodes.agg(F.sum("n")).first()[0] or 0) // HEAVY, 1)
+    # Few fingerprints have more rows than this, at some 30 bytes each; their rows stay where they are.
+    most = heavy_above(nodes.agg(F.sum("n")).first()[0] or 0)
     often = F.broadcast(ids.where(F.col("n") > most))
     rest = prints.join(often, "print", "left_anti").join(ids.where(F.col("n") <= most), "print")
     return prints.join(often, "print").unionByName(rest).select("_row", "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -175,8 +175,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
 
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each component of ``docs``: the one with the smallest doc_id (null last), of those the first row."""
+    row = fresh(docs, "_row")
     groups = near_groups(docs, words, radius).withColumn("_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
     key = F.coalesce(F.col("component_id"), F.lit(2**63 - 1))
     stay = groups.groupBy(key.alias("_key"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_own"))
-    stay = stay.agg(F.min(F.struct("_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
-    return with_row(docs).join(stay, "_row", "left_semi").drop("_row")
+    stay = stay.agg(F.min(F.struct("_id", "_row")).alias("first")).select(F.col("first._row").alias(row))
+    return with_row(docs, row).join(stay, row, "left_semi").drop(row)
