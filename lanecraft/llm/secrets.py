@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,}(?![A-Za-z0-9])")
 NAMED = re.compile(r"""(?ai:access_?key(?:_?id)?|client_?id|account|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""(?:[a-z]+://[^\s"'<>]+)|(?ai:\b(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.:/_-]{4,}))""")
+ENDPOINT = re.compile(r"""(?:(?<![a-z])[a-z]+://[^\s"'<>]+)|(?ai:\b(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.:/_-]{4,}))""")
 GAP = re.compile(r"\n[ \t\r]*\n")
 ROLES = ("identifier", "secret", "endpoint")
 
@@ -50,8 +51,18 @@ def named(spans: list[tuple[int, int, int]]) -> str:
 
 def parts(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """role, weak, scope, start and end of all parts; none if the text holds no weak candidate."""
-    taken = [(s, e) for s, _, e in base]
-    free = lambda m: not any(s < m.end() and m.start() < e for s, e in taken)
+    begins, ends = [], []  # of the stretches that base spans cover; those of different kinds may overlap
+    for start, _, end in base:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            begins.append(start)
+            ends.append(end)
+
+    def free(m: re.Match) -> bool:
+        at = bisect_left(begins, m.end())
+        return not at or ends[at - 1] <= m.start()
+
     weak = [(0, m.start(), m.end()) for m in IDENTIFIER.finditer(text) if re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and free(m)]
     weak += [(1, m.start(), m.end()) for m in TOKEN.finditer(text) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]")) and free(m)]
     if not weak:
@@ -114,7 +125,9 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_linked of every row of ``docs``.
 
     ``spans`` has the base spans and those of linked weak candidates as kind:start:end in code points, by start and kind.
-    A text without any has an empty string. ``docs`` must come straight from files or a checkpoint.
+    A text without any has an empty string. One row per row of ``docs``, repeated or without id alike, and whatever its
+    other columns; an empty table gives none. Texts of any length are scanned whole, in time that grows as their length.
+    ``docs`` must come straight from files or a checkpoint.
     """
     found = cut(scanned(docs))
     added = linked(found, reach).groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("added"))
