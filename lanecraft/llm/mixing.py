@@ -11,6 +11,7 @@ the landing problem: a few documents, rounded so that the source's words come ne
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text, with_row
+from .common import cut, fresh, text, with_row
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (1, 2, 3)
@@ -26,6 +27,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Documents of a cell on average.
 CELL = 500
+#: Sources, at some 50 bytes each, up to which their targets are broadcast.
+FEW_SOURCES = 100_000
 #: A probability this near to 0 or 1 is there.
 NEAR = 1e-9
 
@@ -98,12 +101,15 @@ def landing(chance: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _cells(rows: DataFrame, cells: int, last: bool) -> DataFrame:
-    """One round of flights (with the landing in the last one) over ``rows(source, _row, size, chance, cells)``."""
+    """One round of flights (with the landing in the last one) over ``rows(source, _row, size, chance, cells)``.
+
+    The draws of a cell follow from its source, its number and its round, so cells are independent of each other.
+    """
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "_row"], kind="stable")
         sizes = group["size"].to_numpy(np.float64)
-        moved = flight(group["chance"].to_numpy(), sizes, len(group))
+        moved = flight(group["chance"].to_numpy(), sizes, zlib.crc32(repr((key[0], int(key[1]), cells)).encode()))
         group["chance"] = landing(moved, sizes) if last else moved
         return group[["source", "_row", "size", "chance", "cells"]]
 
@@ -123,8 +129,9 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     shares = targets(totals.select("source", "source_size"), weights, most)
     shares = cut(shares.join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    held = F.broadcast if shares.count() <= FEW_SOURCES else lambda df: df
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    rated = sized.join(shares.withColumn("ratio", ratio).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rated = sized.join(held(shares.withColumn("ratio", ratio).withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # A ratio just below a whole number because of rounding is that number.
     whole = F.floor(F.col("ratio") + NEAR)
     rated = rated.withColumn("base", whole).withColumn("chance", F.greatest(F.col("ratio") - whole, F.lit(0.0)))
@@ -145,10 +152,10 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
         more = more.unionByName(part)
     taken = rated.join(more.withColumn("_more", F.lit(1)), "_row", "left")
     taken = cut(taken.withColumn("copies", (F.col("base") + F.coalesce("_more", F.lit(0))).cast("long")))
-    return _exchanged(taken, most).select("_row", "doc_id", "size", "source_size", "target", "copies")
+    return _exchanged(taken, most, held).select("_row", "doc_id", "size", "source_size", "target", "copies")
 
 
-def _exchanged(taken: DataFrame, most: int) -> DataFrame:
+def _exchanged(taken: DataFrame, most: int, held) -> DataFrame:
     """``taken`` after one more step of the landing, where a source's words are still off its target because of a long document.
 
     In each source the one document is taken once more, or once less, whose size is nearest to what is missing, or too
@@ -158,13 +165,13 @@ def _exchanged(taken: DataFrame, most: int) -> DataFrame:
     off = off.withColumnRenamed("source", "s")
     able = F.when(F.col("off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
     miss = F.abs(F.col("size") - F.abs(F.col("off")))
-    pick = taken.join(off, F.col("source").eqNullSafe(F.col("s"))).where(able & (miss < F.abs(F.col("off"))))
+    pick = taken.join(held(off), F.col("source").eqNullSafe(F.col("s"))).where(able & (miss < F.abs(F.col("off"))))
     pick = pick.groupBy("s").agg(F.min(F.struct(miss.alias("miss"), "_row", F.signum("off").cast("long").alias("_step"))).alias("p"))
     return taken.join(pick.select("p._row", "p._step"), "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0)))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    often = copies(docs, weights, most).where("copies > 0").select("_row", "copies")
-    rows = with_row(docs).join(often, "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", "copies", "_row")
+    row, often = fresh(docs, "_row"), fresh(docs, "_often")
+    taken = copies(docs, weights, most).where("copies > 0").select(F.col("_row").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(often))
+    return with_row(docs, row).join(taken, row).withColumn(often, F.explode(often)).drop(often, row)
