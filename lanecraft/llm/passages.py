@@ -7,16 +7,23 @@ Suffixes are dealt by content: the key of a suffix is the smallest hash of the `
 LEAST bytes, so suffixes that agree on those have the same key, and neighbours mostly share one; a run of neighbours
 with one key travels as one string. Two rounds keep the volume down. In the first, only the keys of each slice of
 documents are dealt out, to learn which occur in several documents. In the second, the strings under such keys meet.
-There the suffixes are sorted, and the array of longest previous factors (capped at LEAST, beyond which nothing changes)
-follows from the previous and next suffix of a smaller document in that order.
 
-Documents are worked on in slices of neighbouring rows. A slice says each key, and each string, once, with the
-smallest document that has it, and settles its later documents itself: so a passage that a third of all documents share
-counts once a slice and not once a document.
+Where strings meet, their suffixes are put in order. Neighbours in that order have their longest common prefix; the
+longest previous factor of a suffix is the longer of those with the previous and with the next suffix of a smaller
+document, each the least common prefix on the way there. It is found for the first suffixes of all strings: where it is
+as long as the string, the string's other suffixes have theirs there too. The suffixes of all other strings follow, with
+lengths capped at LEAST, beyond which nothing changes.
+
+Documents are worked on in slices of neighbouring rows, bounded by rows and bytes. A slice settles by its own suffix
+order what its smaller documents have, and sends on the rest: so a passage that a third of all documents share counts
+once a slice and not once a document.
 
 A run's string holds what stands beside the bytes that gave its key, so a short line that many documents share, each
 between other texts, gives one key as many strings as documents. The first round therefore also tells how many strings a
 slice has under a key. The suffixes under a crowded key are dealt one by one, by a hash of all their LEAST bytes.
+
+A text is read whole, and in memory at once with those of its slice; where texts of tens of megabytes are common, bound
+Spark's Arrow batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
 """
 
 from __future__ import annotations
@@ -35,10 +42,10 @@ from .common import LAST_ID, text, with_row
 
 LEAST = 50
 GRAM = 20
-#: Rows of a slice, as a power of two; bytes that are hashed at once; bytes of all texts for each bucket of keys.
-SLICE_BITS = 8
+#: Rows and bytes of a slice, unless one text alone has more; bytes that are hashed at once; bytes of all texts for each bucket of keys.
+SLICE_ROWS, SLICE_BYTES = 256, 16 << 20
 AT_ONCE = 1 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
 #: Strings under one key, about, above which its suffixes are dealt one by one.
 CROWD = 1024
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -125,7 +132,7 @@ def grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 INT32S, INT64S = pa.list_(pa.int32()), pa.list_(pa.int64())
 KEYS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("once", INT32S), ("often", INT32S), ("once_marks", pa.binary()), ("often_marks", pa.binary())])
 SHARED = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("names", INT32S), ("crowded", INT32S)])
-STRINGS = pa.schema([("bucket", pa.int64()), ("keys", INT64S), ("ids", INT64S), ("rows", INT64S), ("starts", INT32S), ("lengths", INT32S), ("data", pa.binary())])
+STRINGS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("keys", INT64S), ("ids", INT64S), ("rows", INT64S), ("starts", INT32S), ("lengths", INT32S), ("data", pa.binary())])
 PACKED = pa.schema([("slice", pa.int64()), ("rows", INT64S), ("doc_ids", INT64S), ("lengths", INT64S), ("data", pa.binary())])
 SPANS = pa.schema([("slice", pa.int64()), ("_row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
@@ -135,17 +142,32 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int | None], list[bytes]]]:
+    """_row, doc_id and bytes of the documents of each slice. Where slices end depends on the rows alone, not on how they are batched."""
+    rows: list[int] = []
+    ids: list[int | None] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for row, doc_id, value in zip(*batch.columns, strict=True):
+            value = value.as_py()
+            if rows and (len(rows) == SLICE_ROWS or size + len(value) > SLICE_BYTES):
+                yield rows, ids, texts
+                rows, ids, texts, size = [], [], [], 0
+            rows.append(row.as_py())
+            ids.append(doc_id.as_py())
+            texts.append(value)
+            size += len(value)
+    if rows:
+        yield rows, ids, texts
+
+
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of a slice as one row, compressed: they go through two shuffles."""
+    """The documents of a slice, which is named by its first row, as one row, compressed: they go through two shuffles."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        slices = batch.column("slice").to_numpy()
-        bounds = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)] if len(slices) else []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            texts = [v.as_py() for v in batch.column("bytes").slice(a, b - a)]
-            rows, ids = (batch.column(c).slice(a, b - a).to_pylist() for c in ("_row", "doc_id"))
-            line = [[int(slices[a])], [rows], [ids], [list(map(len, texts))], [squeeze(b"".join(texts))]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(line, PACKED.types, strict=True)], schema=PACKED)
+    for rows, ids, texts in slices(batches):
+        line = [[rows[0]], [rows], [ids], [list(map(len, texts))], [squeeze(b"".join(texts))]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(line, PACKED.types, strict=True)], schema=PACKED)
 
 
 def unpacked(table: pa.Table) -> list[tuple[int, int | None, bytes]]:
@@ -166,29 +188,25 @@ def said(buckets: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slices = batch.column(0).to_numpy()
-            bounds = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)] if len(slices) else []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                documents = [v.as_py() for v in batch.column(1).slice(a, b - a)]
-                parts = [(d, k, h) for d, _, _, k, h in runs(documents)]
-                document, key, prints = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.uint64)] * 3
-                if not len(key):
-                    continue
-                bucket, name = dealt(key, buckets)
-                code = bucket.astype(np.uint64) << np.uint64(32) | name.view(np.uint32)
-                order = np.lexsort((prints, code))
-                code, document, prints = code[order], document[order], prints[order]
-                new = np.concatenate([[True], code[1:] != code[:-1]])
-                other = new | np.concatenate([[True], prints[1:] != prints[:-1]])
-                first = np.flatnonzero(new)
-                many = np.minimum.reduceat(document, first) != np.maximum.reduceat(document, first)
-                power = np.minimum(np.ceil(np.log2(np.add.reduceat(other.astype(np.int64), first))), 15).astype(np.uint8)
-                mark = power << np.uint8(4) | (prints[first] & np.uint64(15)).astype(np.uint8)
-                code = code[first]
-                at, names = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                rows = [(k, int(slices[a]), *(names[j] for j in (i[~many[i]], i[many[i]])), *(mark[j].tobytes() for j in (i[~many[i]], i[many[i]]))) for k, i in grouped(at)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KEYS.types, strict=True)], schema=KEYS)
+        for own, _, documents in slices(batches):
+            parts = [(d, k, h) for d, _, _, k, h in runs(documents)]
+            document, key, prints = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.uint64)] * 3
+            if not len(key):
+                continue
+            bucket, name = dealt(key, buckets)
+            code = bucket.astype(np.uint64) << np.uint64(32) | name.view(np.uint32)
+            order = np.lexsort((prints, code))
+            code, document, prints = code[order], document[order], prints[order]
+            new = np.concatenate([[True], code[1:] != code[:-1]])
+            other = new | np.concatenate([[True], prints[1:] != prints[:-1]])
+            first = np.flatnonzero(new)
+            many = np.minimum.reduceat(document, first) != np.maximum.reduceat(document, first)
+            power = np.minimum(np.ceil(np.log2(np.add.reduceat(other.astype(np.int64), first))), 15).astype(np.uint8)
+            mark = power << np.uint8(4) | (prints[first] & np.uint64(15)).astype(np.uint8)
+            code = code[first]
+            at, names = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            rows = [(k, own[0], *(names[j] for j in (i[~many[i]], i[many[i]])), *(mark[j].tobytes() for j in (i[~many[i]], i[many[i]]))) for k, i in grouped(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KEYS.types, strict=True)], schema=KEYS)
 
     return run
 
@@ -238,10 +256,10 @@ def told(buckets: int):
         if not len(shared) or not len(documents):
             return none
         wanted, crowded = codes(shared, "names"), codes(shared, "crowded")
+        own_slice = documents.column("slice")[0].as_py()
         rows, ids, texts = zip(*unpacked(documents), strict=True)
         ids = [LAST_ID if i is None else i for i in ids]
-        held: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
-        key_of: dict[bytes, int] = {}
+        held: list[tuple[int, int, int, int, bytes]] = []  # of each string: key, document, row, place and itself
         apart: list[tuple[int, int, int]] = []
         for document, start, stop, key, _ in runs(texts):
             bucket, name = dealt(key, buckets)
@@ -251,34 +269,24 @@ def told(buckets: int):
             keep = np.flatnonzero((wanted[at] == code) & ~full)
             apart += zip(document[full].tolist(), start[full].tolist(), stop[full].tolist(), strict=True)
             for d, a, b, k in zip(document[keep].tolist(), start[keep].tolist(), (stop[keep] + LEAST).tolist(), key[keep].view(np.int64).tolist(), strict=True):
-                string = texts[d][a:b]
-                held[string].append((ids[d], rows[d], a))
-                key_of[string] = k
+                held.append((k, ids[d], rows[d], a, texts[d][a:b]))
         out, later = defaultdict(list), []
-        for string, places in held.items():
-            least = min(places)[0]
-            key = key_of[string]
-            to = (key & 0xFFFFFFFF) % buckets
-            for i, row, a in places:
-                if i > least:
-                    later.append((0, i, row, a, len(string), b""))
-                else:
-                    out[to].append((key, i, row, a, len(string), string))
-        least_of: dict[bytes, int] = {}
-        for d, a, b in apart:
-            for p in range(a, b + 1):
-                string = texts[d][p : p + LEAST]
-                least_of[string] = min(least_of.get(string, LAST_ID), ids[d])
-        for d, a, b in apart:
+        settled_here = covered([h[4] for h in held], np.array([h[1] for h in held], np.int64))
+        for (k, i, row, a, string), here in zip(held, settled_here.tolist(), strict=True):
+            if here:
+                later.append((0, i, row, a, len(string), b""))
+            else:
+                out[(k & 0xFFFFFFFF) % buckets].append((k, i, row, a, len(string), string))
+        for d, a, b, own in single(apart, texts, ids):
             begin = None  # of a stretch of suffixes that the slice settles itself
-            for p in range(a, b + 1):
-                string = texts[d][p : p + LEAST]
-                if ids[d] > least_of[string]:
+            for p, here in enumerate(own, a):
+                if here:
                     begin = p if begin is None else begin
                     continue
                 if begin is not None:
                     later.append((0, ids[d], rows[d], begin, p - 1 + LEAST - begin, b""))
                     begin = None
+                string = texts[d][p : p + LEAST]
                 key = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
                 out[(key & 0xFFFFFFFF) % buckets].append((key, ids[d], rows[d], p, LEAST, string))
             if begin is not None:
@@ -288,7 +296,7 @@ def told(buckets: int):
         lines = []
         for to, entries in out.items():
             *numbers, data = zip(*entries, strict=True)
-            lines.append((to, *map(list, numbers), b"".join(data)))
+            lines.append((to, own_slice, *map(list, numbers), b"".join(data)))
         if not lines:
             return none
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines, strict=True), STRINGS.types, strict=True)], schema=STRINGS)
@@ -296,69 +304,113 @@ def told(buckets: int):
     return run
 
 
-def previous_factors(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each of ``windows`` (the first LEAST bytes of a suffix, as rows), whether its longest previous factor is LEAST.
+def longest_previous(common: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix in suffix order: ``common[i]`` is what i has in common with the one before it.
 
-    In suffix order the longest match with a smaller document is that with the nearest one before or after. With matches
-    capped at LEAST, that one is in the same stretch of equal windows, or there is none of full length.
+    The previous smaller document is found by following, round by round, where the one before points to; what is common
+    on the way is the least of its parts. The next smaller one is the same from the other end.
     """
+    best = np.zeros(len(ids), np.int64)
+    for back in (False, True) if len(ids) else ():
+        of = ids[::-1] if back else ids
+        shared = np.concatenate([[0], common[1:][::-1] if back else common[1:]]).astype(np.int64)
+        to = np.arange(-1, len(of) - 1)
+        open_ = np.flatnonzero((to >= 0) & (shared > 0))
+        while len(open_ := open_[(of[to[open_]] >= of[open_]) & (shared[open_] > 0)]):
+            through = to[open_]
+            shared[open_] = np.minimum(shared[open_], shared[through])
+            to[open_] = to[through]
+            open_ = open_[to[open_] >= 0]
+        shared[to < 0] = 0
+        best = np.maximum(best, shared[::-1] if back else shared)
+    return best
+
+
+def covered(strings: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """Whether the longest previous factor of each string's first suffix is as long as the string."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    common = np.zeros(len(order), np.int64)
+    for i in range(1, len(order)):
+        a, b = strings[order[i - 1]], strings[order[i]]
+        n = min(len(a), len(b))
+        if a[:LEAST] == b[:LEAST]:  # shorter than LEAST is as good as nothing
+            differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+            common[i] = n - (differ.bit_length() + 7) // 8
+    out = np.zeros(len(order), bool)
+    out[order] = longest_previous(common, ids[order]) >= np.array([len(strings[i]) for i in order], np.int64)
+    return out
+
+
+def previous_factors(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The longest previous factors of suffixes that are given by their first LEAST bytes (rows of ``windows``): LEAST, or 0 for less."""
     order = np.argsort(np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel(), kind="stable")
-    in_order, of = windows[order], ids[order]
-    full = np.concatenate([[False], (in_order[1:] == in_order[:-1]).all(axis=1)])
-    first = np.flatnonzero(~full)
-    least = np.repeat(np.minimum.reduceat(of, first), np.diff(np.concatenate([first, [len(of)]])))
-    out = np.zeros(len(ids), bool)
-    out[order] = of > least
+    in_order = windows[order]
+    common = np.zeros(len(order), np.int64)
+    common[1:] = np.where((in_order[1:] == in_order[:-1]).all(axis=1), windows.shape[1], 0)
+    out = np.zeros(len(ids), np.int64)
+    out[order] = longest_previous(common, ids[order])
+    return out
+
+
+def repeated(windows: np.ndarray, begin: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the suffixes ``windows[begin]`` have a longest previous factor of LEAST.
+
+    Only those that share a hash of all their LEAST bytes need to be put in order.
+    """
+    with np.errstate(over="ignore"):
+        weights = ODD[1] ** np.arange(1, LEAST + 1, dtype=np.uint64)
+        sums = np.concatenate([windows[begin[i : i + 65536]].astype(np.uint64) @ weights for i in range(0, len(begin), 65536)])
+    _, back, seen = np.unique(sums, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(seen[back] > 1)
+    out = np.zeros(len(begin), bool)
+    if len(some):
+        out[some] = previous_factors(windows[begin[some]], ids[some]) >= LEAST
     return out
 
 
+def single(apart: list[tuple[int, int, int]], texts: list[bytes], ids: list[int]) -> Iterator[tuple[int, int, int, list[bool]]]:
+    """``apart`` (document, first and last place of a stretch of suffixes), with which of them the slice settles itself."""
+    if not apart:
+        return
+    documents = sorted({d for d, _, _ in apart})
+    base = dict(zip(documents, np.concatenate([[0], np.cumsum([len(texts[d]) for d in documents])]).tolist(), strict=False))
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(texts[d] for d in documents), np.uint8), LEAST)
+    many = np.array([b - a + 1 for _, a, b in apart], np.int64)
+    begin = np.repeat([base[d] + a for d, a, _ in apart], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    found = repeated(windows, begin, np.repeat(np.array([ids[d] for d, _, _ in apart], np.int64), many))
+    for (d, a, b), own in zip(apart, np.split(found, np.cumsum(many)[:-1]), strict=True):
+        yield d, a, b, own.tolist()
+
+
 def settled(table: pa.Table) -> pa.Table:
     """Second round, in a bucket: the spans of the suffixes whose longest previous factor is LEAST or more."""
     columns = {n: np.concatenate([v.values.to_numpy() for v in table.column(n)]) for n in ("keys", "ids", "rows", "starts", "lengths")}
     key, ids, rows, starts, lengths = (c.astype(np.int64) for c in columns.values())
+    own = np.repeat(table.column("slice").to_numpy(), [len(v.values) for v in table.column("keys")])
     spans: list[np.ndarray] = []
     if table.column("bucket")[0].as_py() < 0:
-        spans.append(np.stack([rows, starts, starts + lengths]))
+        spans.append(np.stack([own, rows, starts, starts + lengths]))
     else:
         data = b"".join(v.as_py() for v in table.column("data"))
         ends = np.cumsum(lengths)
-        groups: dict[tuple[int, bytes], int] = {}
-        group = np.array([groups.setdefault((k, data[e - n : e]), len(groups)) for k, e, n in zip(key.tolist(), ends.tolist(), lengths.tolist(), strict=True)])
-        least = np.full(len(groups), LAST_ID)
-        np.minimum.at(least, group, ids)
-        whole = ids > least[group]  # the same string in a smaller document covers all of its suffixes
-        spans.append(np.stack([rows, starts, starts + lengths])[:, whole])
-        names = np.array([k for k, _ in groups], np.int64)
-        _, of, count = np.unique(names, return_inverse=True, return_counts=True)
-        alone = count[of] < 2
-        first = np.full(len(groups), -1)
-        first[group[::-1]] = np.arange(len(group))[::-1]
-        # Different strings under one key may share suffixes in part.
-        sources = np.flatnonzero(~alone)
-        if len(sources):
-            entry = first[sources]
-            many = lengths[entry] - LEAST + 1
-            begin = np.repeat(ends[entry] - lengths[entry], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        strings = [data[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+        whole = covered(strings, ids)
+        spans.append(np.stack([own, rows, starts, starts + lengths])[:, whole])
+        # Different strings under one key may share suffixes in part; the covered ones have nothing that others lack.
+        _, of, count = np.unique(key[~whole], return_inverse=True, return_counts=True)
+        left = np.flatnonzero(~whole)[count[of] > 1]
+        if len(left):
+            many = lengths[left] - LEAST + 1
+            begin = np.repeat(ends[left] - lengths[left], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), LEAST)
-            # Only suffixes whose LEAST bytes may occur twice need sorting: those that share a hash of all of them.
-            with np.errstate(over="ignore"):
-                weights = ODD[1] ** np.arange(1, LEAST + 1, dtype=np.uint64)
-                sums = np.concatenate([view[begin[i : i + 65536]].astype(np.uint64) @ weights for i in range(0, len(begin), 65536)])
-            _, back, seen = np.unique(sums, return_inverse=True, return_counts=True)
-            some = np.flatnonzero(seen[back] > 1)
-            flags = np.zeros(len(begin), bool)
-            if len(some):
-                owner = np.repeat(sources, many)
-                flags[some] = previous_factors(view[begin[some]], least[owner[some]])
-            at = np.full(len(groups), -1)
-            at[sources] = np.cumsum(many) - many
-            for e in np.flatnonzero(~whole & ~alone[group]).tolist():
-                own = flags[at[group[e]] : at[group[e]] + lengths[e] - LEAST + 1]
-                if own.any():
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-                    spans.append(np.stack([np.full(len(edges) // 2, rows[e]), starts[e] + edges[::2], starts[e] + edges[1::2] - 1 + LEAST]))
-    row, start, stop = np.concatenate(spans, axis=1)
-    return pa.Table.from_arrays([pa.array(c) for c in (row >> SLICE_BITS, row, start, stop)], schema=SPANS)
+            found = repeated(view, begin, np.repeat(ids[left], many))
+            for e, flags in zip(left.tolist(), np.split(found, np.cumsum(many)[:-1]), strict=True):
+                if flags.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
+                    n = len(edges) // 2
+                    spans.append(np.stack([np.full(n, own[e]), np.full(n, rows[e]), starts[e] + edges[::2], starts[e] + edges[1::2] - 1 + LEAST]))
+    of_slice, row, start, stop = np.concatenate(spans, axis=1)
+    return pa.Table.from_arrays([pa.array(c) for c in (of_slice, row, start, stop)], schema=SPANS)
 
 
 KEPT = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -390,12 +442,11 @@ def without_repeats(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
     rows with the same id never remove each other's bytes. ``docs`` must come straight from files or a checkpoint.
     """
     rows = with_row(docs).select("_row", "doc_id", text().cast("binary").alias("bytes"))
-    rows = rows.withColumn("slice", F.shiftright("_row", SLICE_BITS))
     size = docs.agg(F.sum(F.octet_length(text()))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    keyed = rows.select("slice", "bytes").mapInArrow(said(buckets), ddl(KEYS))
+    keyed = rows.mapInArrow(said(buckets), ddl(KEYS))
     shared = keyed.groupBy("bucket").applyInArrow(met(CROWD), ddl(SHARED))
-    own = rows.select("slice", "_row", "doc_id", "bytes").mapInArrow(packed, ddl(PACKED))
+    own = rows.mapInArrow(packed, ddl(PACKED))
     strings = own.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(told(buckets), ddl(STRINGS))
     # What a slice has settled itself needs no meeting, so those rows may stay where they are.
     apart = strings.withColumn("part", F.when(F.col("bucket") < 0, F.xxhash64("rows") % 1024).otherwise(0))
