@@ -128,6 +128,8 @@ def parsed(html: str) -> list[Node]:
     builder = Builder()
     try:
         builder.feed(html)
+        if re.match(r"<[A-Za-z/!?]", builder.rawdata):  # a tag that never ends is no text
+            builder.rawdata = ""
         HTMLParser.close(builder)
     except (AssertionError, ValueError):
         builder.handle_data(re.sub(r"<[^>]*>?", " ", html))
@@ -334,6 +336,8 @@ def example(draw: random.Random) -> tuple[str, set[str]]:
 
     def body(n: int) -> str:
         out = [f"<h1>{words(draw.randint(2, 9), True)}</h1>"] if draw.random() < 0.8 else []
+        if draw.random() < 0.2:
+            out.append(f"<header{draw.choice(['', named(2)])}><p>{words(draw.randint(2, 6), False)}</p></header>")
         for _ in range(n):
             kind = draw.random()
             if kind < 0.75:
@@ -348,10 +352,24 @@ def example(draw: random.Random) -> tuple[str, set[str]]:
                 out.append(f"<table><tr><td>{words(2, True)}</td><td>{words(2, True)}</td></tr></table>")
             else:
                 out.append(side(draw.choice([3, 4, 5, 7])))
+        if draw.random() < 0.2:
+            out.append(f"<footer{draw.choice(['', named(3)])}>{words(draw.randint(1, 5), False)}</footer>")
         return "".join(out)
 
-    inner = body(draw.choice([1, 2, 3, 5, 8, 15]))
-    around = draw.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f"<div{named(0)}>{{}}</div>", f"<div id=wrap><div{named(0)}>{{}}</div></div>", "<article class=post><div class=entry-content>{}</div></article>", f"<section{named(0)}>{{}}</section>"])
+    def bare(n: int) -> str:
+        """Text without blocks of its own, or only lists."""
+        line = lambda: words(draw.randint(3, 40), True)
+        if draw.random() < 0.3:
+            return "<ul>" + "".join(f"<li>{words(draw.randint(2, 12), True)}</li>" for _ in range(draw.choice([3, 20, 150]))) + "</ul>"
+        return draw.choice(["<br>", "<br><br>", " ", "<p>"]).join(line() for _ in range(n))
+
+    size = draw.choice([1, 1, 2, 3, 5, 8, 15])
+    inner = bare(size) if draw.random() < 0.12 else body(size)
+    if draw.random() < 0.15:  # a page without any wrapper, or with wrappers that say nothing; often nothing but the text
+        wrapped = draw.choice(["{}", "<body>{}</body>", "<html><body>{}</body></html>", "<body><div>{}</div></body>", "<div><div><div>{}</div></div></div>", "<body><table><tr><td>{}</td></tr></table></body>"])
+        ends = draw.random() < 0.4
+        return wrapped.format((side(0) if ends else "") + inner + (side(2) if ends else "")), main
+    around = draw.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f"<div{named(0)}>{{}}</div>", f"<div id=wrap><div{named(0)}>{{}}</div></div>", "{}", "<div>{}</div>", "<article class=post><div class=entry-content>{}</div></article>", f"<section{named(0)}>{{}}</section>"])
     before = "".join(side(k) for k in range(8) if draw.random() < (0.7, 0.5, 0, 0.2, 0.35, 0.25, 0, 0.2)[k])
     after = "".join(side(k) for k in range(8) if draw.random() < (0.1, 0, 0.8, 0.4, 0.2, 0.15, 0.35, 0.2)[k])
     head = f"<head><title>{words(3, False)}</title><style>p{{x:y}}</style><script>var a='<p>';</script></head>" if draw.random() < 0.9 else ""
@@ -383,7 +401,11 @@ TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 
 
 def extracted(pages: DataFrame, model: tuple[Tree, ...] | None = None) -> DataFrame:
-    """page_id, url, text and n_chars of every row of ``pages``; null html counts as empty, which has no text. No shuffle."""
+    """page_id, url, text and n_chars of every row of ``pages``, by the trees of ``model``. No shuffle.
+
+    Null html counts as empty, which has no text; nor has a page in which nothing but menus and the like stands. Repeated
+    rows have equal texts, an empty table gives none, other columns don't matter, and pages of any length are read whole.
+    """
     model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
