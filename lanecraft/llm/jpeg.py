@@ -3,8 +3,10 @@
 A payload of 64-byte blocks becomes a greyscale baseline JPEG in which each byte, less 128, is one quantised
 coefficient of an 8x8 block; the first of a block is its DC term. Coefficients are coded without loss, so the decoder
 gives back the bytes exactly. Each block is a restart interval, which lets numpy code and decode one coefficient of
-very many blocks (of very many files) per step. The decoder reads what the markers of a file say: sizes, Huffman
-tables, restart interval and scan.
+very many blocks (of very many files) per step. The decoder reads what the markers of a file say, of other encoders'
+baseline files too: sizes, components and their sampling, Huffman and quantisation tables, and restart intervals of any
+length or none, whose DC terms it sums up. Of a picture in colour the luminance makes the thumbnail. A file without
+restarts is decoded one coefficient at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, text
+from .common import frame, fresh, text
 
 SIDE = 8
 BLOCK = SIDE * SIDE
@@ -165,34 +167,78 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return files
 
 
+class Part(NamedTuple):
+    """A component of a scan: its number, sampling factors, first quantiser and tables."""
+
+    number: int
+    wide: int
+    high: int
+    quantiser: int
+    dc: Table
+    ac: Table
+
+
 class Picture(NamedTuple):
+    """What the markers say up to the end of the scan that holds the luminance; ``interval`` 0 is a scan without restarts."""
+
     width: int
     height: int
     payload: int
-    dc: Table
-    ac: Table
+    parts: tuple[Part, ...]
+    most_wide: int
+    most_high: int
+    interval: int
     scan: tuple[int, int]
 
+    def grid(self) -> tuple[int, int]:
+        """Units of the scan in a row and in a column; a scan of one component has units of one block."""
+        if len(self.parts) > 1:
+            return -(-self.width // (SIDE * self.most_wide)), -(-self.height // (SIDE * self.most_high))
+        own = self.parts[0]
+        return -(-(-(-self.width * own.wide // self.most_wide)) // SIDE), -(-(-(-self.height * own.high // self.most_high)) // SIDE)
+
+    def layout(self) -> tuple[int, ...]:
+        """The part of each block of a unit."""
+        if len(self.parts) == 1:
+            return (0,)
+        return tuple(i for i, p in enumerate(self.parts) for _ in range(p.wide * p.high))
+
+
+def scan_end(file: bytes, at: int) -> int:
+    """Where the next marker is that belongs to no scan's data."""
+    while (at := file.find(b"\xff", at)) >= 0 and at + 1 < len(file):
+        if file[at + 1] and not 0xD0 <= file[at + 1] <= 0xD7:
+            return at
+        at += 2 if not file[at + 1] or file[at + 1] != 0xFF else 1
+    return len(file)
+
 
 def parsed(file: bytes) -> Picture:
-    """What the markers of a greyscale baseline file say; the scan as where its data begins and ends."""
+    """What the markers of a baseline file say."""
     if file[:2] != b"\xff\xd8":
         raise ValueError("no JPEG file")
-    at, payload, tables, shape, interval = 2, -1, {}, None, 0
+    at, payload, tables, quantisers, shape, interval = 2, -1, {}, {}, None, 0
     while True:
-        if file[at] != 0xFF:
-            raise ValueError(f"no marker at {at}")
+        while file[at : at + 2] == b"\xff\xff":  # fill bytes
+            at += 1
+        if file[at : at + 1] != b"\xff" or file[at + 1] == 0xD9:
+            raise ValueError(f"no marker at {at}, or no scan of the luminance")
         code, length = file[at + 1], int.from_bytes(file[at + 2 : at + 4], "big")
         body, at = file[at + 4 : at + 2 + length], at + 2 + length
         if code == 0xFE and body.startswith(MAGIC):
             payload = struct.unpack(">Q", body[len(MAGIC) :])[0]
         elif code == 0xC0:
             precision, high, wide, components = struct.unpack(">BHHB", body[:6])
-            if precision != 8 or components != 1:
-                raise ValueError("only greyscale with 8 bits")
-            shape = wide, high
+            if precision != 8:
+                raise ValueError("only 8 bits a sample")
+            shape = wide, high, {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(components)}
         elif code in range(0xC1, 0xD0) and code not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not baseline")
+        elif code == 0xDB:
+            while body:
+                size = 2 if body[0] >> 4 else 1
+                quantisers[body[0] & 15] = int.from_bytes(body[1 : 1 + size], "big")
+                body = body[1 + BLOCK * size :]
         elif code == 0xC4:
             while body:
                 counts = list(body[1:17])
@@ -202,9 +248,15 @@ def parsed(file: bytes) -> Picture:
         elif code == 0xDD:
             interval = struct.unpack(">H", body)[0]
         elif code == 0xDA:
-            if interval != 1 or shape is None:
-                raise ValueError("only scans with a restart after each block")
-            return Picture(*shape, payload, tables[body[2] >> 4], tables[0x10 | body[2] & 15], (at, len(file) - 2))
+            if shape is None:
+                raise ValueError("a scan before the frame")
+            end, (wide, high, frames) = scan_end(file, at), shape
+            chosen = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+            if next(iter(frames)) in dict(chosen):
+                parts = tuple(Part(c, *frames[c][:2], quantisers.get(frames[c][2], 1), tables[t >> 4], tables[0x10 | t & 15]) for c, t in chosen)
+                most = (max(f[i] for f in frames.values()) for i in (0, 1))
+                return Picture(wide, high, payload, parts, *most, interval, (at, end))
+            at = end
 
 
 _tables: dict[tuple[bytes, bytes], Table] = {}
@@ -220,17 +272,25 @@ def table(counts: bytes, symbols: bytes) -> Table:
     return found
 
 
-def decoded(data: np.ndarray, begins: np.ndarray, dc: Table, ac: Table) -> np.ndarray:
-    """The coefficients of the blocks whose unstuffed bytes begin at ``begins``; ``data`` has 8 bytes more at its end."""
+def decoded(data: np.ndarray, begins: np.ndarray, units: np.ndarray, layout: tuple[int, ...], tables: tuple[tuple[Table, Table], ...]) -> np.ndarray:
+    """The coefficients of the blocks of the intervals whose unstuffed bytes begin at ``begins``: by interval, unit and block of ``layout``.
+
+    ``units`` says how many units an interval has. A step decodes one coefficient of all intervals; DC terms are
+    differences from those before in their interval and part. ``data`` has 8 bytes more at its end.
+    """
     wide = np.zeros(len(data) - 7, np.int64)
     for i in range(5):
         wide = wide << 8 | data[i : len(data) - 7 + i]
     n = len(begins)
-    out = np.zeros((n, BLOCK), np.int64)
+    first = np.concatenate([[0], np.cumsum(units)]) * len(layout)
+    out = np.zeros((int(first[-1]), BLOCK), np.int64)
     bit = begins.astype(np.int64) * 8
+    before = np.zeros((len(tables), n), np.int64)
 
     def value(who: np.ndarray, huffman: Table) -> tuple[np.ndarray, np.ndarray]:
         place = bit[who]
+        if len(place) and place.max() >> 3 >= len(wide):
+            raise ValueError("the data ends within a block")
         ahead = wide[place >> 3] >> (8 - (place & 7)) & 0xFFFFFFFF
         found = huffman.ahead[ahead >> 16]
         length, name = found & 0xFF, found >> 8
@@ -241,42 +301,58 @@ def decoded(data: np.ndarray, begins: np.ndarray, dc: Table, ac: Table) -> np.nd
         bit[who] = place + length + size
         return name, np.where(extra < (1 << size) >> 1, extra - (1 << size) + 1, extra)
 
-    rows = np.arange(n)
-    _, out[:, 0] = value(rows, dc)
-    k = np.ones(n, np.int64)
-    while len(rows):
-        name, found = value(rows, ac)
-        k += name >> 4
-        some = (name & 15) > 0
-        if some.all():
-            out[rows, k] = found
-            k += 1
-            keep = k < BLOCK
-        else:
-            out[rows[some], k[some]] = found[some]
-            k += 1
-            keep = (k < BLOCK) & (name != 0)
-        if not keep.all():
-            rows, k = rows[keep], k[keep]
+    for unit in range(int(units.max(initial=0))):
+        live = np.flatnonzero(units > unit)
+        for b, part in enumerate(layout):
+            dc, ac = tables[part]
+            at = first[live] + unit * len(layout) + b
+            _, step = value(live, dc)
+            before[part, live] += step
+            out[at, 0] = before[part, live]
+            rows, k = live, np.ones(len(live), np.int64)
+            while len(rows):
+                name, found = value(rows, ac)
+                k += name >> 4
+                if k.max() > BLOCK:
+                    raise ValueError("a block with too many coefficients")
+                some = (name & 15) > 0
+                if some.all():
+                    out[at, np.minimum(k, BLOCK - 1)] = found
+                    k += 1
+                    keep = k < BLOCK
+                else:
+                    out[at[some], np.minimum(k[some], BLOCK - 1)] = found[some]
+                    k += 1
+                    keep = (k < BLOCK) & (name != 0)
+                if not keep.all():
+                    rows, k, at = rows[keep], k[keep], at[keep]
+    if (bit > 8 * np.concatenate([begins[1:], [len(data) - 8]])).any():
+        raise ValueError("the data ends within a block")
     return out
 
 
 def decode(files: list[bytes]) -> list[tuple[Picture, np.ndarray]]:
-    """For each file what it says of itself and its coefficients, a row per block."""
+    """For each file what it says of itself and the coefficients of its scan, a row per block in the order of the scan.
+
+    Intervals of files with equal tables and layouts are decoded together.
+    """
     pictures = [parsed(f) for f in files]
     out: list[list[np.ndarray]] = [[] for _ in files]
-    pending: list[tuple[int, np.ndarray, np.ndarray]] = []
+    pending: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+    of = lambda p: (p.layout(), tuple((x.dc, x.ac) for x in p.parts))
+    alike = lambda p, q: p.layout() == q.layout() and all(a.dc is b.dc and a.ac is b.ac for a, b in zip(p.parts, q.parts, strict=True))
 
     def flush() -> None:
         if pending:
-            sizes = np.cumsum([0] + [len(d) for _, d, _ in pending])
-            data = np.concatenate([d for _, d, _ in pending] + [np.zeros(8, np.uint8)])
-            begins = np.concatenate([b + s for (_, _, b), s in zip(pending, sizes, strict=False)])
-            own = pictures[pending[0][0]]
-            found, first = decoded(data, begins, own.dc, own.ac), 0
-            for i, _, b in pending:
-                out[i].append(found[first : first + len(b)])
-                first += len(b)
+            sizes = np.cumsum([0] + [len(d) for _, d, _, _ in pending])
+            data = np.concatenate([d for _, d, _, _ in pending] + [np.zeros(8, np.uint8)])
+            begins = np.concatenate([b + s for (_, _, b, _), s in zip(pending, sizes, strict=False)])
+            layout, tables = of(pictures[pending[0][0]])
+            found, first = decoded(data, begins, np.concatenate([u for *_, u in pending]), layout, tables), 0
+            for i, _, _, units in pending:
+                many = int(units.sum()) * len(layout)
+                out[i].append(found[first : first + many])
+                first += many
             pending.clear()
 
     for i, (file, picture) in enumerate(zip(files, pictures, strict=True)):
@@ -286,22 +362,35 @@ def decode(files: list[bytes]) -> list[tuple[Picture, np.ndarray]]:
         restart = (raw == 0xFF) & (after >= 0xD0) & (after <= 0xD7)
         data = raw[~stuffing]
         begins = np.concatenate([[0], np.flatnonzero(restart[~stuffing]) + 2])
-        if pending and not ((own := pictures[pending[0][0]]).dc is picture.dc and own.ac is picture.ac):
+        across, down = picture.grid()
+        interval = picture.interval or across * down
+        units = np.full(-(-across * down // interval), interval, np.int64)
+        units[-1] = across * down - interval * (len(units) - 1)
+        if len(begins) != len(units):
+            raise ValueError("the restart markers don't fit the picture")
+        if pending and not alike(pictures[pending[0][0]], picture):
             flush()
         for at in range(0, len(begins), AT_ONCE):
             part = begins[at : at + AT_ONCE]
             end = begins[at + AT_ONCE] if at + AT_ONCE < len(begins) else len(data)
-            pending.append((i, data[part[0] : end], part - part[0]))
-            if sum(len(b) for _, _, b in pending) >= AT_ONCE:
+            pending.append((i, data[part[0] : end], part - part[0], units[at : at + AT_ONCE]))
+            if sum(len(b) for _, _, b, _ in pending) >= AT_ONCE:
                 flush()
     flush()
     return [(p, np.concatenate(o)) for p, o in zip(pictures, out, strict=True)]
 
 
 def thumbnail(picture: Picture, coefficients: np.ndarray) -> np.ndarray:
-    """The picture at an eighth of its size: the mean luminance of each block, which is its DC term alone."""
-    wide, high = -(-picture.width // SIDE), -(-picture.height // SIDE)
-    return np.clip(coefficients[:, 0] // SIDE + 128, 0, 255).astype(np.uint8).reshape(high, wide)
+    """The luminance at an eighth of its size: the mean of each block, which is its DC term alone."""
+    across, down = picture.grid()
+    own = picture.parts[0]
+    levels = np.clip((coefficients[:, 0] * own.quantiser) // SIDE + 128, 0, 255).astype(np.uint8)
+    if len(picture.parts) == 1:
+        return levels.reshape(down, across)
+    levels = levels.reshape(down, across, len(picture.layout()))[:, :, : own.wide * own.high]
+    image = levels.reshape(down, across, own.high, own.wide).swapaxes(1, 2).reshape(down * own.high, across * own.wide)
+    wide, high = -(-picture.width * own.wide // picture.most_wide), -(-picture.height * own.high // picture.most_high)
+    return image[: -(-high // SIDE), : -(-wide // SIDE)]
 
 
 def average_hash(image: np.ndarray) -> str:
@@ -339,7 +428,7 @@ def stored(docs: DataFrame, column: str = "text", media: str = "media") -> DataF
             for rows, texts in portions(batch, batch.num_columns - 1):
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(encode(list(map(padded, texts))), pa.binary())], names=names)
 
-    return kept.withColumn("_text", text(column).cast("binary")).mapInArrow(run, f"{fields}, `{media}` binary")
+    return kept.withColumn(fresh(kept, "_text"), text(column).cast("binary")).mapInArrow(run, f"{fields}, `{media}` binary")
 
 
 def portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
