@@ -23,12 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, gather, text
+from .common import Memo, frame, fresh, gather, portions, text
 
-#: Pre-tokens whose ids a Python worker remembers; it forgets all of them when there are more.
-REMEMBERED = 800_000
-#: Rows of a batch that are worked on at once.
-ROWS = 2000
+#: Pre-tokens of the texts that are worked on at once, unless one text alone has more.
+AT_ONCE = 1 << 18
 
 
 class RankQueue:
@@ -80,13 +78,14 @@ class Codec:
         self.pieces = pa.array(pieces, pa.binary())
         self.digits = pa.array([str(i) for i in range(size)])
         self.queue = RankQueue(size)
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids as 4 bytes each.
+        self.known: Memo[bytes] = Memo()
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
+    def merge(self, piece: bytes) -> list[int]:
         find = self.ranks.get
         whole = find(piece)
         if whole is not None:
-            return (whole,)
+            return [whole]
         push, pop = self.queue.push, self.queue.pop
         n = len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -120,22 +119,20 @@ class Codec:
         while i < n:
             out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
-        return tuple(out)
+        return out
 
     def encode(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, and where each row begins (with the end of the last)."""
         spelled = words.flatten().dictionary_encode()
-        distinct = spelled.dictionary.to_pylist()
         known, found = self.known, []
-        if len(known) + len(distinct) > REMEMBERED:
-            known.clear()
-        for word in distinct:
-            ids = known.get(word)
+        for word in spelled.dictionary.to_pylist():
+            ids = known.held.get(word)
             if ids is None:
-                known[word] = ids = self.merge(word.encode())
+                ids = np.array(self.merge(word.encode()), np.int32).tobytes()
+                known.put(word, ids, len(ids))
             found.append(ids)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         taken = np.asarray(spelled.indices, np.int64)
         ids, ends = gather(flat, np.concatenate([[0], np.cumsum(sizes)]), taken)
         return ids, ends[np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy())])]
@@ -152,32 +149,38 @@ def pre_tokens(column: Column, pattern: str) -> Column:
     return F.regexp_extract_all(column, F.lit(f"(?U){pattern}"), F.lit(0))
 
 
-def with_column(docs: DataFrame, name: str, kind: str, inputs: Column, make) -> DataFrame:
-    """``docs`` with column ``name`` that ``make`` gives for the batches of ``inputs``."""
-    kept = docs.drop(name)
-    names = [*kept.columns, name]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+def with_column(docs: DataFrame, kept: list[str], name: str, kind: str, inputs: Column, make) -> DataFrame:
+    """The columns ``kept`` of ``docs`` and ``name``, which ``make`` gives for the lists of ``inputs``; no other goes through Python.
+
+    ``kept`` are matched without regard to case and may have any names; one named like ``name`` is replaced.
+    """
+    kept = [c for c in kept if c.lower() != name.lower()]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept))
+    names = [*rows.columns, name]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in portions(batch, batch.num_columns - 1, AT_ONCE):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], make(part.column(part.num_columns - 1))], names=names)
 
-    return kept.withColumn("_input", inputs).mapInArrow(run, f"{fields}, `{name}` {kind}")
+    wide = docs.select(*(F.col(f"`{c}`") for c in kept), inputs.alias(fresh(rows, "_input")))
+    return wide.mapInArrow(run, f"{fields}{', ' if kept else ''}`{name}` {kind}")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the array of token ids of ``column``; null counts as empty, an empty text has no ids.
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (None: all) with the array of token ids of ``column``.
 
-    Other columns stay as they are; one that is named like ``ids`` is replaced.
+    Null counts as empty, an empty text has no ids. One row per row of ``docs``, repeated ones too; an empty table gives
+    none. Kept columns stay as they are whatever their names; one that is named like ``ids`` is replaced. A text of any
+    length is encoded whole, in one task; only what is kept goes through Python, so leave the text out where it isn't wanted.
     """
 
     def make(words: pa.ListArray) -> pa.Array:
         found, ends = codec(path).encode(words)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))
 
-    return with_column(docs, ids, "array<int>", pre_tokens(text(column), pattern), make)
+    return with_column(docs, docs.columns if keep is None else keep, ids, "array<int>", pre_tokens(text(column), pattern), make)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -187,7 +190,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         ends = np.concatenate([[0], np.cumsum(found.value_lengths().fill_null(0).to_numpy())])
         return joined(codec(path).pieces, found.flatten().to_numpy(), ends, b"")
 
-    return with_column(docs, out, "binary", F.col(ids), make)
+    return with_column(docs, docs.columns, out, "binary", F.col(ids), make)
 
 
 def joined(values: pa.Array, at: np.ndarray, ends: np.ndarray, between: bytes | str) -> pa.Array:
@@ -208,8 +211,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in portions(batch, 1, AT_ONCE):
                 ids, ends = own.encode(part.column(1))
                 named = joined(own.digits, ids, ends, ",")
                 decoded = joined(own.pieces, ids, ends, b"")
