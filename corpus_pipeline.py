@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids, without their text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "source"])
     return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
