@@ -52,3 +52,25 @@ def gradient_percent(rise: Column, run: Column) -> Column:
 
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
+
+
+def tile_box(row: Column, col: Column, size: float = 0.1) -> dict[str, Column]:
+    """The box of a tile."""
+    return {"south": row * F.lit(size), "west": col * F.lit(size), "north": (row + 1) * F.lit(size), "east": (col + 1) * F.lit(size)}
+
+
+def padded_box(lat: Column, lng: Column, pad: float) -> list[Column]:
+    """Aggregates: the box of points, wider by ``pad`` of its span on each side."""
+    south, north, west, east = F.min(lat), F.max(lat), F.min(lng), F.max(lng)
+    return [(south - (north - south) * pad).alias("south"), (north + (north - south) * pad).alias("north"), (west - (east - west) * pad).alias("west"), (east + (east - west) * pad).alias("east")]
+
+
+def scannable(lat_span: float = 0.15, lng_span: float = 0.2) -> Column:
+    """Whether a box (south, north, west, east) is small enough for one scan."""
+    return (F.col("north") - F.col("south") <= lat_span) & (F.col("east") - F.col("west") <= lng_span)
+
+
+def tileable(most: int = 30, size: float = 0.1) -> Column:
+    """Whether a box touches at most ``most`` tiles."""
+    many = lambda a, b: tile(F.col(b), size) - tile(F.col(a), size) + 1
+    return many("south", "north") * many("west", "east") <= most

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import once
+
 Tags = Callable[[str], Column]
 
 
@@ -52,6 +54,7 @@ def number(value: Column) -> Column:
     return F.when(value.isNull(), F.lit(0)).otherwise(F.nullif(digits, F.lit("")).try_cast("int"))
 
 
+@once
 def lane_kind(t: Tags) -> Column:
     """The first cycleway key that is there; the left one isn't looked at."""
     return F.coalesce(t("cycleway"), t("cycleway:right"), t("cycleway:both"))
@@ -65,6 +68,7 @@ def any_lane(t: Tags, values: Iterable[str]) -> Column:
     return out
 
 
+@once
 def overlay_scan(t: Tags) -> Column:
     """Which ways the overlay asks for; six branches, an element of several is there once."""
     highway = t("highway")
@@ -78,6 +82,7 @@ def overlay_scan(t: Tags) -> Column:
     )
 
 
+@once
 def audit_scan(t: Tags) -> Column:
     highway = t("highway")
     return (
@@ -143,6 +148,7 @@ def path_level(lts: Column, car_free: Column, priority: Column, infra: Column, k
     return F.when(lts == 4, "4").when(lts == 3, "3").when(car_free, "1a").when(priority, "1b").when(infra & calm, "2a").when(infra, "3").otherwise("2b")
 
 
+@once
 def separated(t: Tags) -> Column:
     out = t("cycleway:buffer").isNotNull() & (F.coalesce(t("cycleway:buffer"), F.lit("")) != "")
     for key in SEPARATION_KEYS:
@@ -183,6 +189,7 @@ def rough(surface: Column, smoothness: Column) -> Column:
     return is_in(smoothness, BAD_SMOOTHNESS) | is_in(surface, ROUGH_SURFACES)
 
 
+@once
 def walking_only(t: Tags) -> Column:
     highway = t("highway")
     return is_(highway, "steps") | (is_in(highway, ("footway", "pedestrian")) & ~is_in(t("bicycle"), ("yes", "designated")))
@@ -193,6 +200,7 @@ NO_WALK = ("motorway", "motorway_link", "trunk", "trunk_link", "raceway", "const
 SELF_WALK = ("cycleway", "path", "track", "footway", "pedestrian", "steps", "living_street", "bridleway", "service")
 
 
+@once
 def bridge_walkable(t: Tags) -> Column:
     """Whether a rejected way may be walked to reach the next good one."""
     none = ("no", "none")
@@ -201,10 +209,12 @@ def bridge_walkable(t: Tags) -> Column:
     return ~refused & (is_in(t("highway"), SELF_WALK) | ~without)
 
 
+@once
 def one_way(t: Tags) -> Column:
     return (is_(t("oneway"), "yes") | is_(t("oneway:bicycle"), "yes")) & ~is_(t("oneway:bicycle"), "no")
 
 
+@once
 def signature(t: Tags) -> Column:
     """The tags that count for an audit, as k=v in fixed order; missing ones are left out."""
     return F.concat_ws("|", *(F.when(t(k).isNotNull(), F.concat(F.lit(f"{k}="), t(k))) for k in SIGNATURE_KEYS))
@@ -280,3 +290,8 @@ def decision(level: Column, item_name: Column, surface: Column, smoothness: Colu
     speed = F.when(walks, m("walk_kmh")).when(ok & cobbles, m("slow_kmh")).when(ok, m("ride_kmh"))
     factor = F.when(is_rough, m("rough_mult")).otherwise(F.lit(1.0))
     return {"accepted_": ok, "reason": reason, "walks": walks, "kmh": speed, "mult": F.when(ok & cobbles, factor).when(ok, factor * times)}
+
+
+def tag_rows(t: Tags, keys: list[str]) -> Column:
+    """The tags that are there, as k=v."""
+    return F.array_compact(F.array(*(F.concat(F.lit(f"{k}="), t(k)) for k in keys)))

@@ -70,32 +70,133 @@ PATHS = {
 }
 
 
+CONJUNCTIONS = ["and", "but", "also", "then"]
+APPROVALS = ["fine", "ok", "okay", "no problem"]
+COPULAS = ["are", "is", "="]
+REFUSALS = ["don't", "dont", "do not", "doesn't", "doesnt", "does not", "never", "won't", "wont", "not"]
+INDIFFERENCE = ["don't mind", "dont mind", "do not mind"]
+#: What a verb says of a subject, in the order in which statements count: kind, verbs, words that may stand between, value.
+VERBS = [
+    ("surface", ["hate", "avoid", "skip"], 2, "rough"),
+    ("surface", ["love", "like", "enjoy"], 0, "ok"),
+    ("path-type", ["prefer", "love", "like"], 2, "prefer"),
+    ("path-type", ["avoid", "hate", "skip"], 2, "avoid"),
+]
+# --- End of the fixed values. ---
+LONGEST = 3
+ADJUSTMENT = "struct<kind:string,subject:string,value:string>"
+
+
+def _phrase(words: Column, at: Column | int, n: int) -> Column:
+    return F.array_join(F.slice(words, at, n), " ")
+
+
+def _lookup(table: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+
+
+def _said(words: Column, phrases: list[str]) -> Column:
+    """Whether any of the phrases is among the words."""
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    out = F.lit(False)
+    for phrase in phrases:
+        out = out | F.contains(text, F.lit(f" {phrase} "))
+    return out
+
+
+def _mentions(words: Column, kind: str) -> Column:
+    """Where subjects of a kind stand: at (from 1), the words they take, and their name; the longest at each place."""
+    places = F.sequence(F.lit(1), F.size(words))
+
+    def longest(at: Column) -> Column:
+        options = []
+        for n in range(LONGEST, 0, -1):
+            phrase = F.when(at + n - 1 <= F.size(words), _phrase(words, at, n))
+            name = _lookup(SURFACES)[phrase] if kind == "surface" else F.coalesce(_lookup(PATHS)[phrase], _lookup(PATHS)[F.regexp_replace(phrase, "s$", "")])
+            options.append(F.when(name.isNotNull(), F.struct(at.alias("at"), F.lit(n).alias("n"), name.alias("name"))))
+        return F.coalesce(*options)
+
+    return F.when(F.size(words) > 0, F.filter(F.transform(places, longest), lambda m: m.isNotNull()))
+
+
 def preference(fragment: Column) -> dict[str, Column]:
-    """kind, subject and value that a fragment of a preference text states; all null if it isn't understood."""
-    low = F.lower(F.trim(fragment))
-    surface = "(" + "|".join(SURFACES) + ")"
-    path = "(" + "|".join(f"{p}s?" for p in sorted(PATHS, key=len, reverse=True)) + ")"
-    # pattern, group of the subject, kind, value; the first that matches counts
-    rules = [
-        (rf"\b{surface}\b\s+(?:(?:are|is|=)\s+)?(?:fine|ok|okay|no problem)\b", "surface", "ok"),
-        (rf"\b(?:don'?t|do not) mind\b\s+{surface}\b", "surface", "ok"),
-        (rf"\b(?:hate|avoid|skip)\b\s+(?:\w+\s+){{0,2}}{surface}\b", "surface", "rough"),
-        (rf"\b(?:love|like|enjoy)\b\s+{surface}\b", "surface", "ok"),
-        (rf"\b(?:prefer|love|like)\b\s+(?:\w+\s+){{0,2}}{path}\b", "path-type", "prefer"),
-        (rf"\b(?:avoid|hate|skip)\b\s+(?:\w+\s+){{0,2}}{path}\b", "path-type", "avoid"),
-    ]
-    refused = F.regexp_like(low, F.lit(r"\b(don'?t|do not|doesn'?t|does not|never|won'?t|not)\b")) & ~F.regexp_like(low, F.lit(r"\b(don'?t|do not) mind\b"))
-    names = {"surface": F.create_map(*(F.lit(x) for kv in SURFACES.items() for x in kv)), "path-type": F.create_map(*(F.lit(x) for kv in PATHS.items() for x in kv))}
-    out = F.lit(None).cast("struct<kind:string,subject:string,value:string>")
-    for pattern, kind, value in reversed(rules):
-        phrase = F.regexp_extract(low, pattern, 1)
-        subject = F.coalesce(names[kind][phrase], names[kind][F.regexp_replace(phrase, "s$", "")])
-        out = F.when(F.regexp_like(low, F.lit(pattern)), F.struct(F.lit(kind).alias("kind"), subject.alias("subject"), F.lit(value).alias("value"))).otherwise(out)
-    out = F.when(~refused, out)
+    """kind, subject and value that a fragment of a preference text states; all null if it isn't understood.
+
+    A fragment is words; a subject (a surface or a kind of path) is approved of by what follows it, or by a verb before
+    it with few words between. A refusal makes a fragment unclear, but for not minding something.
+    """
+    words = F.regexp_extract_all(F.lower(fragment), F.lit(r"[\p{L}\p{N}_']+|="), F.lit(0))
+    surfaces, paths = _mentions(words, "surface"), _mentions(words, "path-type")
+
+    def found(mentions: Column, test) -> Column:
+        return F.get(F.filter(mentions, test), F.lit(0))["name"]
+
+    def approved(m: Column) -> Column:
+        after = m["at"] + m["n"]
+        skip = F.when(F.coalesce(F.get(words, after - 1).isin(COPULAS), F.lit(False)), 1).otherwise(0)
+        return F.get(words, after + skip - 1).isin([w for w in APPROVALS if " " not in w]) | _phrase(words, after + skip, 2).isin([w for w in APPROVALS if " " in w])
+
+    def not_minded(m: Column) -> Column:
+        before = lambda n: F.when(m["at"] > n, _phrase(words, F.greatest(m["at"] - n, F.lit(1)), n))
+        return before(2).isin(INDIFFERENCE) | before(3).isin(INDIFFERENCE)
+
+    statements = [("surface", found(surfaces, approved), "ok"), ("surface", found(surfaces, not_minded), "ok")]
+
+    def governed(verbs: list[str], most: int):
+        def test(m: Column) -> Column:
+            before = F.slice(words, F.greatest(m["at"] - 1 - most, F.lit(1)), F.least(m["at"] - 1, F.lit(most + 1)))
+            return F.arrays_overlap(before, F.array(*map(F.lit, verbs)))
+
+        return test
+
+    for kind, verbs, most, value in VERBS:
+        statements.append((kind, found(surfaces if kind == "surface" else paths, governed(verbs, most)), value))
+    clear = ~_said(words, REFUSALS) | _said(words, INDIFFERENCE)
+    told = (F.when(name.isNotNull(), F.struct(F.lit(kind).alias("kind"), name.alias("subject"), F.lit(value).alias("value"))) for kind, name, value in statements)
+    out = F.when(clear, F.coalesce(*told)).cast(ADJUSTMENT)
     return {"kind": out["kind"], "subject": out["subject"], "value": out["value"]}
 
 
 def fragments(raw: Column) -> Column:
-    """The clauses of a preference text."""
-    parts = F.split(raw, r"(?i)[\n;.]+|,\s*(?=[a-z])|\s+(?:and|but|also|then)\s+")
-    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    """The clauses of a preference text: they end at line ends, full stops, semicolons, commas before a letter, and conjunctions."""
+    cut = "\u0001"  # no white space, as that is what conjunctions are found by
+    marked = F.translate(raw, ";.\n", cut * 3)
+    marked = F.regexp_replace(marked, r",\s*([A-Za-z])", f"{cut}$1")
+    marked = F.regexp_replace(marked, rf"(?i)\s+({'|'.join(CONJUNCTIONS)})\s+", cut)
+    return F.filter(F.transform(F.split(marked, cut), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
+def looks_like_address(query: Column) -> Column:
+    return F.regexp_like(query, F.lit("[0-9]"))
+
+
+def shortened(instruction: Column) -> Column:
+    """An instruction without the street it leads onto."""
+    return F.regexp_replace(instruction, " onto .+$", "")
+
+
+def place_name(name: Column, road: Column, number: Column, label: Column) -> Column:
+    """A place's short label: its name, else its road with the number, else the first part of its label."""
+    some = lambda c: F.when(F.length(c) > 0, c)
+    return F.coalesce(some(name), F.when(F.length(road) > 0, F.concat_ws(" ", road, some(number))), F.element_at(F.split(label, ","), 1))
+
+
+def query_string(base: str, **parts: Column) -> Column:
+    """An address with a query; nulls are left out."""
+    return F.concat(F.lit(base + "?"), F.concat_ws("&", *(F.concat(F.lit(f"{k}="), F.url_encode(v)) for k, v in parts.items())))
+
+
+def fixed(number: Column, digits: int = 6) -> Column:
+    return F.format_string(f"%.{digits}f", number)
+
+
+def sample_file(index: Column, *parts: Column) -> Column:
+    """The name of a sample's file: its number with three digits and the slugs of its parts."""
+    return F.concat(F.concat_ws("-", F.lpad(index.cast("string"), 3, "0"), *(slug(p) for p in parts)), F.lit(".html"))
+
+
+def lerped(low: str, high: str, share: Column) -> Column:
+    """A colour (hex) between two, by a share that is held between 0 and 1."""
+    t = F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))
+    ends = [[int(c[i : i + 2], 16) for i in (1, 3, 5)] for c in (low, high)]
+    return F.concat(F.lit("#"), *(F.lower(F.lpad(F.hex(F.floor(a + (b - a) * t + 0.5).cast("long")), 2, "0")) for a, b in zip(*ends, strict=True)))

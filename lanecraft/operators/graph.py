@@ -6,32 +6,51 @@ import heapq
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanecraft.functions import geo, streets
+from lanecraft.functions.once import once
 
 FLAT = streets.flat
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what all executors share: the session's checkpoint folder, which must be set."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at
+
+
 def with_class(ways: DataFrame, t: streets.Tags = FLAT) -> DataFrame:
     """``ways`` with the columns of its classification and ``item``.
 
     In steps, each a projection whose columns the next one names: written as one expression, what they share would be
     spelled out again at each use, beyond what a generated method can hold.
     """
+    first, found, level, item = _class_steps(t)
+    return ways.withColumns(first).withColumns(found).withColumn("path_level", level).withColumn("item", item).drop(*first)
+
+
+@once
+def _class_steps(t: streets.Tags) -> tuple[dict[str, Column], dict[str, Column], Column, Column]:
     first = {"_lane": streets.lane_kind(t), "_speed": streets.number(t("maxspeed")), "_lanes": streets.number(t("lanes"))}
     found = streets.classified(t, F.col("_lane"), F.col("_speed"), F.col("_lanes"))
     found.pop("path_level")
     flags = ("car_free", "bike_priority", "bike_infra", "speed_kmh")
-    out = ways.withColumns(first).withColumns(found).withColumn("path_level", streets.path_level(F.col("lts"), *map(F.col, flags)))
-    return out.withColumn("item", streets.item(t, F.col("path_level"))).drop(*first)
+    return first, found, streets.path_level(F.col("lts"), *map(F.col, flags)), streets.item(t, F.col("path_level"))
+
+
+@once
+def _decision() -> dict[str, Column]:
+    return streets.decision(F.col("path_level"), F.col("item"), F.col("surface_"), F.col("smoothness_"), F.col)
 
 
 def decided(classed: DataFrame, modes: DataFrame) -> DataFrame:
     """Every way under every mode: accepted_, reason, walks, kmh and mult. ``modes`` is a handful of rows."""
     wide = classed.join(F.broadcast(modes))
-    return wide.withColumns(streets.decision(F.col("path_level"), F.col("item"), F.col("surface_"), F.col("smoothness_"), F.col))
+    return wide.withColumns(_decision())
 
 
 def edges(decided: DataFrame, preferred: Column, elevation: tuple[Column, Column] | None = None, avoid: DataFrame | None = None, t: streets.Tags = FLAT) -> DataFrame:

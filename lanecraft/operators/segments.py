@@ -16,9 +16,10 @@ def islands(points: DataFrame, route: str, order: str, same: Column, first: str
 
 
 def segments(points: DataFrame) -> DataFrame:
-    """route, seg, item, is_walking, n_coords, metres of ``points(route, idx, lat, lng, item, is_walking)``.
+    """route, seg, item, is_walking, path_level, n_coords, metres, start and stop of ``points(route, idx, lat, lng, item, is_walking)``.
 
-    Walked points are one kind whatever their item, and have none. A segment after the first also holds the last point
+    The path level is that of its points where they have one (``path_level``), else null; start and stop are its ends as
+    (lat, lng). Walked points are one kind whatever their item, and have none. A segment after the first also holds the last point
     of the one before, so the segments' lengths add up to the route's.
     """
     w = Window.partitionBy("route").orderBy("idx")
@@ -26,23 +27,37 @@ def segments(points: DataFrame) -> DataFrame:
     keyed = points.withColumn("_kind", kind)
     step = F.coalesce(geo.haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), F.lit(0.0))
     keyed = keyed.withColumn("_step", step)
+    point = F.struct("lat", "lng")
+    keyed = keyed.withColumn("_from", F.coalesce(F.lag(point).over(w), point))
+    level = F.first("path_level") if "path_level" in points.columns else F.lit(None).cast("string")
     found = islands(keyed, "route", "idx", F.col("_kind").eqNullSafe(F.lag("_kind").over(w)))
     return found.groupBy("route", "seg").agg(
         F.first(F.when(~F.col("is_walking"), F.col("item"))).alias("item"),
         F.first("is_walking").alias("is_walking"),
+        level.alias("path_level"),
         (F.count("*") + F.when(F.col("seg") > 0, 1).otherwise(0)).alias("n_coords"),
         F.sum("_step").alias("metres"),
+        F.min_by("_from", "idx").alias("start"),
+        F.max_by(point, "idx").alias("stop"),
     )
 
 
 def healed(segments: DataFrame, preferred: Column, most: int = 5) -> DataFrame:
-    """Short segments between two preferred ones take the item of the one before; never walked ones, never the ends."""
+    """Short segments between two preferred ones take the item and the path level of the one before; never walked ones, never the ends."""
     w = Window.partitionBy("route").orderBy("seg")
     good = preferred & ~F.col("is_walking")
     out = segments.withColumn("_good", F.coalesce(good, F.lit(False)))
     gap = ~F.col("is_walking") & ~F.col("_good") & (F.col("n_coords") <= most) & F.lag("_good").over(w) & F.lead("_good").over(w)
     gap = F.coalesce(gap, F.lit(False))
-    return out.withColumn("healed", gap).withColumn("item", F.when(gap, F.lag("item").over(w)).otherwise(F.col("item"))).drop("_good")
+    taken = {c: F.when(gap, F.lag(c).over(w)).otherwise(F.col(c)) for c in ("item", "path_level")}
+    return out.withColumns({"healed": gap, **taken}).drop("_good")
+
+
+def coalesced(segments: DataFrame, gap_m: float = 20.0) -> DataFrame:
+    """``segments`` with ``run``: neighbours of one item, of which one begins within ``gap_m`` of where the other ends, are one run."""
+    w = Window.partitionBy("route").orderBy("seg")
+    gap = geo.haversine(F.lag("stop.lat").over(w), F.lag("stop.lng").over(w), F.col("start.lat"), F.col("start.lng"))
+    return islands(segments, "route", "seg", F.col("item").eqNullSafe(F.lag("item").over(w)) & (gap <= gap_m), "run")
 
 
 def quality(segments: DataFrame, preferred: Column) -> DataFrame:

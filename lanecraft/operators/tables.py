@@ -87,7 +87,7 @@ def verdict(own: Column, other: Column, margin: float = 0.05) -> Column:
 
 
 def shortest_rival(engines: list[str]) -> Column:
-    return F.least(*(F.col(f"{e}_km") for e in engines))
+    return F.array_min(F.array(*(F.col(f"{e}_km") for e in engines)))
 
 
 def ranked(routes: DataFrame, slack: float = 1.75) -> DataFrame:
@@ -102,3 +102,45 @@ def debounced(events: DataFrame, key: str, ts: str, gap_ms: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(ts, "event_id")
     following = F.lead(F.col(ts)).over(w)
     return events.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") - F.col(ts) > gap_ms)).drop("_next")
+
+
+def verified(fixtures: DataFrame, geocoded: DataFrame, error_m: float = 150.0, warn_m: float = 50.0) -> DataFrame:
+    """id, severity and metres of the distinct places of ``fixtures(id, lat, lng)`` against ``geocoded(id, lat, lng)``.
+
+    A place that wasn't geocoded is skipped; one that was without a result has no match.
+    """
+    once = fixtures.groupBy("id").agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
+    found = geocoded.select("id", F.col("lat").alias("glat"), F.col("lng").alias("glng"), F.lit(True).alias("asked"))
+    metres = F.when(F.col("glat").isNotNull(), geo.haversine(F.col("lat"), F.col("lng"), F.col("glat"), F.col("glng")))
+    severity = F.when(F.col("asked").isNull(), "skipped").when(metres.isNull(), "no-match").when(metres >= error_m, "error").when(metres >= warn_m, "warn").otherwise("ok")
+    return once.join(found, "id", "left").select("id", severity.alias("severity"), metres.alias("metres"))
+
+
+def run_summary(samples: DataFrame, engines: list[str], own: str = "client") -> DataFrame:
+    """One row of a run: samples, the mean share preferred of each engine, and how many samples are flagged as too long."""
+    least = shortest_rival([e for e in engines if e != own])
+    means = (F.coalesce(F.avg(f"{e}_pct"), F.lit(0.0)).alias(f"{e}_pct") for e in engines)
+    return compared(samples, engines, own).agg(F.count("*").alias("samples"), *means, F.count_if(F.col(f"{own}_km") > 1.2 * least).alias("flagged"))
+
+
+def filtered_audit(groups: DataFrame, statuses: list[str], text: str = "") -> DataFrame:
+    """Audit groups of some statuses whose signature or item holds a text, whatever its case."""
+    held = F.contains(F.lower(F.concat_ws(" ", "signature", "item")), F.lit(text.strip().lower()))
+    return groups.where(F.col("status").isin(statuses) & held)
+
+
+def touched(cache: DataFrame, reads: DataFrame, days: int = 30) -> DataFrame:
+    """A cache ``(key, fetched_at, last_accessed)`` after ``reads(key, at)``: a read that still finds its entry touches it."""
+    hit = (F.col("at") >= F.col("fetched_at")) & ~expired(F.col("at"), F.col("fetched_at"), days)
+    last = reads.join(cache.select("key", "fetched_at"), "key").where(hit).groupBy("key").agg(F.max("at").alias("_at"), F.count("*").alias("hits"))
+    return cache.join(last, "key", "left").select("key", "fetched_at", F.greatest("last_accessed", F.coalesce("_at", "last_accessed")).alias("last_accessed"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
+def without(preferences: DataFrame, gone: DataFrame) -> DataFrame:
+    """Preferences but those whose name is in ``gone``."""
+    return preferences.join(gone.select("name").distinct(), "name", "left_anti")
+
+
+def activated(preferences: DataFrame, chosen: str | None) -> DataFrame:
+    """Preferences with ``active``: only the chosen one is, and none if no preference has that name."""
+    return preferences.withColumn("active", F.coalesce(F.col("name") == F.lit(chosen), F.lit(False)))

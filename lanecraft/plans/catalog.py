@@ -353,15 +353,16 @@ def safety_score(spark, sf):
 
 
 @query(
-    f"""WITH {O.PINGS}, k AS (SELECT *, lag(item) OVER w AS pi, lag(lat) OVER w AS pa, lag(lng) OVER w AS po FROM pings WINDOW w AS (PARTITION BY route ORDER BY idx)),
-    f AS (SELECT *, CASE WHEN idx = 0 OR (item IS NOT DISTINCT FROM pi AND {O.haversine('pa', 'po', 'lat', 'lng')} <= 2000) THEN 0 ELSE 1 END AS fresh FROM k), n AS (SELECT *, sum(fresh) OVER (PARTITION BY route ORDER BY idx) AS run FROM f)
-    SELECT route, CAST(max(run) + 1 AS BIGINT) AS runs, CAST(max(c) AS BIGINT) AS longest FROM (SELECT route, run, count(*) AS c FROM n GROUP BY ALL) GROUP BY route"""
+    f"""WITH {O.SEGMENTS}, ends AS (SELECT s.*, p.lat AS stop_lat, p.lng AS stop_lng FROM segs s JOIN (SELECT route, seg, arg_max(lat, idx) AS lat, arg_max(lng, idx) AS lng FROM num GROUP BY ALL) p USING (route, seg)),
+    f AS (SELECT *, CASE WHEN seg = 0 THEN 0 WHEN item IS NOT DISTINCT FROM lag(item) OVER w THEN 0 ELSE 1 END AS fresh FROM ends WINDOW w AS (PARTITION BY route ORDER BY seg)),
+    n AS (SELECT *, sum(fresh) OVER (PARTITION BY route ORDER BY seg) AS run FROM f)
+    SELECT route, CAST(run AS BIGINT) AS run, any_value(item) AS item, count(*) AS segments, round(arg_max(stop_lat, seg), 6) AS lat, round(arg_max(stop_lng, seg), 6) AS lng FROM n GROUP BY route, run"""
 )
 def icon_runs(spark, sf):
-    w = W.partitionBy("route").orderBy("idx")
-    near = geo.haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")) <= 2000
-    found = segments.islands(pings(spark, sf), "route", "idx", F.col("item").eqNullSafe(F.lag("item").over(w)) & near, "run")
-    return found.groupBy("route", "run").agg(F.count("*").alias("c")).groupBy("route").agg((F.max("run") + 1).alias("runs"), F.max("c").alias("longest"))
+    """Where the icons of a route go: runs of segments of one item. A segment begins where the one before ends, so no gap parts them here."""
+    found = segments.coalesced(segments.segments(pings(spark, sf)))
+    end = F.max_by("stop", "seg")
+    return found.groupBy("route", "run").agg(F.first("item").alias("item"), F.count("*").alias("segments"), F.round(end["lat"], 6).alias("lat"), F.round(end["lng"], 6).alias("lng"))
 
 
 # --- Nearness ---
@@ -461,11 +462,10 @@ def audit_buckets(spark, sf):
 @query(f"WITH {O.SAMPLES} SELECT city, mode, engine, count(*) AS found, round(avg(pct), 6) AS pct, round(avg(km), 4) AS km FROM samples GROUP BY ALL UNION ALL SELECT 'all', mode, engine, count(*), round(avg(pct), 6), round(avg(km), 4) FROM samples GROUP BY ALL")
 def bench_averages(spark, sf):
     """By city and over all cities: one pass with grouping sets."""
-    samples(spark, sf).createOrReplaceTempView("bench_samples")
-    return spark.sql(
-        "SELECT coalesce(city, 'all') AS city, mode, engine, count(*) AS found, round(avg(pct), 6) AS pct, round(avg(km), 4) AS km "
-        "FROM bench_samples GROUP BY GROUPING SETS ((city, mode, engine), (mode, engine))"
-    )
+    rows = samples(spark, sf)
+    sets = rows.groupingSets([["city", "mode", "engine"], ["mode", "engine"]], "city", "mode", "engine")
+    found = sets.agg(F.count("*").alias("found"), F.round(F.avg("pct"), 6).alias("pct"), F.round(F.avg("km"), 4).alias("km"))
+    return found.withColumn("city", F.coalesce("city", F.lit("all")))
 
 
 @query(f"WITH {O.WIDE} SELECT mode, " + ", ".join(f"count(*) FILTER (client_pct - {e}_pct > 0.05) AS {e}_w, count(*) FILTER (abs(client_pct - {e}_pct) <= 0.05) AS {e}_t, count(*) FILTER (client_pct - {e}_pct < -0.05) AS {e}_l" for e in RIVALS) + " FROM wide GROUP BY mode")
@@ -545,10 +545,24 @@ def group_topk(spark, sf):
     return tables.latest(table(spark, sf, "events"), ["user_id"], [F.col("value").desc(), F.col("event_id").asc()], 5).select("user_id", "event_id")
 
 
-@query()
+_AWAY = O.haversine("p.lat", "p.lng", "m.lat", "m.lng")
+
+
+@query(
+    f"""WITH RECURSIVE {O.PINGS}, man AS (SELECT route, idx // 10 AS k, lat, lng FROM pings WHERE idx % 10 = 0),
+    st(route, idx, step, f, n, far, near) AS (
+        SELECT DISTINCT route, -1::BIGINT, 0::BIGINT, false, false, false, false FROM pings
+        UNION ALL
+        SELECT route, idx, CASE WHEN away <= 30 THEN step + 1 ELSE step END, (away <= 30) IS NOT TRUE AND (f OR far), (away <= 30) IS NOT TRUE AND (n OR near), far, near FROM (
+            SELECT *, coalesce(away <= 200 AND NOT f, false) AS far, coalesce(away <= 50 AND NOT n, false) AS near FROM (
+                SELECT s.route, p.idx, s.step, s.f, s.n, CASE WHEN m.k IS NOT NULL THEN {_AWAY} END AS away
+                FROM st s JOIN pings p ON p.route = s.route AND p.idx = s.idx + 1 LEFT JOIN man m ON m.route = s.route AND m.k = s.step + 1)))
+    SELECT s.route AS trip, p.event_id, s.step::INT AS step, far, near FROM st s JOIN pings p ON p.route = s.route AND p.idx = s.idx"""
+)
 def nav_steps(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("user_id").alias("trip"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_id") * 37 % 400).cast("double").alias("metres"))
-    return navigation.steps_batch(rows)
+    """Each trip's steps and announcements; every tenth of its points is a manoeuvre."""
+    points = pings(spark, sf).select(F.col("route").alias("trip"), "idx", "event_id", "lat", "lng")
+    return navigation.steps_batch(points.withColumnRenamed("idx", "ts"), points.where("idx % 10 = 0").select("trip", "idx", "lat", "lng"))
 
 
 # --- Text ---
@@ -567,7 +581,17 @@ def distances(spark, sf):
     return table(spark, sf, "customer").select(k.alias("id"), T.distance_label(F.when(k % 2 == 0, k % 1000 / 1000).otherwise(k % 1000 + 0.5)).alias("distance"))
 
 
-@query()
+#: What the texts say: number of the text, place, clause, kind, subject and value, written down by hand.
+_STATED = [
+    (0, 0, "I don't mind cobbles", "surface", "cobblestone", "ok"), (0, 1, "love cycle paths", "path-type", "Bike path", "prefer"),
+    (1, 0, "avoid gravel", "surface", "gravel", "rough"), (1, 1, "prefer bike paths", "path-type", "Bike path", "prefer"), (1, 2, "not sure", None, None, None),
+    (2, 0, "hate painted bike lanes", "path-type", "Painted bike lane", "avoid"), (2, 1, "setts are fine", "surface", "sett", "ok"),
+    (3, 0, "never ride in mud", None, None, None), (3, 1, "like fine gravel", "surface", "fine_gravel", "ok"), (4, 0, "prefer the fahrradstraße", "path-type", "Fahrradstrasse", "prefer"),
+]
+_STATED_SQL = ", ".join(f"({n}, {at}, {', '.join(map(O.text, rest))})" for n, at, *rest in _STATED)
+
+
+@query(f"SELECT n_nationkey AS id, \"at\", fragment, kind, subject, value FROM nation JOIN (VALUES {_STATED_SQL}) t(n, \"at\", fragment, kind, subject, value) ON n_nationkey % {len(TEXTS)} = n")
 def preference_parse(spark, sf):
     """What riders' texts say, and the clauses that aren't understood."""
     texts = F.element_at(F.array(*map(F.lit, TEXTS)), (F.col("n_nationkey") % len(TEXTS) + 1).cast("int"))
@@ -610,25 +634,37 @@ def multi_leg(spark, sf):
 def search_fallback(spark, sf):
     """Hits of the second source only for queries that the first has none for; queries under two characters have none."""
     asked = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.left("n_name", 1 + F.col("n_nationkey") % 3).alias("q")).where("length(q) >= 2")
-    first = asked.join(table(spark, sf, "customer"), F.startswith(F.col("c_mktsegment"), F.col("q"))).select("id", F.lit("saved").alias("source"), F.col("c_custkey").alias("hit"))
+    # Queries have two characters at least, so those are the key, and the prefix is tested after.
+    named = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.left("c_mktsegment", F.lit(2)).alias("k"))
+    first = asked.withColumn("k", F.left("q", F.lit(2))).join(named, "k").where(F.startswith("c_mktsegment", "q")).select("id", F.lit("saved").alias("source"), F.col("c_custkey").alias("hit"))
     rest = asked.join(first, "id", "left_anti").join(table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("id"))
     return first.unionByName(rest.select("id", F.lit("other").alias("source"), F.col("s_suppkey").alias("hit")))
 
 
-@query(f"WITH {_PLACES} SELECT id, CASE WHEN lat IS NULL THEN 'no-match' WHEN id % 11 = 0 THEN 'skipped' WHEN (id % 300) >= 150 THEN 'error' WHEN (id % 300) >= 50 THEN 'warn' ELSE 'ok' END AS severity FROM places")
+@query(
+    f"""WITH f AS (SELECT DISTINCT o_custkey AS id, 52 + (o_custkey * 7919 % 100000) / 100000.0::DOUBLE AS lat, 13 + (o_custkey * 104729 % 100000) / 100000.0::DOUBLE AS lng FROM orders),
+    g AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 <> 3 THEN 52 + (c_custkey * 7919 % 100000) / 100000.0::DOUBLE + (c_custkey % 23) / 10000.0::DOUBLE END AS glat, 13 + (c_custkey * 104729 % 100000) / 100000.0::DOUBLE AS glng FROM customer WHERE c_custkey % 7 <> 0),
+    d AS (SELECT f.id, g.id IS NOT NULL AS asked, glat IS NOT NULL AS known, {O.haversine('lat', 'lng', 'glat', 'glng')} AS m FROM f LEFT JOIN g USING (id))
+    SELECT id, CASE WHEN NOT asked THEN 'skipped' WHEN NOT known THEN 'no-match' WHEN m >= 150 THEN 'error' WHEN m >= 50 THEN 'warn' ELSE 'ok' END AS severity, round(CASE WHEN known THEN m END, 2) AS metres FROM d"""
+)
 def fixture_verify(spark, sf):
-    """How far a fixture is from where it was geocoded: 150 m are an error, 50 m a warning."""
-    off = F.col("id") % 300
-    found = F.when(F.col("lat").isNull(), "no-match").when(F.col("id") % 11 == 0, "skipped").when(off >= 150, "error").when(off >= 50, "warn").otherwise("ok")
-    return places(spark, sf).select("id", found.alias("severity"))
+    """How far the places that routes are asked between are from where they were geocoded: 150 m are an error, 50 m a warning."""
+    at = lambda k: ((52 + k * 7919 % 100000 / 100000).alias("lat"), (13 + k * 104729 % 100000 / 100000).alias("lng"))
+    used = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), *at(F.col("o_custkey")))
+    k = F.col("c_custkey")
+    lat, lng = at(k)
+    coded = table(spark, sf, "customer").where(k % 7 != 0).select(k.alias("id"), F.when(k % 10 != 3, lat + k % 23 / 10000).alias("lat"), lng)
+    return tables.verified(used, coded).withColumn("metres", F.round("metres", 2))
 
 
 @query(f"WITH {_CACHE}, r AS (SELECT key, {_NOW} - fetched_at AS age, row_number() OVER (PARTITION BY key % 500 ORDER BY key) AS nth FROM cache) SELECT key, age <= 2592000000 AS served, age >= 604800000 AND nth = 1 AS refreshed FROM r")
 def cache_swr(spark, sf):
     """Stale tiles are served and refreshed once a session."""
     age = F.lit(_NOW) - F.col("fetched_at")
-    nth = F.row_number().over(W.partitionBy(F.col("key") % 500).orderBy("key"))
-    return cache(spark, sf).select("key", (age <= 30 * tables.DAY_MS).alias("served"), ((age >= 7 * tables.DAY_MS) & (nth == 1)).alias("refreshed"))
+    rows = cache(spark, sf).withColumn("session", F.col("key") % 500)
+    first = rows.groupBy("session").agg(F.min("key").alias("first"))
+    rows = rows.join(first, "session")
+    return rows.select("key", (age <= 30 * tables.DAY_MS).alias("served"), ((age >= 7 * tables.DAY_MS) & (F.col("key") == F.col("first"))).alias("refreshed"))
 
 
 @query("WITH l AS (SELECT o_orderkey AS id, 'm' || (o_custkey % 5) AS travel_mode, ['client', 'valhalla', 'brouter'][CAST(o_orderkey % 3 AS INT) + 1] AS engine, o_totalprice / 1000 AS km, epoch_ms(o_orderdate)::BIGINT AS ts FROM orders) SELECT strftime(epoch_ms(ts), '%Y-%m-%d') AS day, travel_mode, engine, count(*) AS routes, round(sum(km), 3) AS km FROM l GROUP BY ALL")
@@ -647,14 +683,18 @@ def quantised(spark, sf):
     return table(spark, sf, "events").select("event_id", (geo.half_up(F.col("value") * 10000) / 10000).alias("cell"), F.pmod(F.lit(360) - e % 360, F.lit(360)).alias("heading"), (e % 4 == 0).alias("gps"))
 
 
-@query()
+@query("SELECT r::INT AS tile_row, c::INT AS tile_col FROM range(523, 557) a(r), range(130, 137) b(c) ORDER BY md5(r || ':' || c || ':42'), r, c LIMIT 20")
 def tile_sample(spark, sf):
     """Twenty tiles of a city, the same ones each time: the feature is the size of the sample."""
     grid = spark.range(34).select((F.col("id") + 523).cast("int").alias("tile_row")).crossJoin(spark.range(7).select((F.col("id") + 130).cast("int").alias("tile_col")))
-    return grid.orderBy(F.xxhash64("tile_row", "tile_col", F.lit(42))).limit(20)
+    return grid.orderBy(F.md5(F.concat_ws(":", "tile_row", "tile_col", F.lit("42")).cast("binary")), "tile_row", "tile_col").limit(20)
 
 
-@query()
+@query(
+    f"""WITH {O.WAYS}, a AS (SELECT way_id, lat AS la, lng AS ga FROM pts WHERE idx = 0), z AS (SELECT way_id, lat AS lz, lng AS gz FROM pts WHERE idx = {O.POINTS - 1}),
+    far AS (SELECT way_id, max(abs((lz - la) * (ga - lng) - (la - lat) * (gz - ga)) / sqrt(pow(lz - la, 2) + pow(gz - ga, 2))) AS off FROM pts JOIN a USING (way_id) JOIN z USING (way_id) GROUP BY way_id)
+    SELECT way_id, {O.POINTS} AS n, CASE WHEN off <= 360.0::DOUBLE / (8192 * 256) * 1.5 THEN 2 END AS n_simple FROM far"""
+)
 def simplify_path(spark, sf):
     """Ways with fewer vertices for a zoom."""
     from lanecraft.operators import simplify
@@ -662,7 +702,14 @@ def simplify_path(spark, sf):
     return simplify.simplified(src.ways(spark, sf).select("way_id", "coords"), 13).select("way_id", F.size("coords").alias("n"), F.size("simple").alias("n_simple"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE r AS (SELECT user_id AS client, event_id, {_MS} AS ts, event_id % 9 = 0 AS refused, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    st(client, i, event_id, sent, until) AS (
+        SELECT DISTINCT client, 0::BIGINT, NULL::BIGINT, false, -1::BIGINT FROM r
+        UNION ALL
+        SELECT r.client, r.i, r.event_id, r.ts >= s.until, CASE WHEN r.ts >= s.until AND r.refused THEN r.ts + 60000 ELSE s.until END FROM st s JOIN r ON r.client = s.client AND r.i = s.i + 1)
+    SELECT client, event_id, sent FROM st WHERE i > 0"""
+)
 def image_cooldown(spark, sf):
     """Requests that a rate limit lets through: after a refusal none for a minute."""
     rows = table(spark, sf, "events").select(F.col("user_id").alias("client"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_id") % 9 == 0).alias("refused"))

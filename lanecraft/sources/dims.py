@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PAVED = ["asphalt", "concrete", "paving_stones", "compacted"]
 SOFT = [*PAVED, "wood", "fine_gravel"]
@@ -70,3 +71,26 @@ def legend(spark: SparkSession, optional: bool = False) -> DataFrame:
 
 def cities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*c, k) for k, c in enumerate(CITIES)], "city string, south double, west double, north double, east double, ord int")
+
+
+def with_rule(rows: DataFrame, asked: str, modes: DataFrame) -> DataFrame:
+    """``rows`` with the columns of the mode that the column ``asked`` names; the default's where it names none of them."""
+    known = [r["mode"] for r in modes.select("mode").collect()]  # a handful
+    mode = F.when(F.col(asked).isin(known), F.col(asked)).otherwise(DEFAULT_MODE)
+    return rows.withColumn("mode", mode).join(F.broadcast(modes), "mode")
+
+
+def visible(mode: Column, opted: Column, selected: Column) -> Column:
+    """Whether a user sees a mode: training only if they opted in, or have it selected."""
+    return (mode != "training") | opted | (selected == mode)
+
+
+def resolved(asked: Column, has_key: Column, needs_key: list[str], known: list[str], fallback: str) -> tuple[Column, Column]:
+    """What is used for what is asked, and why it is another: "unknown" or "no-key"."""
+    reason = F.when(asked.isNull(), None).when(~asked.isin(known), "unknown").when(asked.isin(needs_key) & ~has_key, "no-key")
+    return F.when(asked.isNotNull() & reason.isNull(), asked).otherwise(fallback), reason
+
+
+def merged(defaults: Column, own: Column) -> Column:
+    """A map of defaults under one of own settings."""
+    return F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(own, k)), own)

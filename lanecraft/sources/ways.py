@@ -54,24 +54,28 @@ def column(tag: str) -> str:
     return tag.replace(":", "_")
 
 
-def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """way_id, one column per tag, and coords: an array of (ilat, ilng, lat, lng)."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
-    tags = [
-        F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), F.expr(index.format(d="div")).cast("int") + 1).alias(column(tag)) for tag, values, index in TAGS
-    ]
-    line = F.expr(f"(p div 2) % {SIDE} + (p div {DISTRICT}) * 40")
-    begin = F.expr(f"((p div {2 * SIDE}) % 7) * 4")
-    shift = F.expr(f"(p div {DISTRICT}) * 40")
+def _literal(value: str | None) -> str:
+    return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _vertex(k: int) -> str:
+    shift = f"(p div {DISTRICT}) * 40"
+    along, line = f"((p div {2 * SIDE}) % 7) * 4 + {k}", f"(p div 2) % {SIDE}"
+    ilat, ilng = f"{LAT0} + {LAT_STEP} * ({shift} + IF(p % 2 = 0, {line}, {along}))", f"{LNG0} + {LNG_STEP} * IF(p % 2 = 0, {along}, {line})"
+    return f"named_struct('ilat', CAST({ilat} AS BIGINT), 'ilng', CAST({ilng} AS BIGINT), 'lat', ({ilat}) / 1e5D, 'lng', ({ilng}) / 1e5D)"
 
-    def vertex(k):
-        row = F.when(F.col("p") % 2 == 0, line).otherwise(begin + k + shift)
-        col = F.when(F.col("p") % 2 == 0, begin + k).otherwise(line - shift)
-        ilat, ilng = F.lit(LAT0) + LAT_STEP * row, F.lit(LNG0) + LNG_STEP * col
-        return F.struct(ilat.cast("long").alias("ilat"), ilng.cast("long").alias("ilng"), (ilat / F.lit(1e5)).alias("lat"), (ilng / F.lit(1e5)).alias("lng"))
 
-    coords = F.array(*(vertex(k) for k in range(POINTS)))
-    return p.select(F.col("p").alias("way_id"), *tags, coords.alias("coords"))
+#: Text, as thousands of calls that build Columns take longer than small queries.
+WAY_COLUMNS = [
+    "p AS way_id",
+    *(f"element_at(array({', '.join(map(_literal, values))}), CAST({index.format(d='div')} AS INT) + 1) AS `{column(tag)}`" for tag, values, index in TAGS),
+    f"array({', '.join(map(_vertex, range(POINTS)))}) AS coords",
+]
+
+
+def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """way_id, one column per tag, and coords: an array of (ilat, ilng, lat, lng)."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS p").selectExpr(*WAY_COLUMNS)
 
 
 def way_points(ways: DataFrame) -> DataFrame:
@@ -93,11 +97,95 @@ def ways_of_elements(rows: DataFrame) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark runs, one JSON object per line; lines that are no JSON are skipped."""
+    """Benchmark runs, one JSON object per line, with ``line`` (higher is newer); lines that are no JSON are skipped. See ``newest_first``."""
     schema = "date string, version string, samples long, clientPct double, valhallaPct double, brouterPct double, google double, _bad string"
     parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"})
-    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"))
-    return rows.where(F.col("r._bad").isNull()).select("r.*").drop("_bad")
+    rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.trim("value") != "").select("line", parsed.alias("r"))
+    return rows.where(F.col("r._bad").isNull()).select("r.*", "line").drop("_bad")
+
+
+def newest_first(history: DataFrame) -> DataFrame:
+    """A history from its last line to its first."""
+    return history.orderBy(F.desc("line"))
+
+
+#: Columns of a sample of a benchmark run.
+SAMPLE = "city string, mode string, pair string, engine string, km double, pct double"
+
+
+def write_run(samples: DataFrame, path: str, version: str, date: str) -> None:
+    """A run's samples and summary beside it, and one more line in the history. Rerun with one version, the samples are replaced."""
+    samples.select("city", "mode", "pair", "engine", "km", "pct").write.mode("overwrite").json(f"{path}/runs/{version}")
+    means = samples.groupBy().pivot("engine", ["client", "valhalla", "brouter", "google"]).agg(F.avg("pct"))
+    count = samples.select("city", "mode", "pair").distinct().agg(F.count("*").alias("samples"))
+    line = count.crossJoin(means).select(F.lit(date).alias("date"), F.lit(version).alias("version"), "samples", F.col("client").alias("clientPct"), F.col("valhalla").alias("valhallaPct"), F.col("brouter").alias("brouterPct"), "google")
+    line.coalesce(1).write.mode("append").json(f"{path}/history")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The samples of all runs, with ``version``."""
+    rows = spark.read.schema(SAMPLE).json(f"{path}/runs/*")
+    return rows.withColumn("version", F.regexp_extract(F.col("_metadata.file_path"), "/runs/([^/]+)/", 1))
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """metrics.json: one row a sample; an engine without a route has nulls."""
+    engine = "struct<distanceKm:double,preferredPct:double>"
+    schema = f"samples array<struct<city:string,mode:string,pair:string,client:{engine},valhalla:{engine},brouter:{engine},google:{engine}>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("samples"))
+    flat = [F.col(f"{e}.{c}").alias(f"{e}_{n}") for e in ("client", "valhalla", "brouter", "google") for c, n in (("distanceKm", "km"), ("preferredPct", "pct"))]
+    return rows.select("city", "mode", "pair", *flat)
+
+
+def read_external_routes(spark: SparkSession, path: str, engine: str) -> DataFrame:
+    """Answers of another router, kept as JSON files: file, coords (lat, lng), km and seconds.
+
+    "valhalla" has legs with a polyline of six decimals, "brouter" a GeoJSON line, "google" routes with a polyline of five.
+    """
+    from lanecraft.functions import text as T
+
+    file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("file")
+    reader = spark.read.option("multiLine", True)
+    if engine == "valhalla":
+        rows = reader.schema("trip struct<legs:array<struct<shape:string>>,summary:struct<length:double,time:double>>").json(path)
+        coords = F.flatten(F.transform("trip.legs", lambda leg: T.polyline(leg["shape"], 6)))
+        return rows.select(file, coords.alias("coords"), F.col("trip.summary.length").alias("km"), F.col("trip.summary.time").alias("seconds"))
+    if engine == "brouter":
+        rows = reader.schema("features array<struct<geometry:struct<coordinates:array<array<double>>>,properties:map<string,string>>>").json(path)
+        first = F.col("features")[0]
+        coords = F.transform(first["geometry"]["coordinates"], lambda c: F.struct(c[1].alias("lat"), c[0].alias("lng")))
+        number = lambda k: first["properties"][k].cast("double")
+        return rows.select(file, coords.alias("coords"), (number("track-length") / 1000).alias("km"), number("total-time").alias("seconds"))
+    if engine == "google":
+        rows = reader.schema("routes array<struct<polyline:struct<encodedPolyline:string>,distanceMeters:double,duration:string>>").json(path)
+        first = F.col("routes")[0]
+        return rows.select(file, T.polyline(first["polyline"]["encodedPolyline"], 5).alias("coords"), (first["distanceMeters"] / 1000).alias("km"), F.regexp_extract(first["duration"], r"^([0-9.]+)s$", 1).try_cast("double").alias("seconds"))
+    raise ValueError(f"no reader for {engine}")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows of a log (``day`` among their columns) added to what is there, by day."""
+    rows.write.mode("append").partitionBy("day").parquet(path)
+
+
+def save_scan(ways: DataFrame, path: str, city: str) -> None:
+    """A city's audit scan in place of the one before; other cities' stay."""
+    ways.withColumn("city", F.lit(city)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
+
+
+def load_scan(spark: SparkSession, path: str, city: str) -> DataFrame:
+    """A city's audit scan; no rows if there is none."""
+    return spark.read.parquet(path).where(F.col("city") == city).drop("city")
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """City profiles: text files with ``key: value`` lines between two lines of dashes, then prose. file, fields (a map) and prose."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("file"), "value")
+    parts = F.split("value", r"(?m)^---\s*$", 3)  # nothing, the fields, and the prose
+    lines = F.filter(F.split(F.coalesce(F.get(parts, 1), F.lit("")), r"\r?\n"), lambda x: F.regexp_like(x, F.lit(r"^[A-Za-z_][A-Za-z0-9_]*:")))
+    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
+    prose = F.regexp_replace(F.coalesce(F.get(parts, 2), F.col("value")), r"^\s+|\s+$", "")
+    return rows.select("file", F.map_from_entries(pairs).alias("fields"), prose.alias("prose"))
 
 
 def write_tiles(ways: DataFrame, path: str) -> None:

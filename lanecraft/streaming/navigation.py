@@ -12,28 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STEPS = "trip long, ts long, step int, said string"
+STEPS = "trip long, event_id long, step int, far boolean, near boolean"
+#: Metres from the next manoeuvre at which it is announced, announced again, and taken as reached. Fixed values.
+FAR, NEAR, THERE = 200, 50, 30
+EARTH_M = 6_371_000.0
+State = tuple[int, bool, bool]
 
 
-def advance(state: tuple[int, bool, bool], metres: float) -> tuple[tuple[int, bool, bool], str | None]:
-    """The state (step, whether 200 m and 50 m were said) after a position ``metres`` from the next manoeuvre, and what is said."""
-    step, far, near = state
-    said = None
-    if metres <= 50 and not near:
-        near, said = True, "50"
-    elif metres <= 200 and not far and not near:
-        far, said = True, "200"
-    if metres <= 30:
-        return (step + 1, False, False), said
-    return (step, far, near), said
+def metres(a: tuple[float, float], b: tuple[float, float]) -> float:
+    x = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return EARTH_M * 2 * math.atan2(math.sqrt(x), math.sqrt(1 - x))
+
 
+def advance(state: State, at: tuple[float, float] | None, manoeuvres: list[tuple[float, float]]) -> tuple[State, bool, bool]:
+    """The state (step, whether the next manoeuvre was announced from far and from near) after a position, and what is announced now.
 
-def walked(rows: pd.DataFrame, state: tuple[int, bool, bool]) -> tuple[list[tuple], tuple[int, bool, bool]]:
-    out = []
-    for trip, ts, metres in rows.sort_values(["ts", "event_id"])[["trip", "ts", "metres"]].itertuples(index=False):
-        state, said = advance(state, metres)
-        out.append((trip, ts, state[0], said))
-    return out, state
+    Both announcements may be due at once. The last manoeuvre is never left, and without a next one nothing happens.
+    """
+    step, far, near = state
+    if at is None or step + 1 >= len(manoeuvres):
+        return state, False, False
+    away = metres(at, manoeuvres[step + 1])
+    say_far, say_near = away <= FAR and not far, away <= NEAR and not near
+    if away <= THERE:
+        return (step + 1, False, False), say_far, say_near
+    return (step, far or say_far, near or say_near), say_far, say_near
 
 
 def in_order(rows: DataFrame, key: str) -> DataFrame:
@@ -44,27 +47,36 @@ def in_order(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key, "ts", "event_id")
 
 
-def steps_batch(positions: DataFrame) -> DataFrame:
-    """The step machine over all positions ``(trip, event_id, ts, metres)`` of each trip in order."""
+def steps_batch(positions: DataFrame, manoeuvres: DataFrame) -> DataFrame:
+    """The step machine over the ``positions(trip, event_id, ts, lat, lng)`` of each trip in order.
+
+    ``manoeuvres(trip, idx, lat, lng)`` come before a trip's positions in the same pass, which holds those of one trip.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trip, state = None, (0, False, False)
+        trip, state, ahead = None, (0, False, False), []
         for batch in batches:
-            steps, words = [], []
-            for key, metres in zip(batch.column("trip").to_pylist(), batch.column("metres").to_pylist(), strict=True):
+            out = []
+            for key, kind, event, lat, lng in zip(*(batch.column(c).to_pylist() for c in ("trip", "kind", "event_id", "lat", "lng")), strict=True):
                 if trip is None or key != trip[0]:
-                    trip, state = (key,), (0, False, False)
-                state, said = advance(state, math.nan if metres is None else metres)
-                steps.append(state[0])
-                words.append(said)
-            columns = [batch.column("trip"), batch.column("ts"), pa.array(steps, pa.int32()), pa.array(words, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["trip", "ts", "step", "said"])
+                    trip, state, ahead = (key,), (0, False, False), []
+                at = None if lat is None or lng is None else (lat, lng)
+                if kind == 0:
+                    ahead.append(at or (math.nan, math.nan))
+                    continue
+                state, far, near = advance(state, at, ahead)
+                out.append((key, event, state[0], far, near))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["trip", "event_id", "step", "far", "near"])
 
-    return in_order(positions.select("trip", "event_id", "ts", "metres"), "trip").mapInArrow(run, STEPS)
+    first = manoeuvres.select("trip", F.lit(0).alias("kind"), F.col("idx").cast("long").alias("ts"), F.lit(None).cast("long").alias("event_id"), "lat", "lng")
+    every = first.unionByName(positions.select("trip", F.lit(1).alias("kind"), "ts", "event_id", "lat", "lng"))
+    return every.repartition("trip").sortWithinPartitions("trip", "kind", "ts", "event_id").mapInArrow(run, STEPS)
 
 
-def steps_stream(positions: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The same over a stream; positions later than ``late`` are left out.
+def steps_stream(positions: DataFrame, manoeuvres: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream of positions; those later than ``late`` are left out. Manoeuvres are a table that is joined.
 
     The state of a trip goes once the stream is an hour past its last position. That hour is one of ``ts``, not of the
     clock: a replay gives the same rows, and a stream that has read all there is comes to its end.
@@ -74,16 +86,20 @@ def steps_stream(positions: DataFrame, late: str = "10 minutes") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        at = state.get if state.exists else (0, False, False)
-        new = pd.concat(list(parts))
-        rows, at = walked(new, tuple(at))
+        at: State = tuple(state.get) if state.exists else (0, False, False)
+        new, rows = pd.concat(list(parts)), []
+        for event, lat, lng, ahead in new.sort_values(["ts", "event_id"])[["event_id", "lat", "lng", "ahead"]].itertuples(index=False):
+            there = [(m["lat"], m["lng"]) for m in ahead] if ahead is not None else []
+            at, far, near = advance(at, None if pd.isna(lat) or pd.isna(lng) else (lat, lng), there)
+            rows.append((key[0], event, at[0], far, near))
         state.update(at)
         state.setTimeoutTimestamp(max(int(new["ts"].max()), state.getCurrentWatermarkMs()) + 3_600_000)
-        yield pd.DataFrame(rows, columns=["trip", "ts", "step", "said"])
+        yield pd.DataFrame(rows, columns=["trip", "event_id", "step", "far", "near"])
 
     # Watermarks begin at 0 and leave out what isn't after them, so that a position at 0 needs one more.
     marked = positions.withColumn("_at", F.timestamp_millis(F.col("ts") + 1)).withWatermark("_at", late)
-    return marked.groupBy("trip").applyInPandasWithState(run, STEPS, "step int, far boolean, near boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    ahead = manoeuvres.groupBy("trip").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lng"))).alias("ahead"))
+    return marked.join(ahead, "trip", "left").groupBy("trip").applyInPandasWithState(run, STEPS, "step int, far boolean, near boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounced_stream(events: DataFrame, key: str, ts: str, gap: str, late: str = "10 seconds") -> DataFrame:
@@ -119,11 +135,18 @@ def cooled(requests: DataFrame, pause_ms: int = 60_000) -> DataFrame:
     return in_order(requests.select("client", "event_id", "ts", "refused"), "client").mapInArrow(run, "client long, event_id long, sent boolean")
 
 
-def on_route(positions: DataFrame, route: DataFrame, most_m: float = 100.0) -> DataFrame:
-    """The nearest of a route's points ``(trip, idx, lat, lng)`` for each position, null beyond ``most_m``: a stream-static join for ``foreachBatch``."""
+def on_route(positions: DataFrame, route: DataFrame, most_m: float = 100.0, cell: float = 0.002) -> DataFrame:
+    """``positions(trip, event_id, lat, lng)`` with ``point``, the nearest of their route's points ``(trip, idx, lat, lng)``, null beyond ``most_m``.
+
+    They meet by cells of a route, so that a long one isn't compared whole; cells are wider than ``most_m`` below 60
+    degrees of latitude. Without a stream it is a join like any other; in a stream, one for ``foreachBatch``.
+    """
     from lanecraft.functions import geo
+    from lanecraft.operators.spatial import around
 
     there = route.select("trip", F.col("idx").alias("point"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
-    metres = geo.haversine(F.col("lat"), F.col("lng"), F.col("rlat"), F.col("rlng"))
-    best = positions.join(there, "trip").groupBy("trip", "ts").agg(F.min(F.struct(metres.alias("metres"), "point")).alias("b"))
-    return best.select("trip", "ts", F.when(F.col("b.metres") <= most_m, F.col("b.point")).alias("point"))
+    there = there.withColumns({"row": geo.tile(F.col("rlat"), cell), "col": geo.tile(F.col("rlng"), cell)})
+    asked = positions.select("trip", "event_id", "lat", "lng").withColumn("c", F.explode(around(cell))).select("trip", "event_id", "lat", "lng", "c.*")
+    away = geo.haversine(F.col("lat"), F.col("lng"), F.col("rlat"), F.col("rlng"))
+    best = asked.join(there, ["trip", "row", "col"]).where(away <= most_m).groupBy("trip", "event_id").agg(F.min(F.struct(F.round(away, 6).alias("metres"), "point")).alias("b"))
+    return positions.join(best, ["trip", "event_id"], "left").select("trip", "event_id", F.col("b.point").alias("point"))
