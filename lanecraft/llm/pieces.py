@@ -18,13 +18,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, text
+from .common import Memo, frame, portions, text
 
 MARK = "▁"
-#: Merged pre-tokens whose counts a Python worker remembers; it forgets them when there are more.
-REMEMBERED = 800_000
-#: Rows of a batch that are worked on at once.
-ROWS = 2000
+#: Pre-tokens of the texts that are worked on at once, unless one text alone has more.
+AT_ONCE = 1 << 18
 
 
 class Counter:
@@ -37,7 +35,7 @@ class Counter:
         if crossing or self.model.encode("a  b") != self.model.encode("a") + self.model.encode(" b"):
             raise ValueError(f"pieces of {path} reach over blanks: {crossing[:3]}")
         self.whole = self.prove([p for p, ok in zip(self.pieces, plain, strict=True) if ok and p[0] == MARK])
-        self.known: dict[str, int] = {}
+        self.known: Memo[int] = Memo()
 
     def prove(self, pieces: list[str]) -> dict[str, int]:
         """Of the pieces with one blank in front, those that the merges give back as one token."""
@@ -54,13 +52,11 @@ class Counter:
         spelled = words.flatten().dictionary_encode()
         distinct = spelled.dictionary.to_pylist()
         whole, known = self.whole, self.known
-        counts = np.ones(len(distinct), np.int64)
-        rest = [i for i, p in enumerate(distinct) if p not in whole]
-        if len(known) + len(rest) > REMEMBERED:
-            known.clear()
-        missing = [p for i in rest if (p := distinct[i]) not in known]
-        known.update(zip(missing, self.merged(missing), strict=True))
-        counts[rest] = [known[distinct[i]] for i in rest]
+        counts = np.array([1 if p in whole else known.held.get(p, 0) for p in distinct], np.int64)
+        rest = np.flatnonzero(counts == 0)
+        for i, n in zip(rest.tolist(), self.merged([distinct[i] for i in rest.tolist()]), strict=True):
+            counts[i] = n
+            known.put(distinct[i], n)
         sums = np.concatenate([[0], np.cumsum(counts[np.asarray(spelled.indices, np.int64)])])
         return np.diff(sums[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])])
 
@@ -82,8 +78,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in portions(batch, 2, AT_ONCE):
                 counts = own.count(part.column(2))
                 yield frame(COUNTS, [part.column(0), part.column(1), counts, counts > limit])
 
