@@ -299,15 +299,12 @@ def route_summary(spark, sf):
 
 @query(
     f"""WITH {O.edges()}, {O.PINGS}, n AS (SELECT DISTINCT src AS node FROM edges WHERE mode = '{MODE}'), nn AS (SELECT node, (node // 100000000 - 9000000) / 100000.0::DOUBLE AS lat, (node % 100000000 - 18000000) / 100000.0::DOUBLE AS lng FROM n),
-    p AS (SELECT event_id AS point, lat, lng FROM pings WHERE event_id < 200), m AS (SELECT point, node, {O.haversine('p.lat', 'p.lng', 'nn.lat', 'nn.lng')} AS d FROM p, nn)
-    SELECT point, round(min(CASE WHEN d <= 1000 THEN d END), 3) AS metres FROM m GROUP BY point"""
+    p AS (SELECT DISTINCT lat, lng FROM pings), m AS (SELECT p.lat, p.lng, min({O.haversine('p.lat', 'p.lng', 'nn.lat', 'nn.lng')}) AS d FROM p JOIN nn ON nn.lat BETWEEN p.lat - 0.01 AND p.lat + 0.01 GROUP BY ALL)
+    SELECT event_id AS point, round(CASE WHEN d <= 1000 THEN d END, 3) AS metres FROM pings LEFT JOIN m USING (lat, lng)"""
 )
 def snap_start(spark, sf):
-    """As ``snap_start_all``, over the 200 events that its SQL can join in time."""
-    links = all_edges(spark, sf).where(F.col("mode") == MODE)
-    nodes = links.groupBy("mode", F.col("src").alias("node")).agg(F.first("src_point.lat").alias("lat"), F.first("src_point.lng").alias("lng"))
-    points = pings(spark, sf).where("event_id < 200").select(F.col("event_id").alias("point"), F.lit(MODE).alias("mode"), "lat", "lng")
-    return graph.snapped(points, nodes).select("point", F.round("metres", 3).alias("metres"))
+    """All positions at the nearest node with an edge leaving it, within 1000 m; positions at one place are snapped once."""
+    return snap_start_all(spark, sf)
 
 
 @query()
@@ -386,10 +383,10 @@ def score_manhattan(spark, sf):
     return _scored(spark, sf, box=0.0005, metric="manhattan")
 
 
-@query(f"WITH {O.CLS}, {O.PINGS} SELECT DISTINCT v.way_id FROM pts v JOIN cls c USING (way_id) JOIN pings p ON abs(p.lat - v.lat) < 0.001 AND abs(p.lng - v.lng) < 0.001 WHERE p.route < 20 AND {O.GOOD.replace('item', 'c.item')}")
+@query(f"WITH {O.CLS}, {O.PINGS}, p AS (SELECT DISTINCT lat, lng FROM pings), g AS (SELECT v.way_id, v.lat, v.lng FROM pts v JOIN cls c USING (way_id) WHERE {O.GOOD.replace('item', 'c.item')}), v AS (SELECT DISTINCT lat, lng FROM g), near AS (SELECT DISTINCT v.lat, v.lng FROM v JOIN p ON abs(p.lat - v.lat) < 0.005 AND abs(p.lng - v.lng) < 0.005) SELECT DISTINCT way_id FROM g JOIN near USING (lat, lng)")
 def route_suggestions(spark, sf):
-    good = classed(spark, sf).where(liked())
-    return spatial.ways_near(src.way_points(good), pings(spark, sf).where("route < 20"), 0.001)
+    """Ways that the mode prefers within the reference's 0.005 degrees of any position of any route."""
+    return route_suggestions_all(spark, sf)
 
 
 @query()
@@ -716,11 +713,10 @@ def image_cooldown(spark, sf):
     return navigation.cooled(rows)
 
 
-@query(f"WITH {O.WAYS}, {O.PINGS}, s AS (SELECT route, idx, lat, lng FROM pings WHERE route < 10 AND idx % 5 = 0), m AS (SELECT s.route, v.way_id, s.idx, min(abs(v.lat - s.lat) + abs(v.lng - s.lng)) AS far FROM s JOIN pts v ON abs(v.lat - s.lat) < 0.002 AND abs(v.lng - s.lng) < 0.002 GROUP BY ALL), t AS (SELECT route, way_id, count(*) AS hits, round(sum(far), 9) AS far FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY hits DESC, far, way_id) AS nth FROM t) SELECT route, way_id, hits FROM r WHERE nth = 1")
+@query(f"WITH {O.WAYS}, {O.PINGS}, s AS (SELECT route, idx, lat, lng FROM pings ), m AS (SELECT s.route, v.way_id, s.idx, min(abs(v.lat - s.lat) + abs(v.lng - s.lng)) AS far FROM s JOIN pts v ON abs(v.lat - s.lat) < 0.002 AND abs(v.lng - s.lng) < 0.002 GROUP BY ALL), t AS (SELECT route, way_id, count(*) AS hits, round(sum(far), 9) AS far FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY hits DESC, far, way_id) AS nth FROM t) SELECT route, way_id, hits FROM r WHERE nth = 1")
 def segment_nearest_way(spark, sf):
-    """The way that the sampled points of a segment are nearest to in sum, of those near most of them."""
-    points = pings(spark, sf).where("route < 10 AND idx % 5 = 0")
-    return spatial.way_of_segment(points, src.way_points(src.ways(spark, sf)), 0.002)
+    """The way that the points of a route are nearest to in sum, of those near most of them."""
+    return spatial.way_of_segment(pings(spark, sf), src.way_points(src.ways(spark, sf)), 0.002)
 
 
 @query(f"WITH {O.CLS} SELECT item, path_level, CASE path_level WHEN '1a' THEN 4 WHEN '1b' THEN 4 WHEN '2a' THEN 3 WHEN '2b' THEN 3 ELSE 2 END AS tier, greatest(2, floor(4 * CASE path_level WHEN '1a' THEN 1.0 WHEN '1b' THEN 0.9 WHEN '2a' THEN 0.8 WHEN '2b' THEN 0.6 ELSE 0.4 END * 0.8 + 0.5))::BIGINT AS width, count(*) AS ways FROM cls GROUP BY ALL")
