@@ -418,7 +418,7 @@ def padded(text: bytes) -> bytes:
 
 
 def stored(docs: DataFrame, column: str = "text", media: str = "media") -> DataFrame:
-    """``docs`` with the JPEG file (binary) of each text; null counts as empty."""
+    """``docs`` with the JPEG file (binary) of each text; null counts as empty. A column named like ``media`` is replaced, others stay."""
     kept = docs.drop(media)
     names = [*kept.columns, media]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
@@ -448,7 +448,8 @@ def features(docs: DataFrame) -> DataFrame:
     """The columns of ``MEDIA`` for every row of ``docs``: its text stored as a JPEG file and read back; no shuffle.
 
     ``feature`` is width x height in pixels and the average hash of the DC thumbnail. Null texts count as empty, which
-    is a payload of one block of zeros. Equal texts give equal values.
+    is a payload of one block of zeros. Equal texts give equal values, repeated rows a row each, an empty table none; other
+    columns don't matter. A text of any length is one file, coded in portions of blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,6 +122,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     """_row, doc_id, size, source_size, target and copies (how often the mix takes it) of every row of ``docs``.
 
     Null texts count as empty; documents of size 0 are taken like others and add no words. A null source is a source.
+    Repeated rows are rows like any, sizes may tie, texts of any length are counted whole, and other columns don't matter.
     An empty table gives none. Reruns over the same files agree: draws depend on the rows' places and sizes alone.
     ``docs`` must come straight from files or a checkpoint.
     """
@@ -171,7 +172,7 @@ def _exchanged(taken: DataFrame, most: int, held) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
+    """The mix itself: each row of ``docs``, with its columns as they are, as often as it is taken."""
     row, often = fresh(docs, "_row"), fresh(docs, "_often")
     taken = copies(docs, weights, most).where("copies > 0").select(F.col("_row").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(often))
     return with_row(docs, row).join(taken, row).withColumn(often, F.explode(often)).drop(often, row)

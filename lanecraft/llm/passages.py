@@ -439,7 +439,7 @@ def without_repeats(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
     """For every row of ``docs``: _row, doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``kept_bytes`` what is left (binary).
 
     Null texts are empty; texts below LEAST bytes never change. A document without id counts as later than all others;
-    rows with the same id never remove each other's bytes. ``docs`` must come straight from files or a checkpoint.
+    rows with the same id never remove each other's bytes. Other columns don't matter; an empty table gives none. ``docs`` must come straight from files or a checkpoint.
     """
     rows = with_row(docs).select("_row", "doc_id", text().cast("binary").alias("bytes"))
     size = docs.agg(F.sum(F.octet_length(text()))).first()[0] or 0

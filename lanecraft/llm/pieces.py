@@ -72,7 +72,8 @@ COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens"
 def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether they exceed ``limit``; a null or empty text has no tokens.
 
-    One row per row of ``docs`` whatever its doc_id; no shuffle.
+    One row per row of ``docs`` whatever its doc_id and other columns; an empty table gives none; no shuffle. A text of any
+    length is counted whole; its pre-tokens pass through a worker at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,7 +156,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     """_row, doc_id, fingerprint (16 lowercase hex digits) and component_id of every row of ``docs``.
 
     component_id is the smallest doc_id that links lead to, the row's own included; rows without id count only if all
-    of a component have none, which then is null. Texts without words have fingerprint 0 and are linked like others.
+    of a component have none, which then is null. Texts without words, null ones too, have fingerprint 0 and are linked like
+    others; repeated rows are rows like any. A text of any length is read whole, its shingles hashed in portions. Other
+    columns don't matter; an empty table gives none.
     ``docs`` must come straight from files or a checkpoint.
     """
     prints = cut(fingerprints(docs, words))
@@ -174,7 +176,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of each component of ``docs``: the one with the smallest doc_id (null last), of those the first row."""
+    """One row of each component of ``docs``, with its columns as they are: the one with the smallest doc_id (null last), of those the first row."""
     row = fresh(docs, "_row")
     groups = near_groups(docs, words, radius).withColumn("_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
     key = F.coalesce(F.col("component_id"), F.lit(2**63 - 1))
