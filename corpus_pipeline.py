@@ -1,5 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
+All stages but the last return the columns of their input as they are, whatever their names, and read texts of any length
+whole. Null texts count as empty: all empty ones are copies of each other, of which one stays. Rows without id are rows
+like any others, kept or dropped by the same rules. An empty table passes through as one.
+
 The order: toxic documents go, then exact copies, then near copies but one of each group, then the sources are mixed to
 their weights, and at last the mix is encoded to token ids.
 """
