@@ -37,6 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if own:
         return own
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
     return spark.sparkContext.getCheckpointDir()
 
