@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Memo, frame, fresh, gather, portions, text
 
 #: Pre-tokens of the texts that are worked on at once, unless one text alone has more.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 19
 
 
 class RankQueue:
@@ -79,7 +79,7 @@ class Codec:
         self.digits = pa.array([str(i) for i in range(size)])
         self.queue = RankQueue(size)
         #: Ids as 4 bytes each.
-        self.known: Memo[bytes] = Memo()
+        self.known: Memo[bytes] = Memo(64 << 20)
 
     def merge(self, piece: bytes) -> list[int]:
         find = self.ranks.get
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", ids:
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes of an array of ids; null and empty arrays give no bytes."""
+    """``docs`` with the bytes of an array of ids; null and empty arrays give no bytes. A column named like ``out`` is replaced."""
 
     def make(found: pa.ListArray) -> pa.Array:
         ends = np.concatenate([[0], np.cumsum(found.value_lengths().fill_null(0).to_numpy())])
@@ -205,7 +205,8 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of what they decode to, in one pass and without a shuffle.
 
-    One row per row of ``docs``, whatever its doc_id; a null or empty text has 0 tokens and the digests of nothing.
+    One row per row of ``docs``, whatever its doc_id and other columns; a null or empty text has 0 tokens and the digests of
+    nothing; an empty table gives none. A text of any length is encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
