@@ -160,7 +160,7 @@ def train(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int =
     if width % parts:
         raise ValueError(f"{width} components can't be cut into {parts} equal parts")
     side = width // parts
-    cube = integers(pa.array([r["v"] for r in start], pa.list_(pa.float64())), width, scale).reshape(-1, parts, side)
+    cube = integers(pa.array([r["v"] for r in start], pa.list_(pa.float64())), width, scale).reshape(len(start), parts, side)
     books = [cube[:, p].copy() for p in range(parts)]
     names = [f"s{k}" for k in range(side + 1)]  # the last is the number of parts
     for _ in range(rounds):
@@ -169,7 +169,7 @@ def train(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int =
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((parts, len(shared.value[0].entries), side + 1), np.int64)
             for batch in portions(batches):
-                points = integers(batch.column(0), width, scale).reshape(-1, parts, side)
+                points = integers(batch.column(0), width, scale).reshape(batch.num_rows, parts, side)
                 for p in range(parts):
                     index, _ = nearest(shared.value[p], points[:, p])
                     np.add.at(sums[p], index, np.column_stack([points[:, p], np.ones(len(points), np.int64)]))
@@ -198,7 +198,7 @@ def encode(vectors: DataFrame, books: Codebooks, keep: list[str], column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            points = integers(batch.column(batch.num_columns - 1), side * len(books.entries), books.scale).reshape(-1, len(books.entries), side)
+            points = integers(batch.column(batch.num_columns - 1), side * len(books.entries), books.scale).reshape(batch.num_rows, len(books.entries), side)
             found = [nearest(t, points[:, p]) for p, t in enumerate(shared.value)]
             codes = np.column_stack([index for index, _ in found]).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(sum(far for _, far in found))], names=[*kept, code, error])

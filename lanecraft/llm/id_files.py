@@ -26,19 +26,21 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
-from .common import Memo, cut, text, with_row
+from .common import cut, gather, text, with_row
 from .exact import heavy_above
 
 MAGIC = b"lcids\0"
@@ -46,10 +48,14 @@ MAGIC = b"lcids\0"
 SHARD = 32 << 20
 #: Keys in a part of the index, on average.
 KEYS = 1 << 16
-#: Characters of a text that are worked on at once, up to the next blank.
-AT_ONCE = 1 << 20
+#: Characters of the texts that are worked on at once; a longer text is cut at blanks.
+AT_ONCE = 1 << 24
+#: Ids that are read at once, unless one document has more.
+READ = 1 << 20
 BLANK = re.compile(r"[\x20\x09-\x0D]")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A run of letters that stay one character each when they are lowered and composed, between other ASCII characters than
+#: digits and those of contractions and special tokens.
+PLAIN = r"^(?P<before>[!-&(-/:;=?@\[-`{}~]*)(?P<letters>[A-Za-zÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ԯ]+)(?P<after>[!-&(-/:;=?@\[-`{}~]*)$"
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -82,42 +88,115 @@ def get(path: str) -> bytes:
 
 
 class Words:
-    """Ids of texts by a tokenizer that drops blanks and joins nothing across them, which is tried when it is loaded."""
+    """Ids of texts by a tokenizer that splits at blanks, lowers letters and gives each run of letters tokens of its own.
 
-    def __init__(self, path: str):
+    Arrow splits a batch of texts into words and tells the different ones apart, and takes the letters of a word from the
+    characters around them. Only different parts come to Python; the library encodes those that are new to the worker,
+    runs of letters by thousands in one call. A worker remembers parts for two generations of up to ``most`` bytes: what
+    isn't met in one is forgotten in the next. That the tokenizer is of this kind is tried when it is loaded.
+    """
+
+    def __init__(self, path: str, most: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model = tokenizers.Tokenizer.from_file(path)
+        self.model, self.lowered = (tokenizers.Tokenizer.from_file(path) for _ in range(2))
         self.model.no_padding()
         self.model.no_truncation()
+        # Runs of letters are lowered and split already.
+        self.lowered.normalizer = None
+        self.lowered.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.model.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        suffix = self.model.model.end_of_word_suffix
+        self.ends = np.array([bool(suffix) and (self.model.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+        self.most, self.bytes = most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        tried = ["don't", "\u0301e", "AÅ", "'s", "12", "(Ab-Éß),", "ЁжĲ!?"]
+        parts = ["don't", "\u0301e", "aÅ", "'s", "12", "(", "ab", "-", "éß", "),", "ёжĳ", "!?"]
         for blank in " \t\n\x0b\x0c\r":
-            if self.ids([f"don't{blank}́e AÅ{blank}{blank}'s 12"])[0] != sum(self.ids(["don't", "́e", "AÅ", "'s", "12"]), []):
-                raise ValueError(f"the tokenizer of {path} reaches over blanks")
-        self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: Memo[bytes] = Memo(48 << 20)
+            if self.ids([(blank * 2).join(tried)])[0] != sum(self.ids(parts), []):
+                raise ValueError(f"the tokenizer of {path} reaches over blanks, or joins letters with other characters, or doesn't lower them")
+        if self.runs(["ab", "éß", "ёжĳ"]) != [self.packed(i) for i in self.ids(["ab", "éß", "ёжĳ"])]:
+            raise ValueError(f"tokens of {path} don't tell where a word ends")
+
+    @property
+    def width(self) -> int:
+        return self.kind.itemsize
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def encode(self, whole: str) -> Iterator[bytes]:
-        """The ids of a text, some words at a time."""
-        first = 0
-        while first < len(whole):
-            blank = BLANK.search(whole, first + AT_ONCE)
-            last = blank.start() if blank else len(whole)
-            words = WORD.findall(whole, first, last)
-            try:
-                yield b"".join(map(self.known.held.__getitem__, words))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in self.known.held]
-                found = {w: self.packed(ids) for w, ids in zip(new, self.ids(new), strict=True)}
-                known = self.known.held
-                yield b"".join([found[w] if w in found else known[w] for w in words])
-                for w, ids in found.items():
-                    self.known.put(w, ids, len(ids))
-            first = last
+        return np.array(ids, self.kind).tobytes()
+
+    def others(self, texts: list[str]) -> list[bytes]:
+        return [self.packed(ids) for ids in self.ids(texts)]
+
+    def runs(self, letters: list[str]) -> list[bytes]:
+        """The ids of many runs of letters by one call: one ends where a token does that ends a word."""
+        if not letters:
+            return []
+        ids = np.array(self.lowered.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(letters):
+            raise ValueError("tokens don't tell where a word ends")
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def remembered(self, parts: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        out = list(map(self.young.get, parts))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        again = [self.old.get(parts[k]) for k in missing]
+        new = [k for k, ids in zip(missing, again, strict=True) if ids is None]
+        for k, ids in zip(missing, again, strict=True):
+            out[k] = ids
+        for k, ids in zip(new, make([parts[k] for k in new]), strict=True):
+            out[k] = ids
+        for k in missing:
+            self.young[parts[k]] = out[k]
+            self.bytes += 160 + 2 * len(parts[k]) + len(out[k])
+        return out
+
+    def of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words one after another, and where each begins (with the end of the last)."""
+        split = pc.extract_regex(words, PLAIN)
+        around, plain = [split.field(k) for k in (0, 2)], np.asarray(split.is_valid())
+        letters = pc.utf8_lower(split.field(1)).filter(pa.array(plain)).dictionary_encode()
+        rest = pa.concat_arrays([words.filter(pa.array(~plain)), *(a.filter(pa.array(plain)) for a in around)]).dictionary_encode()
+        held = [*self.remembered(letters.dictionary.to_pylist(), self.runs), *self.remembered(rest.dictionary.to_pylist(), self.others)]
+        values = np.frombuffer(b"".join(held), self.kind)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) // self.width)])
+        # Each word is what is before its letters, the letters, and what is after; another word is one part between two without ids.
+        bounds = np.append(bounds, bounds[-1])
+        parts = np.full((len(words), 3), len(held), np.int64)
+        at, many = np.asarray(rest.indices, np.int64) + len(letters.dictionary), int(plain.sum())
+        parts[~plain, 1] = at[: len(words) - many]
+        parts[plain, 0], parts[plain, 2] = at[len(words) - many :].reshape(2, many)
+        parts[plain, 1] = np.asarray(letters.indices, np.int64)
+        ids, begins = gather(values, bounds, parts.ravel())
+        return ids, begins[::3]
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = pc.ascii_split_whitespace(texts)
+        spelled = split.flatten().dictionary_encode()
+        values, bounds = self.of_words(spelled.dictionary)
+        ids, begins = gather(values, bounds, np.asarray(spelled.indices, np.int64))
+        ends = begins[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])]
+        if self.bytes > self.most:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def pieces(whole: str) -> Iterator[str]:
+    """A text in pieces of about AT_ONCE characters, cut at blanks; at least one."""
+    first = 0
+    while True:
+        blank = BLANK.search(whole, first + AT_ONCE)
+        last = blank.start() if blank else len(whole)
+        yield whole[first:last]
+        if last == len(whole):
+            return
+        first = last
 
 
 @lru_cache(maxsize=2)
@@ -136,28 +215,43 @@ class Shard:
     """A shard that is being written."""
 
     def __init__(self, path: str, number: int, width: int):
-        self.number, self.width, self.documents, self.bytes = number, width, 0, 0
+        self.number, self.width, self.documents, self.bytes, self.begun = number, width, 0, 0, 0
         self.system, self.at = store(shard_path(path, number))
         self.own = f"{self.at}.{uuid.uuid4().hex}"
         self.out = self.system.open_output_stream(self.own)
         self.out.write(MAGIC + struct.pack("<H", width))
 
-    def add(self, parts: Iterator[bytes], end: bytes) -> tuple[int, int, int, int]:
-        """shard, place, at and n of one more document."""
-        before = self.bytes
-        for part in parts:
-            self.out.write(part)
-            self.bytes += len(part)
-        self.out.write(end)
-        self.bytes += len(end)
+    def write(self, ids: bytes) -> None:
+        self.out.write(ids)
+        self.bytes += len(ids)
+
+    def finish(self) -> tuple[int, int, int, int]:
+        """shard, place, at and n of the document that ends here."""
+        first, self.begun = self.begun, self.bytes
         self.documents += 1
-        return self.number, self.documents - 1, before // self.width, (self.bytes - before) // self.width
+        return self.number, self.documents - 1, first // self.width, (self.bytes - first) // self.width
 
     def close(self) -> None:
         self.out.close()
         settle(self.system, self.own, self.at)
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str, bool]]]:
+    """Pieces of documents, in order, of about AT_ONCE characters together: doc_id, piece and whether it is the document's last."""
+    held, size = [], 0
+    for batch in batches:
+        for doc_id, whole in zip(batch.column(0), batch.column(1), strict=True):
+            parts = list(pieces(whole.as_py()))
+            for k, piece in enumerate(parts, 1):
+                held.append((doc_id.as_py(), piece, k == len(parts)))
+                size += len(piece)
+                if size >= AT_ONCE:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
 PLACES = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("place", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
 
 
@@ -168,15 +262,19 @@ def written(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFram
         own = words(tokenizer)
         end, shard = own.packed([end_id]), None
         numbers = count(TaskContext.get().partitionId() << 20)
-        for batch in batches:
+        for held in together(batches):
             rows = []
-            for doc_id, whole in zip(batch.column(0), batch.column(1), strict=True):
+            for (doc_id, _, last), ids in zip(held, own.encode(pa.array([piece for _, piece, _ in held], pa.string())), strict=True):
                 shard = shard or Shard(path, next(numbers), own.width)
-                rows.append((doc_id.as_py(), *shard.add(own.encode(whole.as_py()), end)))
-                if shard.bytes >= SHARD:
-                    shard.close()
-                    shard = None
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PLACES.types, strict=True)], schema=PLACES)
+                shard.write(ids.tobytes())
+                if last:
+                    shard.write(end)
+                    rows.append((doc_id, *shard.finish()))
+                    if shard.bytes >= SHARD:
+                        shard.close()
+                        shard = None
+            columns = zip(*rows, strict=True) if rows else [()] * len(PLACES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PLACES.types, strict=True)], schema=PLACES)
         if shard:
             shard.close()
 
@@ -391,7 +489,7 @@ def fetched(spark: SparkSession, path: str, asked: DataFrame, packed: bool = Fal
                 with system.open_input_file(place) as shard:
                     if shard.read(8) != MAGIC + struct.pack("<H", width):
                         raise ValueError(f"{place} is no shard of ids of {width} bytes")
-                    for a, b in near(at, n, AT_ONCE):
+                    for a, b in near(at, n, READ):
                         shard.seek(8 + width * int(at[a]))
                         ids = np.frombuffer(shard.read(width * int((at + n)[a:b].max() - at[a])), f"<u{width}").astype("<u4")
                         found = [ids[i : i + k] for i, k in zip(at[a:b] - at[a], n[a:b], strict=True)]
