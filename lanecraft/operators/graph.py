@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 import pandas as pd
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from lanecraft.functions import geo, streets
 from lanecraft.functions.once import once
 
+from . import search, spatial
+
 FLAT = streets.flat
 
 
@@ -57,7 +58,7 @@ def edges(decided: DataFrame, preferred: Column, elevation: tuple[Column, Column
     """Directed edges mode, src, dst (snapped node ids), dist, cost, way_id, is_walking, ord; repeated pairs still there.
 
     Ways for walking only are walked; refused ways are walked if they may be, else dropped. A way whose item isn't
-    ``preferred`` is ridden no faster than the slow speed. A steep way is walked. The other direction is there unless
+    ``preferred`` is ridden no faster than the slow speed. A steep way is walked if it may be, else dropped. The other direction is there unless
     the way is one-way. ``avoid(way_id)`` are left out. No shuffle but for ``avoid``.
     """
     ways = decided.where(F.size("coords") >= 2)
@@ -73,6 +74,7 @@ def edges(decided: DataFrame, preferred: Column, elevation: tuple[Column, Column
     if elevation is not None:
         steep = F.coalesce(geo.gradient_percent(elevation[1] - elevation[0], geo.length(F.col("coords"))) > F.col("gradient_cap"), F.lit(False)) & ~walking
         kmh, mult, walking = F.when(steep, F.col("walk_kmh")).otherwise(kmh), F.when(steep, 1.0).otherwise(mult), walking | steep
+        ways = ways.where(~steep | streets.bridge_walkable(t))
     ways = ways.select("mode", "way_id", "coords", kmh.alias("kmh"), walking.alias("is_walking"), mult.alias("mult"), streets.one_way(t).alias("single"))
     legs = F.transform(F.sequence(F.lit(1), F.size("coords") - 1), lambda i: F.struct(i.alias("seg"), F.element_at("coords", i).alias("a"), F.element_at("coords", i + 1).alias("b")))
     ways = ways.select("mode", "way_id", "kmh", "is_walking", "mult", "single", F.inline(legs))
@@ -104,36 +106,20 @@ def nodes(edges: DataFrame) -> DataFrame:
     return ends.groupBy("mode", "node").agg(F.min_by(F.struct("p.lat", "p.lng"), F.struct("ord", "end")).alias("p")).select("mode", "node", "p.lat", "p.lng")
 
 
-def snapped(points: DataFrame, nodes: DataFrame, reach_m: float = 1000.0, cell: float = 0.01) -> DataFrame:
-    """``points(point, mode, lat, lng)`` with the nearest node within ``reach_m``, ties to the smaller node; none: null.
+def snapped(points: DataFrame, nodes: DataFrame, reach_m: float = 1000.0) -> DataFrame:
+    """``points(point, mode, lat, lng)`` with the nearest of ``nodes(mode, node, lat, lng)`` within ``reach_m``, ties to the smaller node; none: null.
 
-    Points meet the nodes of their own and the neighbouring cells, so no point sees all nodes.
+    By growing rings of cells, see ``spatial.rings``.
     """
-    at = lambda c: geo.tile(F.col(c), cell)
-    steps = int(reach_m / 111_000 / cell) + 1
-    wide = int(reach_m / 60_000 / cell) + 1
-    near = F.explode(F.flatten(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda i: F.transform(F.sequence(F.lit(-wide), F.lit(wide)), lambda j: F.struct((at("lat") + i).alias("row"), (at("lng") + j).alias("col"))))))
-    asked = points.withColumn("c", near).select("point", "mode", F.col("lat").alias("plat"), F.col("lng").alias("plng"), "c.row", "c.col")
-    there = nodes.withColumn("row", at("lat")).withColumn("col", at("lng"))
-    met = asked.join(there, ["mode", "row", "col"]).withColumn("metres", geo.haversine(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")))
-    best = met.where(F.col("metres") <= reach_m).groupBy("point", "mode").agg(F.min(F.struct("metres", "node")).alias("b"))
-    return points.join(best, ["point", "mode"], "left").select("point", "mode", F.col("b.node").alias("node"), F.col("b.metres").alias("metres"))
+    found = spatial.rings(points, nodes, ["point", "mode"], "node", reach_m, same=("mode",))
+    return found.select("point", "mode", "node", F.col("far").alias("metres"))
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """mode and node of all that ``starts(mode, node)`` lead to along directed edges, the starts included.
+    """mode and node of all that ``starts(mode, node)`` lead to along directed edges, the starts included: over the whole graph, by its overlay."""
+    from . import overlay
 
-    One frontier a round, each written to the checkpoint folder; for graphs of few hops. Long ones belong to ``routes``.
-    """
-    links = edges.select("mode", "src", "dst").distinct().checkpoint()
-    seen = starts.select("mode", "node").distinct().checkpoint()
-    front = seen
-    while True:
-        step = front.withColumnRenamed("node", "src").join(links, ["mode", "src"]).select("mode", F.col("dst").alias("node")).distinct()
-        front = step.join(seen, ["mode", "node"], "left_anti").checkpoint()
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+    return overlay.reachable(overlay.build(edges.select("mode", "src", "dst", F.lit(1.0).alias("cost"))), starts)
 
 
 def reachable_in_regions(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -157,43 +143,21 @@ def reachable_in_regions(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return links.groupBy("mode", "region").cogroup(starts.groupBy("mode", "region")).applyInPandas(run, "mode string, node long")
 
 
-def dijkstra(links: dict[int, list[tuple[int, float]]], start: int, goals: set[int]) -> tuple[dict[int, float], dict[int, int]]:
-    """Costs and predecessors, until all goals are settled."""
-    cost, before, done, heap, left = {start: 0.0}, {}, set(), [(0.0, start)], set(goals)
-    while heap and left:
-        c, node = heapq.heappop(heap)
-        if node in done:
-            continue
-        done.add(node)
-        left.discard(node)
-        for other, w in links.get(node, ()):
-            if c + w < cost.get(other, float("inf")):
-                cost[other], before[other] = c + w, node
-                heapq.heappush(heap, (c + w, other))
-    return cost, before
-
-
 def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cheapest paths: a row mode, pair, idx, node, cost (from the start) for each node on the path of each of ``pairs(mode, region, pair, src, dst)``.
 
     ``edges(mode, region, src, dst, cost)``: a region's graph of a mode goes to one task, so regions are bounded (a
-    city's tiles); there are as many tasks as modes and regions. A pair without a path has no rows.
+    city's tiles); there are as many tasks as modes and regions. A pair without a path has no rows. ``overlay.routes``
+    finds paths in graphs of any size.
     """
 
     def run(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        links = defaultdict(list)
-        for s, d, c in zip(graph["src"].tolist(), graph["dst"].tolist(), graph["cost"].tolist(), strict=True):
-            links[s].append((d, c))
-        out = []
+        links, out = search.links(*(graph[c].tolist() for c in ("src", "dst", "cost"))), []
         for start, group in asked.groupby("src"):
-            cost, before = dijkstra(links, start, set(group["dst"]))
+            found = search.cheapest(links, {start: 0.0}, group["dst"].tolist())
             for mode, pair, goal in zip(group["mode"], group["pair"], group["dst"], strict=True):
-                if goal not in cost:
-                    continue
-                path = [goal]
-                while path[-1] != start:
-                    path.append(before[path[-1]])
-                out += [(mode, pair, i, node, cost[node]) for i, node in enumerate(reversed(path))]
+                if goal in found.cost:
+                    out += [(mode, pair, i, node, found.cost[node]) for i, node in enumerate(found.path(goal))]
         return pd.DataFrame(out, columns=["mode", "pair", "idx", "node", "cost"])
 
     pairs = pairs.toDF(*pairs.columns)  # new columns even where pairs come from the edges

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanecraft.functions import geo, streets
+from lanecraft.sources import dims
 
-from . import graph, segments
+from . import graph, search, segments
 
 
 def ways_on_path(steps: DataFrame) -> DataFrame:
@@ -55,66 +57,150 @@ def manoeuvre_points(manoeuvres: DataFrame, points: DataFrame) -> DataFrame:
     return asked.join(at, ["route", "_at"], "left").drop("_at")
 
 
-def _metres(a: float, b: float, c: float, d: float) -> float:
-    x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
-    return 2 * geo.EARTH_M * math.atan2(math.sqrt(x), math.sqrt(1 - x))
-
-
-def paths(links: DataFrame, asked: DataFrame, reach_m: float = 1000.0) -> DataFrame:
-    """Paths of ``asked(route, mode, start, lat2, lng2)``, from a node to the reachable node nearest to a place: route, idx, src and dst.
-
-    ``links(route, src, dst, cost)`` are the edges of each request's own corridor, which is what bounds a task. A request
-    whose goal has no reachable node within ``reach_m`` has no rows.
+EDGE = ("src", "dst", "dist", "cost", "way_id", "is_walking", "item")
+PATH = "route long, idx int, src long, dst long, dist double, cost double, way_id long, is_walking boolean, item string, graph_nodes long, graph_edges long"
+#: Requests that a task routes over one graph, about, and from how many on landmarks pay.
+TOGETHER, LANDMARKS_FROM = 128, 16
+
+
+class _Corridor:
+    """The graph of a corridor, held once for all its requests."""
+
+    def __init__(self, rows: pa.Table):
+        columns = [rows.column(c).to_pylist() for c in EDGE]
+        self.edges = {(e[0], e[1]): e for e in zip(*columns, strict=True)}
+        self.out = search.links(*columns[:2], columns[3])
+        self.into = {d for _, d in self.edges}
+        self.nodes = np.array(sorted({n for pair in self.edges for n in pair}), np.int64)
+        self.lat, self.lng = self.nodes // 100_000_000 / 1e5 - 90, self.nodes % 100_000_000 / 1e5 - 180
+        self.leaving = np.isin(self.nodes, np.fromiter(self.out, np.int64, len(self.out)))
+        self.speed = max((e[2] / e[3] for e in self.edges.values() if e[3] > 0), default=1.0) or 1.0
+        self.reach: dict[int, np.ndarray] = {}
+        self.landmarks: search.Landmarks | None = None
+
+    def nearest(self, lat: float, lng: float, among: np.ndarray, reach_m: float) -> int | None:
+        """The node among those of a mask that is nearest, of equally near ones the smallest id; None if it is farther than ``reach_m``."""
+        if not among.any():
+            return None
+        x = np.sin(np.radians(self.lat[among] - lat) / 2) ** 2 + math.cos(math.radians(lat)) * np.cos(np.radians(self.lat[among])) * np.sin(np.radians(self.lng[among] - lng) / 2) ** 2
+        far = 2 * geo.EARTH_M * np.arctan2(np.sqrt(x), np.sqrt(1 - x))
+        best = int(far.argmin())
+        return int(self.nodes[among][best]) if far[best] <= reach_m else None
+
+    def goals(self, start: int) -> np.ndarray:
+        """Which nodes a path from ``start`` can end at: those that are reached and have a link into them; only the start itself if there is none."""
+        if start not in self.reach:
+            found = search.reached(self.out, [start])
+            ends = found & self.into or {start}
+            self.reach[start] = np.isin(self.nodes, np.fromiter(ends, np.int64, len(ends)))
+        return self.reach[start]
+
+    def path(self, lat1: float, lng1: float, lat2: float, lng2: float, reach_m: float) -> list[int] | None:
+        start = self.nearest(lat1, lng1, self.leaving, reach_m)
+        goal = None if start is None else self.nearest(lat2, lng2, self.goals(start), reach_m)
+        if goal is None:
+            return None
+        bound = search.straight(goal, self.speed)
+        if self.landmarks:
+            bound = search.larger(bound, self.landmarks.bound(goal))
+        return search.cheapest(self.out, {start: 0.0}, [goal], bound).path(goal)
+
+
+def corridors(asked: DataFrame, links: DataFrame, every: DataFrame, pad: float) -> tuple[DataFrame, DataFrame]:
+    """The edges of each corridor that is asked for, and its requests, both by corridor and share. See ``shared_paths``."""
+    box = {n: geo.tile(f(*(F.col(f"{c}{k}") for k in (1, 2))) + s * F.lit(pad)) for n, f, c, s in (("s", F.least, "lat", -1), ("n", F.greatest, "lat", 1), ("w", F.least, "lng", -1), ("e", F.greatest, "lng", 1))}
+    key = ["mode", "s", "n", "w", "e", "avoid"]
+    wanted = asked.withColumns(box).withColumn("avoid", F.array_sort(F.array_distinct(F.coalesce("avoid", F.array().cast("array<bigint>"))))).withColumn("corridor", F.xxhash64(*key))
+    groups = wanted.groupBy("corridor", *key).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("shares")).checkpoint()
+    tiles = groups.withColumn("tile_row", F.explode(F.sequence("s", "n"))).withColumn("tile_col", F.explode(F.sequence("w", "e"))).select("corridor", "mode", "avoid", "shares", "tile_row", "tile_col")
+    tile = {"tile_row": geo.tile(F.floor(F.col("src") / 100_000_000) / 1e5 - 90), "tile_col": geo.tile(F.pmod(F.col("src"), F.lit(100_000_000).cast("long")) / 1e5 - 180)}
+    met = lambda some, edges: some.join(edges.withColumns(tile), ["mode", "tile_row", "tile_col"])
+    plain = met(tiles.where(F.size("avoid") == 0), links).select("corridor", "shares", *EDGE)
+    others = met(tiles.where(F.size("avoid") > 0), every).where(~F.array_contains("avoid", F.col("way_id")))
+    others = others.groupBy("corridor", "shares", "src", "dst").agg(F.max_by(F.struct(*EDGE[2:]), "ord").alias("e")).select("corridor", "shares", "src", "dst", "e.*")
+    own = plain.unionByName(others).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    shares = groups.select(F.col("corridor").alias("_corridor"), "shares")
+    dealt = wanted.join(shares, F.col("corridor") == F.col("_corridor")).withColumn("share", F.pmod(F.xxhash64("route"), "shares").cast("int"))
+    return own, dealt.select("corridor", "share", "route", "lat1", "lng1", "lat2", "lng2")
+
+
+def shared_paths(asked: DataFrame, links: DataFrame, every: DataFrame, pad: float = 0.05, reach_m: float = 1000.0) -> DataFrame:
+    """The edges on the paths of ``asked(route, mode, lat1, lng1, lat2, lng2, avoid)``: route, idx and those of EDGE, and how large the graph was.
+
+    Requests of a mode whose padded boxes touch the same tiles, and that avoid the same ways, share a graph: ``links`` (one for
+    each pair of nodes) in those tiles, or the last of ``every`` edge that isn't on an avoided way. So the edges that are
+    shuffled grow with the corridors that are asked for, not with the requests; more than TOGETHER requests of a
+    corridor are dealt to several tasks. The start is the nearest node that an edge leaves, the end the nearest that can be
+    reached, both within ``reach_m``. A path of one node has a row without edge (idx 0, dst null); a request without a path none.
     """
-
-    def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        columns = ["route", "idx", "src", "dst"]
-        if not len(wanted) or not len(own):
-            return pd.DataFrame([], columns=columns)
-        out = defaultdict(list)
-        for s, d, c in zip(own["src"].tolist(), own["dst"].tolist(), own["cost"].tolist(), strict=True):
-            out[s].append((d, c))
-        request = wanted.iloc[0]
-        start = int(request["start"])
-        cost, before = graph.dijkstra(out, start, {-1})
-        place = lambda n: (n // 100_000_000 / 1e5 - 90, n % 100_000_000 / 1e5 - 180)
-        away, goal = min((_metres(request["lat2"], request["lng2"], *place(n)), n) for n in cost)
-        if away > reach_m:
-            return pd.DataFrame([], columns=columns)
-        path = [goal]
-        while path[-1] != start:
-            path.append(before[path[-1]])
-        path.reverse()
-        return pd.DataFrame([(request["route"], i, a, b) for i, (a, b) in enumerate(zip(path, path[1:], strict=False))], columns=columns)
-
-    asked = asked.toDF(*asked.columns)  # new columns even where links come from the requests
-    return links.groupBy("route").cogroup(asked.groupBy("route")).applyInPandas(run, "route long, idx int, src long, dst long")
-
-
-def client_routes(asked: DataFrame, ways: DataFrame, modes: DataFrame, preferred: Column, pad: float = 0.05, t: streets.Tags = streets.flat) -> DataFrame:
-    """Whole requests ``asked(route, mode, lat1, lng1, lat2, lng2)``: found, km, seconds, preferred, other, walking and segments.
-
-    The ways in the tiles of a request's padded box make its graph, where the start is snapped to the nearest node with an
-    edge and the goal to the nearest node that can be reached. Edges of the path become points, points segments, which are
-    healed and rated. A request without a path is not found and has nulls. ``preferred`` says whether ``item`` is one that the mode prefers.
+    own, dealt = corridors(asked, links, every, pad)
+    dealt = dealt.toDF(*dealt.columns)  # new columns, as both come from the requests
+
+    def run(edges: pa.Table, requests: pa.Table) -> pa.Table:
+        rows = []
+        if edges.num_rows and requests.num_rows:
+            graph = _Corridor(edges)
+            if requests.num_rows >= LANDMARKS_FROM:
+                graph.landmarks = search.Landmarks(graph.out)
+            sizes = len(graph.nodes), len(graph.edges)
+            for route, *ends in zip(*(requests.column(c).to_pylist() for c in ("route", "lat1", "lng1", "lat2", "lng2")), strict=True):
+                path = None if None in ends else graph.path(*ends, reach_m)
+                if path and len(path) == 1:
+                    rows.append((route, 0, path[0], *[None] * 6, *sizes))
+                elif path:
+                    rows += [(route, i, *graph.edges[pair], *sizes) for i, pair in enumerate(zip(path, path[1:], strict=False))]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
+        names = ["route", "idx", *EDGE, "graph_nodes", "graph_edges"]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 11, types, strict=True)], names=names)
+
+    return own.groupBy("corridor", "share").cogroup(dealt.groupBy("corridor", "share")).applyInArrow(run, PATH)
+
+
+def client_routes(
+    asked: DataFrame, ways: DataFrame, modes: DataFrame, preferred: Column, pad: float = 0.05, t: streets.Tags = streets.flat,
+    adjust: Callable[[DataFrame], DataFrame] | None = None, elevation: tuple[Column, Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Whole requests ``asked(route, mode, lat1, lng1, lat2, lng2)``, with ``avoid`` (ids of ways) where there is such a column: totals and segments.
+
+    Totals, a row a request: found, km, seconds, walking_km, shares (preferred, other, walking, and preferred by level), number of
+    segments, nodes and edges of the graph; nulls if there is no path. Segments: route, seg, item, is_walking, path_level,
+    n_coords, metres, way_ids, healed. The first point of a path has no edge and so no item: it is a segment of its own unless
+    the first edge has no item either. Levels are the legend's by item; walked segments have none.
+
+    ``adjust`` changes classified ways before modes decide on them (a region's rules, a rider's preference); ``elevation``
+    are Columns of ``ways`` for the metres at a way's ends, null where unknown. ``preferred`` says whether ``item`` is one that
+    the mode prefers. How requests share graphs: see ``shared_paths``. Rows with null coordinates are not found.
     """
-    box = {n: f(*(F.col(f"{c}{k}") for k in (1, 2))) + s * pad for n, f, c, s in (("s", F.least, "lat", -1), ("n", F.greatest, "lat", 1), ("w", F.least, "lng", -1), ("e", F.greatest, "lng", 1))}
-    tiles = asked.withColumns(box).withColumn("tile_row", F.explode(F.sequence(geo.tile(F.col("s")), geo.tile(F.col("n"))))).withColumn("tile_col", F.explode(F.sequence(geo.tile(F.col("w")), geo.tile(F.col("e")))))
     classed = graph.with_class(ways, t)
-    links = graph.last_edges(graph.edges(graph.decided(classed, modes), preferred, t=t)).checkpoint()
-    place = {"_lat": F.floor(F.col("src") / 100_000_000) / 1e5 - 90, "_lng": F.pmod(F.col("src"), F.lit(100_000_000).cast("long")) / 1e5 - 180}
-    tiled = links.withColumns(place).withColumns({"tile_row": geo.tile(F.col("_lat")), "tile_col": geo.tile(F.col("_lng"))})
-    own = tiles.select("route", "mode", "tile_row", "tile_col").join(tiled, ["mode", "tile_row", "tile_col"]).select("route", "src", "dst", "cost")
-    nodes = tiled.select("mode", F.col("src").alias("node"), F.col("_lat").alias("lat"), F.col("_lng").alias("lng")).distinct()
-    starts = graph.snapped(asked.select(F.col("route").alias("point"), "mode", F.col("lat1").alias("lat"), F.col("lng1").alias("lng")), nodes)
-    starts = starts.where("node IS NOT NULL").select(F.col("point").alias("route"), F.col("node").alias("start"))
-    path = paths(own, asked.join(starts, "route").select("route", "mode", "start", "lat2", "lng2"))
-    path = path.join(asked.select("route", "mode"), "route").join(links, ["mode", "src", "dst"]).join(classed.select("way_id", "item", "path_level"), "way_id").checkpoint()
-    # An edge's item and mode of travel belong to its end; the path's first point is like its second.
+    if adjust:
+        classed = adjust(classed)
+    every = graph.edges(graph.decided(classed, modes), preferred, elevation, t=t).select("mode", "src", "dst", "dist", "cost", "way_id", "is_walking", "ord").join(classed.select("way_id", "item"), "way_id")
+    every = every.checkpoint()
+    last = F.max_by(F.struct(*EDGE[2:]), "ord").alias("e")
+    links = every.groupBy("mode", "src", "dst").agg(last).select("mode", "src", "dst", "e.*").checkpoint()
+    avoid = F.col("avoid").cast("array<bigint>") if "avoid" in asked.columns else F.lit(None).cast("array<bigint>")
+    asked = asked.select("route", "mode", "lat1", "lng1", "lat2", "lng2", avoid.alias("avoid"))
+    path = shared_paths(asked, links, every, pad).checkpoint()
     at = lambda node: ((F.floor(F.col(node) / 100_000_000) / 1e5 - 90).alias("lat"), (F.pmod(F.col(node), F.lit(100_000_000).cast("long")) / 1e5 - 180).alias("lng"))
-    points = path.select("route", (F.col("idx") + 1).alias("idx"), *at("dst"), "item", "is_walking", "path_level")
-    points = points.unionByName(path.where("idx = 0").select("route", "idx", *at("src"), "item", "is_walking", "path_level"))
-    parts = segments.healed(segments.segments(points), preferred)
-    rated = segments.quality(parts, preferred).join(parts.groupBy("route").agg(F.count("*").alias("segments")), "route")
-    totals = path.groupBy("route").agg((F.sum("dist") / 1000).alias("km"), F.sum("cost").alias("seconds")).join(rated, "route")
-    return asked.select("route").join(totals, "route", "left").withColumn("found", F.col("km").isNotNull())
+    points = path.where("dst IS NOT NULL").select("route", (F.col("idx") + 1).alias("idx"), *at("dst"), "item", "is_walking", "way_id")
+    first = path.where("idx = 0").select("route", "idx", *at("src"), F.lit(None).cast("string").alias("item"), F.lit(False).alias("is_walking"), F.lit(None).cast("long").alias("way_id"))
+    parts = segments.segments(points.unionByName(first))
+    parts = segments.healed(parts.withColumn("path_level", F.create_map(*(F.lit(x) for pair in dims.ITEMS.items() for x in pair))[F.col("item")]), preferred)
+    rated = segments.quality(parts, preferred, by_level=True).join(parts.groupBy("route").agg(F.count("*").alias("segments")), "route")
+    walked = F.sum(F.when(F.col("is_walking"), F.col("dist")).otherwise(0.0))
+    sums = {"km": F.sum("dist") / 1000, "seconds": F.sum("cost"), "walking_km": walked / 1000}
+    totals = path.groupBy("route").agg(*(F.coalesce(c, F.lit(0.0)).alias(n) for n, c in sums.items()), F.first("graph_nodes").alias("graph_nodes"), F.first("graph_edges").alias("graph_edges"))
+    return asked.select("route").join(totals.join(rated, "route"), "route", "left").withColumn("found", F.col("km").isNotNull()), parts
+
+
+def trips(legs: DataFrame, ways: DataFrame, modes: DataFrame, preferred: Column, **options) -> DataFrame:
+    """Trips over waypoints: ``legs(route, leg, mode, lat1, lng1, lat2, lng2)``, each a request of its own; found, number of legs, km, seconds, walking_km and segments.
+
+    A trip with a leg that isn't found has nulls. Its segments are its legs', one after another. ``options`` are those of ``client_routes``.
+    """
+    numbered = legs.withColumn("_request", F.xxhash64("route", "leg")).checkpoint()
+    totals, _ = client_routes(numbered.withColumn("route", F.col("_request")), ways, modes, preferred, **options)
+    joined = numbered.select(F.col("route").alias("_trip"), F.col("_request").alias("route")).join(totals, "route")
+    every = F.bool_and("found")
+    sums = [F.when(every, F.sum(c)).alias(c) for c in ("km", "seconds", "walking_km", "segments")]
+    return joined.groupBy(F.col("_trip").alias("route")).agg(every.alias("found"), F.count("*").alias("legs"), *sums)

@@ -20,7 +20,8 @@ def segments(points: DataFrame) -> DataFrame:
 
     The path level is that of its points where they have one (``path_level``), else null; start and stop are its ends as
     (lat, lng). Walked points are one kind whatever their item, and have none. A segment after the first also holds the last point
-    of the one before, so the segments' lengths add up to the route's.
+    of the one before, so the segments' lengths add up to the route's. Where points tell by which way they were come to
+    (``way_id``), ``way_ids`` are those of its points, in order.
     """
     w = Window.partitionBy("route").orderBy("idx")
     kind = F.when(F.col("is_walking"), F.lit("\u0001walk")).otherwise(F.col("item"))
@@ -30,6 +31,10 @@ def segments(points: DataFrame) -> DataFrame:
     point = F.struct("lat", "lng")
     keyed = keyed.withColumn("_from", F.coalesce(F.lag(point).over(w), point))
     level = F.first("path_level") if "path_level" in points.columns else F.lit(None).cast("string")
+    travelled = []
+    if "way_id" in points.columns:
+        keyed = keyed.withColumn("_ways", F.array_compact(F.array(F.lag("way_id").over(w), F.col("way_id"))))
+        travelled = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ways")))).alias("way_ids")]
     found = islands(keyed, "route", "idx", F.col("_kind").eqNullSafe(F.lag("_kind").over(w)))
     return found.groupBy("route", "seg").agg(
         F.first(F.when(~F.col("is_walking"), F.col("item"))).alias("item"),
@@ -39,6 +44,7 @@ def segments(points: DataFrame) -> DataFrame:
         F.sum("_step").alias("metres"),
         F.min_by("_from", "idx").alias("start"),
         F.max_by(point, "idx").alias("stop"),
+        *travelled,
     )
 
 
@@ -60,14 +66,24 @@ def coalesced(segments: DataFrame, gap_m: float = 20.0) -> DataFrame:
     return islands(segments, "route", "seg", F.col("item").eqNullSafe(F.lag("item").over(w)) & (gap <= gap_m), "run")
 
 
-def quality(segments: DataFrame, preferred: Column) -> DataFrame:
-    """Shares of a route's length that are preferred, other and walked; zeros for a route without length."""
+LEVELS = ("1a", "1b", "2a", "2b", "3", "4")
+
+
+def quality(segments: DataFrame, preferred: Column, by_level: bool = False) -> DataFrame:
+    """Shares of a route's length that are preferred, other and walked; zeros for a route without length.
+
+    With ``by_level`` also ``by_level``, a map from path level to the share that is preferred and of that level, without levels that have none.
+    """
     good = F.coalesce(preferred, F.lit(False))
     part = lambda c: F.sum(F.when(c, F.col("metres")).otherwise(0.0))
     total = F.sum("metres")
     share = lambda c: F.when(total > 0, part(c) / total).otherwise(0.0)
     walk = F.col("is_walking")
-    return segments.groupBy("route").agg(share(~walk & good).alias("preferred"), share(~walk & ~good).alias("other"), share(walk).alias("walking"))
+    columns = [share(~walk & good).alias("preferred"), share(~walk & ~good).alias("other"), share(walk).alias("walking")]
+    if by_level:
+        entries = F.array(*(F.struct(F.lit(k).alias("k"), share(~walk & good & F.coalesce(F.col("path_level") == k, F.lit(False))).alias("v")) for k in LEVELS))
+        columns.append(F.map_from_entries(F.filter(entries, lambda e: e["v"] > 0)).alias("by_level"))
+    return segments.groupBy("route").agg(*columns)
 
 
 def lts_breakdown(segments: DataFrame) -> DataFrame:

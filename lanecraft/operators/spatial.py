@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanecraft.functions import geo
@@ -33,6 +35,41 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, box: float = 0.0003,
     return points.join(best, ["route", "idx"], "left").select(*points.columns, F.col("b.way_id").alias("way_id"))
 
 
+def rings(points: DataFrame, targets: DataFrame, key: list[str], ident: str, reach: float, metric: str = "metres", first: float = 0.0005, same: tuple[str, ...] = ()) -> DataFrame:
+    """``key`` of all ``points(*key, *same, lat, lng)`` with the nearest of ``targets(*same, ident, lat, lng)`` within ``reach``: ``ident`` and ``far``, or nulls.
+
+    Points meet the targets of their own and the eight cells around it, at first of cells ``first`` degrees wide. What is
+    found nearer than anything outside those cells could be is settled; only the points that are left meet the targets of
+    cells four times as wide, and so on until the cells around hold all within ``reach``. So a point where targets are
+    dense meets few of them, and one far from all meets them only in the last round. ``metric`` is "metres", or "degrees" for
+    the sum of both differences. Ties go to the smaller ``ident``. Nothing is found across the 180th meridian, nor for
+    points with null coordinates. ``key`` must tell points apart.
+    """
+    targets = targets.select(*same, ident, "lat", "lng").checkpoint()
+    left, found, cell = points.select(*key, *(c for c in same if c not in key), F.col("lat").alias("plat"), F.col("lng").alias("plng")).checkpoint(), [], first
+    names = left.columns
+    if metric == "metres":
+        far = geo.haversine(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng"))
+    else:
+        far = F.abs(F.col("plat") - F.col("lat")) + F.abs(F.col("plng") - F.col("lng"))
+    while True:
+        # No target outside the nine cells is nearer than this.
+        clear = cell * 111_000 * 0.999 * F.cos(F.radians(F.least(F.abs("plat") + 2 * cell, F.lit(90.0)))) if metric == "metres" else F.lit(cell)
+        done = (clear >= reach) | F.lit(cell > 360) | F.col("plat").isNull() | F.col("plng").isNull()
+        asked = left.select(*names, F.explode(around(cell, "plat", "plng")).alias("c")).select(*names, "c.*")
+        there = targets.withColumns({"row": geo.tile(F.col("lat"), cell), "col": geo.tile(F.col("lng"), cell)})
+        best = asked.join(there, [*same, "row", "col"]).withColumn("far", far).where(F.col("far") <= reach).groupBy(*key).agg(F.min(F.struct("far", ident)).alias("_best"))
+        level = left.join(best, key, "left").withColumn("_done", F.coalesce((F.col("_best.far") <= clear) | done, F.lit(False))).checkpoint()
+        found.append(level.where("_done").select(*key, F.col(f"_best.{ident}").alias(ident), F.col("_best.far").alias("far")))
+        left, cell = level.where("NOT _done").select(*names), cell * 4
+        if left.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def ways_near(vertices: DataFrame, points: DataFrame, box: float = 0.005) -> DataFrame:
     """way_id of the ways with a vertex less than ``box`` from a point in both directions: a semi join."""
     cells = points.select(F.col("lat").alias("plat"), F.col("lng").alias("plng")).distinct().withColumn("c", F.explode(around(box, "plat", "plng"))).select("plat", "plng", "c.*")
@@ -45,16 +82,24 @@ def nearest_image(points: DataFrame, images: DataFrame, ladder: tuple[int, ...]
     """``points(point, lat, lng)`` with the nearest of ``images(image, lat, lng)`` within the smallest radius of the ladder that has any.
 
     Radii are boxes in degrees (a degree is 111 km; longitudes at a fixed 52.5 degrees for distances, ties to the smaller image).
+    A rung meets images in cells of its own width, and only points without an image climb to the next.
     """
-    cell = ladder[-1] / 111_000
-    asked = points.select("point", F.col("lat").alias("plat"), F.col("lng").alias("plng"), F.explode(around(cell)).alias("c")).select("point", "plat", "plng", "c.*")
-    there = images.withColumn("row", geo.tile(F.col("lat"), cell)).withColumn("col", geo.tile(F.col("lng"), cell))
+    left, found = points.select("point", F.col("lat").alias("plat"), F.col("lng").alias("plng")), []
     dlat, dlng = F.abs(F.col("plat") - F.col("lat")), F.abs(F.col("plng") - F.col("lng"))
-    rung = F.coalesce(*(F.when((dlat <= r / 111_000) & (dlng <= r / 111_000), r) for r in ladder))
     metres = F.pow(dlat * 111_000, 2) + F.pow(dlng * 111_000 * F.cos(F.radians(F.lit(52.5))), 2)
-    met = asked.join(there, ["row", "col"]).withColumn("rung", rung).where(F.col("rung").isNotNull())
-    best = met.groupBy("point").agg(F.min(F.struct("rung", F.round(metres, 6).alias("m"), "image")).alias("b"))
-    return points.join(best, "point", "left").select("point", F.col("b.image").alias("image"), F.col("b.rung").alias("radius"))
+    for radius in ladder:
+        cell = radius / 111_000
+        asked = left.select("point", "plat", "plng", F.explode(around(cell, "plat", "plng")).alias("c")).select("point", "plat", "plng", "c.*")
+        there = images.withColumns({"row": geo.tile(F.col("lat"), cell), "col": geo.tile(F.col("lng"), cell)})
+        near = asked.join(there, ["row", "col"]).where((dlat <= cell) & (dlng <= cell))
+        best = near.groupBy("point").agg(F.min(F.struct(F.round(metres, 6).alias("m"), "image")).alias("b"))
+        level = left.join(best, "point", "left").checkpoint()
+        found.append(level.where("b IS NOT NULL").select("point", "b.image", F.lit(radius).alias("radius")))
+        left = level.where("b IS NULL").select("point", "plat", "plng")
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    return points.join(hits, "point", "left").select("point", "image", "radius")
 
 
 def apart_from(rest: DataFrame, primary: DataFrame, box: float = 0.0005) -> DataFrame:
@@ -74,3 +119,91 @@ def way_of_segment(points: DataFrame, vertices: DataFrame, box: float = 0.002) -
     sums = met.groupBy("route", "way_id").agg(F.count("*").alias("hits"), F.round(F.sum("far"), 9).alias("far"))
     best = sums.groupBy("route").agg(F.min(F.struct((-F.col("hits")).alias("n"), "far", "way_id")).alias("b"))
     return best.select("route", F.col("b.way_id").alias("way_id"), (-F.col("b.n")).alias("hits"))
+
+
+def sampled(points: DataFrame, key: list[str], order: str, most: int = 5) -> DataFrame:
+    """Of each ``key`` at most ``most`` of its ``points(*key, order, lat, lng)``, evenly along it from the first to the last, as ``sample`` 0, 1, ...
+
+    A point of a short line may be several samples. ``middle`` is the line's middle point, of an even number the later one.
+    """
+    w = Window.partitionBy(*key).orderBy(order)
+    placed = points.select(*key, "lat", "lng", (F.row_number().over(w) - 1).alias("_at"), F.count("*").over(Window.partitionBy(*key)).alias("_n"))
+    k = F.least(F.col("_n"), F.lit(most))
+    index = lambda i: geo.half_up(i * (F.col("_n") - 1) / F.greatest(k - 1, F.lit(1)))
+    mine = F.filter(F.sequence(F.lit(0), k.cast("int") - 1), lambda i: index(i) == F.col("_at"))
+    middle = F.first(F.when(F.col("_at") == F.floor(F.col("_n") / 2), F.struct("lat", "lng")), ignorenulls=True).over(Window.partitionBy(*key))
+    return placed.withColumn("middle", middle).select(*key, F.explode(mine).alias("sample"), "lat", "lng", "middle")
+
+
+#: Lines of a cell that a task compares with its ways, about.
+LINES = 2000
+
+
+def way_of_line(samples: DataFrame, vertices: DataFrame, key: list[str], tile: float = 0.1) -> DataFrame:
+    """For each line of ``samples`` (see ``sampled``) the way with the least sum of distances from the samples to its nearest vertex: way_id and far.
+
+    Distances are sums of both differences in degrees; ``far`` is rounded to the 9th decimal, ties go to the smaller way. Ways
+    count that have one of ``vertices(way_id, lat, lng)`` in the tile of the line's middle or the eight around it; without any
+    a line has nulls.
+
+    No line meets all ways: the way nearest to its samples' mean has a sum that the best of all doesn't exceed. So that one
+    has a vertex within a fifth of it (by the number of samples) from some sample. Lines and ways meet in cells as wide as
+    that and the line together, where numpy compares a line with the ways that have such a vertex, whole; more than LINES
+    lines of a cell are dealt to several tasks.
+    """
+    point = F.struct("lat", "lng")
+    lines = samples.groupBy(*key).agg(F.first("middle").alias("_middle"), F.array_sort(F.collect_list(F.struct("sample", "lat", "lng"))).alias("_samples"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng")).checkpoint()
+    ways = vertices.groupBy("way_id").agg(F.collect_list(point).alias("_coords")).checkpoint()
+    first = rings(lines, vertices, key, "way_id", 4 * tile, "degrees").where("way_id IS NOT NULL").select(*key, "way_id")
+    apart = lambda a, b: F.abs(a["lat"] - b["lat"]) + F.abs(a["lng"] - b["lng"])
+    bound = F.aggregate("_samples", F.lit(0.0), lambda s, a: s + F.array_min(F.transform("_coords", lambda b: apart(a, b))))
+    span = F.greatest(*(F.array_max(F.transform("_samples", lambda s: s[c])) - F.array_min(F.transform("_samples", lambda s: s[c])) for c in ("lat", "lng")))
+    known = first.join(lines, key).join(ways, "way_id").withColumn("_reach", (bound + 1e-9) / F.size("_samples") + 1e-9)
+    # Widths are powers of two, so that lines of like reach share cells: a line's ways have a vertex in the nine around its middle.
+    known = known.withColumn("_level", F.greatest(F.ceil(F.log2(F.col("_reach") + span)), F.lit(-14)).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("_level"))
+    at = lambda degrees: F.floor(degrees / width).cast("long")
+    known = known.withColumns({"_row": at(F.col("_middle.lat")), "_col": at(F.col("_middle.lng"))}).select(*key, "_middle", "_samples", "_reach", "_level", "_row", "_col").checkpoint()
+    cell = ["_level", "_row", "_col"]
+    cells = known.groupBy(*cell).agg(F.ceil(F.count("*") / LINES).cast("int").alias("_shares")).checkpoint()
+    levels = F.broadcast(cells.select("_level").distinct())  # at most some twenty
+    around_vertex = lambda v: F.array(*(F.struct((at(v["lat"]) + i).alias("_row"), (at(v["lng"]) + j).alias("_col")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    there = ways.join(levels).withColumn("c", F.explode(F.array_distinct(F.flatten(F.transform("_coords", around_vertex))))).select("way_id", "_coords", "_level", "c.*")
+    there = there.join(cells, cell).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).select(*cell, "_share", "way_id", "_coords")
+    shares = cells.toDF("_l", "_r", "_c", "_shares")
+    on = (F.col("_level") == F.col("_l")) & (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c"))
+    dealt = known.join(shares, on).withColumn("_share", F.pmod(F.xxhash64(*key), "_shares").cast("int")).select(*cell, "_share", *key, "_middle", "_samples", "_reach")
+    dealt = dealt.toDF(*dealt.columns)
+    fields = {f.name: f.dataType.simpleString() for f in lines.select(*key).schema}
+
+    def run(ways: pa.Table, lines: pa.Table) -> pa.Table:
+        best, far = [None] * lines.num_rows, [None] * lines.num_rows
+        if ways.num_rows and lines.num_rows:
+            ways = ways.sort_by("way_id")
+            coords = ways.column("_coords").combine_chunks()
+            lat, lng = (coords.flatten().field(c).to_numpy() for c in ("lat", "lng"))
+            starts = np.concatenate([[0], np.cumsum(coords.value_lengths().to_numpy())])[:-1]
+            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(lat))))
+            ids = ways.column("way_id").to_pylist()
+            rows, columns = np.floor(lat / tile), np.floor(lng / tile)
+            for n, (samples, middle, reach) in enumerate(zip(*(lines.column(c).to_pylist() for c in ("_samples", "_middle", "_reach")), strict=True)):
+                a, b = (np.array([s[c] for s in samples]) for c in ("lat", "lng"))
+                box = (lat >= a.min() - reach) & (lat <= a.max() + reach) & (lng >= b.min() - reach) & (lng <= b.max() + reach)
+                own = np.zeros(len(ids), bool)
+                own[owner[box]] = True
+                mine = own[owner]
+                kept = np.flatnonzero(own)
+                sizes = np.bincount(owner[mine], minlength=len(ids))[kept]
+                begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+                apart = np.abs(lat[mine] - a[:, None]) + np.abs(lng[mine] - b[:, None])
+                sums = np.round(np.minimum.reduceat(apart, begins, axis=1).sum(axis=0), 9)
+                beside = (np.abs(rows[mine] - np.floor(middle["lat"] / tile)) <= 1) & (np.abs(columns[mine] - np.floor(middle["lng"] / tile)) <= 1)
+                sums[~np.logical_or.reduceat(beside, begins)] = np.inf
+                k = int(sums.argmin())
+                if np.isfinite(sums[k]):
+                    best[n], far[n] = ids[kept[k]], float(sums[k])
+        return pa.table({**{c: lines.column(c) for c in key}, "way_id": pa.array(best, pa.int64()), "far": pa.array(far, pa.float64())})
+
+    found = there.groupBy(*cell, "_share").cogroup(dealt.groupBy(*cell, "_share")).applyInArrow(run, ", ".join(f"{n} {t}" for n, t in fields.items()) + ", way_id long, far double")
+    rest = lines.select(*key).join(known.select(*key), key, "left_anti").withColumns({"way_id": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
+    return found.unionByName(rest)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lanecraft.functions import geo, streets
 from lanecraft.functions import text as T
-from lanecraft.operators import graph, segments, spatial, tables
+from lanecraft.operators import graph, overlay, segments, spatial, tables
 from lanecraft.sources import dims
 from lanecraft.sources import ways as src
 from lanecraft.sources.tables import table
@@ -274,7 +274,7 @@ def _with_region(links: DataFrame) -> DataFrame:
 
 def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Edges with their district, and for each district and mode the pair of its first and last node."""
-    links = _with_region(graph.last_edges(all_edges(spark, sf)))
+    links = _with_region(graph.last_edges(all_edges(spark, sf))).checkpoint()
     ends = links.groupBy("mode", "region").agg(F.min("src").alias("src"), F.max("src").alias("dst"))
     return links, ends.withColumn("pair", F.col("region"))
 
@@ -282,7 +282,7 @@ def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
 @query()
 def shortest_paths(spark, sf):
     links, pairs = _asked(spark, sf)
-    found = graph.routes(links, pairs)
+    found = overlay.routes(overlay.build(links), pairs)
     return found.groupBy("mode", "pair").agg(F.max("idx").alias("hops"), F.round(F.max("cost"), 3).alias("seconds"))
 
 
@@ -291,7 +291,7 @@ def route_summary(spark, sf):
     """Distance, time and share walked of the cheapest paths."""
     links, pairs = _asked(spark, sf)
     w = W.partitionBy("mode", "pair").orderBy("idx")
-    path = graph.routes(links, pairs).withColumn("src", F.lag("node").over(w)).where("src IS NOT NULL").withColumnRenamed("node", "dst")
+    path = overlay.routes(overlay.build(links), pairs).withColumn("src", F.lag("node").over(w)).where("src IS NOT NULL").withColumnRenamed("node", "dst")
     path = path.drop("cost").join(links.drop("region"), ["mode", "src", "dst"], "left")
     metres, walked = F.sum("dist"), F.sum(F.when(F.col("is_walking"), F.col("dist")).otherwise(0.0))
     return path.groupBy("mode", "pair").agg(F.round(metres / 1000, 3).alias("km"), F.round(F.sum("cost"), 3).alias("seconds"), F.round(F.when(metres > 0, walked / metres).otherwise(0.0), 6).alias("walked"))
@@ -310,12 +310,27 @@ def snap_start(spark, sf):
 @query()
 def snap_start_all(spark, sf):
     """All positions at the nearest node with an edge leaving it; positions at one place are snapped once."""
-    links = all_edges(spark, sf).where(F.col("mode") == MODE)
-    nodes = links.groupBy("mode", F.col("src").alias("node")).agg(F.first("src_point.lat").alias("lat"), F.first("src_point.lng").alias("lng"))
+    found = _snapped(spark, sf)
+    return found.select(F.col("event_id").alias("point"), F.round("metres", 3).alias("metres"))
+
+
+def _snapped(spark: SparkSession, sf: str) -> DataFrame:
+    links = all_edges(spark, sf).where(F.col("mode") == MODE).checkpoint()
+    nodes = graph.nodes(links).join(links.select("mode", F.col("src").alias("node")).distinct(), ["mode", "node"], "left_semi")
     points = pings(spark, sf)
     places = points.select(F.struct("lat", "lng").alias("point"), F.lit(MODE).alias("mode"), "lat", "lng").distinct()
-    found = graph.snapped(places, nodes).select("point.lat", "point.lng", "metres")
-    return points.join(found, ["lat", "lng"], "left").select(F.col("event_id").alias("point"), F.round("metres", 3).alias("metres"))
+    found = graph.snapped(places, nodes).select("point.lat", "point.lng", "node", "metres")
+    return points.join(found, ["lat", "lng"], "left")
+
+
+@query(
+    f"""WITH {O.edges()}, {O.PINGS}, n AS (SELECT DISTINCT src AS node FROM edges WHERE mode = '{MODE}'), nn AS (SELECT node, (node // 100000000 - 9000000) / 100000.0::DOUBLE AS lat, (node % 100000000 - 18000000) / 100000.0::DOUBLE AS lng FROM n),
+    p AS (SELECT DISTINCT lat, lng FROM pings), m AS (SELECT p.lat, p.lng, nn.node, {O.haversine('p.lat', 'p.lng', 'nn.lat', 'nn.lng')} AS d FROM p JOIN nn ON nn.lat BETWEEN p.lat - 0.01 AND p.lat + 0.01),
+    b AS (SELECT lat, lng, arg_min(node, (round(d, 6), node)) AS node FROM m WHERE d <= 1000 GROUP BY ALL) SELECT event_id AS point, node FROM pings LEFT JOIN b USING (lat, lng)"""
+)
+def snap_nodes(spark, sf):
+    """Which node each position is snapped to."""
+    return _snapped(spark, sf).select(F.col("event_id").alias("point"), "node")
 
 
 # --- Segments ---
@@ -431,10 +446,9 @@ _CITY = ", ".join(f"({O.text(c)}, {s}, {w}, {n}, {e}, {k})" for k, (c, s, w, n,
 
 @query(f"WITH {O.PINGS}, c AS (SELECT * FROM (VALUES {_CITY}) t(city, s, w, n, e, ord)), m AS (SELECT event_id, arg_min(city, ord) AS city FROM pings JOIN c ON lat BETWEEN s AND n AND lng BETWEEN w AND e GROUP BY event_id) SELECT m.city, count(*) AS pings FROM pings LEFT JOIN m USING (event_id) GROUP BY 1")
 def region_detect(spark, sf):
-    box = F.broadcast(dims.cities(spark))
-    inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(F.col("west"), F.col("east"))
-    found = pings(spark, sf).select("event_id", "lat", "lng").join(box, inside, "left").groupBy("event_id").agg(F.min_by("city", "ord").alias("city"))
-    return found.groupBy("city").agg(F.count("*").alias("pings"))
+    inside = lambda south, west, north, east: F.col("lat").between(south, north) & F.col("lng").between(west, east)
+    city = F.coalesce(*(F.when(inside(*box), name) for name, *box in dims.CITIES))
+    return pings(spark, sf).groupBy(city.alias("city")).agg(F.count("*").alias("pings"))
 
 
 # --- Audits and benchmarks ---
@@ -719,6 +733,24 @@ def segment_nearest_way(spark, sf):
     return spatial.way_of_segment(pings(spark, sf), src.way_points(src.ways(spark, sf)), 0.002)
 
 
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of each segment of each trip; a segment after the first begins with the last point of the one before."""
+    w = W.partitionBy("route").orderBy("idx")
+    kind = F.when(F.col("is_walking"), "#walk").otherwise(F.col("item"))
+    keyed = pings(spark, sf).withColumn("_kind", kind)
+    placed = segments.islands(keyed, "route", "idx", F.col("_kind").eqNullSafe(F.lag("_kind").over(w)))
+    before = placed.withColumns({c: F.lag(c).over(w) for c in ("lat", "lng")} | {"_fresh": (F.col("seg") > 0) & (F.lag("seg").over(w) != F.col("seg"))})
+    first = before.where("_fresh").select("route", "seg", (F.col("idx") - 0.5).alias("idx"), "lat", "lng")
+    return placed.select("route", "seg", F.col("idx").cast("double").alias("idx"), "lat", "lng").unionByName(first)
+
+
+@query()
+def segment_way(spark, sf):
+    """The way that each segment of each trip lies along: the least sum of distances from five samples."""
+    samples = spatial.sampled(_lines(spark, sf), ["route", "seg"], "idx").checkpoint()
+    return spatial.way_of_line(samples, src.way_points(src.ways(spark, sf)), ["route", "seg"])
+
+
 @query(f"WITH {O.CLS} SELECT item, path_level, CASE path_level WHEN '1a' THEN 4 WHEN '1b' THEN 4 WHEN '2a' THEN 3 WHEN '2b' THEN 3 ELSE 2 END AS tier, greatest(2, floor(4 * CASE path_level WHEN '1a' THEN 1.0 WHEN '1b' THEN 0.9 WHEN '2a' THEN 0.8 WHEN '2b' THEN 0.6 ELSE 0.4 END * 0.8 + 0.5))::BIGINT AS width, count(*) AS ways FROM cls GROUP BY ALL")
 def overlay_style(spark, sf):
     """Line widths of the overlay by tier."""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanecraft.functions import geo, streets
 from lanecraft.functions import text as T
-from lanecraft.operators import graph, route, segments, spatial, tables
-from lanecraft.sources import dims
+from lanecraft.operators import graph, lookup, overlay, route, segments, spatial, tables
+from lanecraft.sources import dims, terrain
 from lanecraft.sources import ways as src
 from lanecraft.sources.tables import table
 from lanecraft.streaming import navigation
@@ -193,17 +195,123 @@ def path_costs(spark, sf):
     from .catalog import _asked
 
     links, pairs = _asked(spark, sf)
-    return graph.routes(links, pairs).groupBy("mode", "pair").agg(F.round(F.max("cost"), 3).alias("seconds"))
+    return overlay.routes(overlay.build(links), pairs).groupBy("mode", "pair").agg(F.round(F.max("cost"), 3).alias("seconds"))
+
+
+@query(
+    f"""WITH RECURSIVE {O.edges()}, l AS (SELECT mode, src, dst, e.cost AS cost, CAST(floor((src / 100000000.0::DOUBLE - 9000000 - {O.LAT0}) / {O.LAT_STEP * 8}) AS BIGINT) AS band FROM last_edges),
+    ends AS (SELECT mode, band, min(src) AS first, max(src) AS last, lead(band) OVER w AS next, lead(min(src)) OVER w AS next_first, lead(max(src)) OVER w AS next_last FROM l GROUP BY mode, band WINDOW w AS (PARTITION BY mode ORDER BY band)),
+    g AS (SELECT mode, src, dst, cost FROM l UNION ALL SELECT mode, last, next_first, 300.0 FROM ends WHERE next > band + 1),
+    a AS (SELECT mode, band AS pair, first AS src, next_last AS dst FROM ends WHERE next IS NOT NULL),
+    d(mode, pair, node, cost) USING KEY (mode, pair, node) AS (
+        SELECT mode, pair, src, 0.0::DOUBLE FROM a
+        UNION
+        SELECT d.mode, d.pair, g.dst, min(d.cost + g.cost) FROM d JOIN g ON g.mode = d.mode AND g.src = d.node
+            LEFT JOIN recurring.d r ON r.mode = d.mode AND r.pair = d.pair AND r.node = g.dst WHERE r.cost IS NULL OR d.cost + g.cost < r.cost - 1e-9 GROUP BY ALL)
+    SELECT a.mode, a.pair, round(d.cost, 3) AS seconds FROM a LEFT JOIN d ON d.mode = a.mode AND d.pair = a.pair AND d.node = a.dst"""
+)
+def crossing_paths(spark, sf):
+    """Seconds from the first node of each band of eight lines to the last node of the next band; null where no path leads.
+
+    Between districts, which no street joins, a ferry goes from the last node of the one to the first of the other.
+    """
+    links = graph.last_edges(all_edges(spark, sf)).select("mode", "src", "dst", "cost").checkpoint()
+    band = F.floor((F.col("src") / 100_000_000 - 9_000_000 - src.LAT0) / (src.LAT_STEP * 8)).cast("long")
+    w = W.partitionBy("mode").orderBy("band")
+    ends = links.groupBy("mode", band.alias("band")).agg(F.min("src").alias("first"), F.max("src").alias("last"))
+    ends = ends.withColumns({"next": F.lead("band").over(w), "next_first": F.lead("first").over(w), "next_last": F.lead("last").over(w)}).where("next IS NOT NULL").checkpoint()
+    ferries = ends.where("next > band + 1").select("mode", F.col("last").alias("src"), F.col("next_first").alias("dst"), F.lit(300.0).alias("cost"))
+    pairs = ends.select("mode", F.col("band").alias("pair"), F.col("first").alias("src"), F.col("next_last").alias("dst"))
+    found = overlay.routes(overlay.build(links.unionByName(ferries)), pairs)
+    return pairs.select("mode", "pair").join(found.groupBy("mode", "pair").agg(F.round(F.max("cost"), 3).alias("seconds")), ["mode", "pair"], "left")
+
+
+#: Ways that every seventh rider avoids.
+_AVOIDED = 5
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """From the first to the last ping of each user; every seventh avoids some ways."""
+    ends = pings(spark, sf).groupBy("route").agg(F.min_by(F.struct("lat", "lng"), "idx").alias("a"), F.max_by(F.struct("lat", "lng"), "idx").alias("b"))
+    avoid = F.when(F.col("route") % 7 == 0, F.transform(F.sequence(F.lit(1), F.lit(_AVOIDED)), lambda k: (k * 58).cast("long")))
+    return ends.select("route", F.lit(MODE).alias("mode"), F.col("a.lat").alias("lat1"), F.col("a.lng").alias("lng1"), F.col("b.lat").alias("lat2"), F.col("b.lng").alias("lng2"), avoid.alias("avoid"))
+
+
+def regional(classed: DataFrame) -> DataFrame:
+    """Ways after a region's rules, for riders who don't mind setts."""
+    mid = geo.midpoint(F.col("coords"))
+    cls = {c: F.col(c) for c in ("lts", "car_free", "bike_priority", "bike_infra", "surface_", "path_level", "speed_kmh")}
+    out = streets.overlaid(cls, F.col("name"), streets.flat, mid["lat"], mid["lng"], dims.BERLIN)
+    out["surface_"] = streets.tolerant(out["surface_"], ["sett"])
+    return classed.withColumns(out)
+
+
+def hills(spark: SparkSession, sf: str) -> DataFrame:
+    """Elevation tiles of where the ways are, as pictures made by rule: a pixel's height goes by its place."""
+    ends = src.way_points(src.ways(spark, sf)).select("lat", "lng")
+    tiles = ends.select(*(c.alias(n) for n, c in terrain.on_tile(F.col("lat"), F.col("lng")).items() if n != "pixel")).distinct()
+
+    def run(batches):
+        line, column = np.mgrid[: terrain.SIZE, : terrain.SIZE]
+        for batch in batches:
+            pictures = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                steps = 100_000 + (line * 37 + column * 91 + x * 5 + y * 3) % 400  # tenths of a metre above -10,000 m
+                pictures.append(terrain.picture(np.stack([steps >> 16, steps >> 8 & 255, steps & 255], axis=2)))
+            yield pa.RecordBatch.from_arrays([pa.array([terrain.ZOOM] * len(pictures), pa.int32()), batch.column(0), batch.column(1), pa.array(pictures, pa.binary())], names=["z", "x", "y", "png"])
+
+    return tiles.mapInArrow(run, "z int, x int, y int, png binary")
+
+
+_MERCATOR = """v AS (SELECT DISTINCT lat, lng, (lng + 180.0) / 360.0 * 4096.0 AS fx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / 3.141592653589793::DOUBLE) / 2 * 4096.0 AS fy FROM pts),
+    px AS (SELECT lat, lng, floor(fx)::BIGINT AS x, floor(fy)::BIGINT AS y, floor((fx - floor(fx)) * 256)::BIGINT AS i, floor((fy - floor(fy)) * 256)::BIGINT AS j FROM v)"""
+
+
+@query(f"WITH {O.WAYS}, {_MERCATOR} SELECT round(lat, 5) AS lat, round(lng, 5) AS lng, round(-10000.0::DOUBLE + (100000 + (j * 37 + i * 91 + x * 5 + y * 3) % 400) * 0.1::DOUBLE, 3) AS metres FROM px")
+def elevation_lookup(spark, sf):
+    """Heights of all vertices, from pictures."""
+    found = terrain.heights(src.way_points(src.ways(spark, sf)), hills(spark, sf))
+    return found.select(F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), F.round("metres", 3).alias("metres"))
+
+
+def _client_routes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    ways = terrain.with_ends(src.ways(spark, sf), hills(spark, sf)).checkpoint()
+    return route.client_routes(requests(spark, sf), ways, dims.modes(spark), liked(), adjust=regional, elevation=(F.col("metres1"), F.col("metres2")))
 
 
 @query()
 def client_route(spark, sf):
-    """Whole requests, from the first to the last ping of each user: tiles, graph, snapping, path, segments, healing, totals."""
+    """Whole requests: tiles, region's rules, rider's preference, heights, avoided ways, graph, snapping, path, segments, healing, totals."""
+    found, _ = _client_routes(spark, sf)
+    numbers = ("km", "seconds", "walking_km", "preferred", "other", "walking")
+    return found.select("route", "found", *(F.round(c, 3).alias(c) for c in numbers), F.round(F.col("by_level")["1a"], 3).alias("level_1a"), "segments", "graph_nodes", "graph_edges")
+
+
+@query()
+def client_segments(spark, sf):
+    """The segments of those requests with the ways that they go along."""
+    _, parts = _client_routes(spark, sf)
+    return parts.select("route", "seg", "item", "is_walking", "path_level", "n_coords", F.round("metres", 2).alias("metres"), "healed", F.size("way_ids").alias("ways"), F.array_min("way_ids").alias("first_way"))
+
+
+@query()
+def waypoint_trips(spark, sf):
+    """Trips over each user's first, middle and last ping: their legs are requests, which share graphs; a leg without a path leaves the trip without one."""
     w = W.partitionBy("route").orderBy("idx")
-    ends = pings(spark, sf).groupBy("route").agg(F.min_by(F.struct("lat", "lng"), "idx").alias("a"), F.max_by(F.struct("lat", "lng"), "idx").alias("b"))
-    asked = ends.select("route", F.lit(MODE).alias("mode"), F.col("a.lat").alias("lat1"), F.col("a.lng").alias("lng1"), F.col("b.lat").alias("lat2"), F.col("b.lng").alias("lng2"))
-    found = route.client_routes(asked, src.ways(spark, sf), dims.modes(spark), liked())
-    return found.select("route", "found", *(F.round(c, 3).alias(c) for c in ("km", "seconds", "preferred", "other", "walking")), "segments")
+    n = F.count("*").over(W.partitionBy("route"))
+    stops = pings(spark, sf).withColumn("n", n).where("idx = 0 OR idx = n div 2 OR idx = n - 1")
+    stops = stops.withColumns({"leg": F.row_number().over(w) - 1, "lat2": F.lead("lat").over(w), "lng2": F.lead("lng").over(w)}).where("lat2 IS NOT NULL")
+    legs = stops.select("route", "leg", F.lit(MODE).alias("mode"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), "lat2", "lng2")
+    found = route.trips(legs, src.ways(spark, sf), dims.modes(spark), liked())
+    return found.select("route", "found", "legs", *(F.round(c, 3).alias(c) for c in ("km", "seconds", "walking_km")), "segments")
+
+
+@query(f"WITH {O.HEALED}, s AS (SELECT route, metres, is_walking, {O.cases('item', dims.ITEMS)} AS level, {O.GOOD} AS good FROM healed), t AS (SELECT route, sum(metres) AS total FROM s GROUP BY route HAVING sum(metres) > 0) SELECT route, level, round(sum(metres) / any_value(total), 6) AS share FROM s JOIN t USING (route) WHERE good AND NOT is_walking GROUP BY route, level HAVING sum(metres) > 0")
+def quality_by_level(spark, sf):
+    """What share of each trip is preferred, by the legend's level."""
+    level = F.create_map(*(F.lit(x) for pair in dims.ITEMS.items() for x in pair))[F.col("item")]
+    parts = segments.healed(segments.segments(pings(spark, sf)), liked()).withColumn("path_level", level)
+    return segments.quality(parts, liked(), by_level=True).select("route", F.explode("by_level").alias("level", "share")).withColumn("share", F.round("share", 6))
 
 
 # --- Audits and lists ---
@@ -246,10 +354,11 @@ def index_filter(spark, sf):
 
 @query(f"WITH {_PLACES}, q AS (SELECT n_nationkey AS id, lower(right('0000' || n_nationkey, 3)) AS q FROM nation), h AS (SELECT q.id, 0 AS kind, p.id AS hit FROM q JOIN places p ON contains(lower(p.name), q.q) WHERE p.id % 4 = 0 UNION ALL SELECT q.id, 1, s_suppkey FROM q JOIN supplier ON s_nationkey = q.id) SELECT id, CASE kind WHEN 0 THEN 'saved' ELSE 'other' END AS source, hit, row_number() OVER (PARTITION BY id ORDER BY kind, hit) AS place FROM h")
 def saved_first(spark, sf):
-    """Hits of a search in the order they are shown: saved places first. Queries are a handful of rows."""
+    """Hits of a search in the order they are shown: saved places first, found by an index of their names' parts."""
     asked = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.right(F.concat(F.lit("0000"), F.col("n_nationkey").cast("string")), F.lit(3)).alias("q"))
     saved = places(spark, sf).where("id % 4 = 0").select(F.col("id").alias("hit"), "name")
-    near = saved.join(F.broadcast(asked), F.contains(F.lower("name"), F.lower("q"))).select("id", F.lit(0).alias("kind"), "hit")
+    found = lookup.containing(asked.select(F.col("id").alias("query"), F.col("q").alias("text")), saved, lookup.postings(saved, "hit", "name"), "hit", "name")
+    near = found.select(F.col("query").alias("id"), F.lit(0).alias("kind"), "hit")
     rest = asked.join(table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("id")).select("id", F.lit(1).alias("kind"), F.col("s_suppkey").alias("hit"))
     place = F.row_number().over(W.partitionBy("id").orderBy("kind", "hit"))
     return near.unionByName(rest).select("id", F.when(F.col("kind") == 0, "saved").otherwise("other").alias("source"), "hit", place.alias("place"))
@@ -261,9 +370,8 @@ def saved_first(spark, sf):
 @query(
     """SELECT c_custkey AS id, regexp_matches(c_name, '[0-9]') AS address, regexp_replace('Turn left onto ' || c_name || ' Street', ' onto .+$', '') AS instruction,
         'https://x.example/v?at=' || printf('%.6f', c_acctbal) || '%2C13.000000' || CASE WHEN c_custkey % 3 = 0 THEN '&h=90' ELSE '' END AS address_of,
-        lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR)), '0') || '-' || lower(c_mktsegment) || '.html' AS file,
-        CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN 'Road ' || c_custkey ELSE 'First' END AS short FROM customer WHERE c_custkey < 1000"""
-    .replace(" WHERE c_custkey < 1000", "").replace("lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR)), '0')", "right('000' || c_custkey::VARCHAR, 3)")
+        right('000' || c_custkey::VARCHAR, 3) || '-' || lower(c_mktsegment) || '.html' AS file,
+        CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN 'Road ' || c_custkey ELSE 'First' END AS short FROM customer"""
 )
 def scalars(spark, sf):
     """Address test, shortened instruction, address with a query, file name and short label."""

@@ -133,7 +133,7 @@ def edges(extra: str = "", steep: str = "false") -> str:
         SELECT mode, d.way_id, {ONEWAY} AS single, ({walked} OR walks OR {steep}) AS is_walking,
             CASE WHEN {walked} OR {steep} AND NOT walks THEN walk_kmh WHEN {slow} THEN least(kmh, slow_kmh) ELSE kmh END::DOUBLE AS kmh,
             CASE WHEN {walked} OR {steep} AND NOT walks THEN 1.0 ELSE mult END::DOUBLE AS mult
-        FROM dec d JOIN lengths l ON l.way_id = d.way_id WHERE ({WALKING} OR ok OR {BRIDGE}) {extra}
+        FROM dec d JOIN lengths l ON l.way_id = d.way_id WHERE ({WALKING} OR ok OR {BRIDGE}) AND NOT ({steep} AND NOT {walked} AND NOT walks AND NOT {BRIDGE}) {extra}
     ), edges AS (
         SELECT mode, s.way_id, idx + 1 AS seg, b AS back, dist, dist / (kmh / 3.6) * mult AS cost, is_walking,
             CASE WHEN b = 0 THEN (ilat + 9000000) * 100000000 + ilng + 18000000 ELSE (ilat2 + 9000000) * 100000000 + ilng2 + 18000000 END AS src,

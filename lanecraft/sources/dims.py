@@ -75,9 +75,9 @@ def cities(spark: SparkSession) -> DataFrame:
 
 def with_rule(rows: DataFrame, asked: str, modes: DataFrame) -> DataFrame:
     """``rows`` with the columns of the mode that the column ``asked`` names; the default's where it names none of them."""
-    known = [r["mode"] for r in modes.select("mode").collect()]  # a handful
-    mode = F.when(F.col(asked).isin(known), F.col(asked)).otherwise(DEFAULT_MODE)
-    return rows.withColumn("mode", mode).join(F.broadcast(modes), "mode")
+    known = F.broadcast(modes.select(F.col("mode").alias("_known")))
+    named = rows.join(known, F.col(asked) == F.col("_known"), "left").withColumn("mode", F.coalesce("_known", F.lit(DEFAULT_MODE))).drop("_known")
+    return named.join(F.broadcast(modes), "mode")
 
 
 def visible(mode: Column, opted: Column, selected: Column) -> Column:
