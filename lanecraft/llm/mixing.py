@@ -59,6 +59,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return held.withColumn("target", F.when(F.col("full"), room.cast("double")).otherwise(rest * F.col("weight"))).select("source", "source_size", "target")
 
 
+#: A source is left as it is when its words are within this share of its target; so many times one is brought nearer at most.
+CLOSE, EXCHANGES = 0.001, 6
+
+
 def flight(chance: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     """``chance`` moved with its sum and the sum of ``chance * sizes`` held, until at most 2 entries are between 0 and 1.
 
@@ -153,22 +157,28 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
         more = more.unionByName(part)
     taken = rated.join(more.withColumn("_more", F.lit(1)), "_row", "left")
     taken = cut(taken.withColumn("copies", (F.col("base") + F.coalesce("_more", F.lit(0))).cast("long")))
-    return _exchanged(taken, most, held).select("_row", "doc_id", "size", "source_size", "target", "copies")
+    for _ in range(EXCHANGES):
+        step = cut(_exchange(taken, most, held))
+        if step.isEmpty():
+            break
+        # At most one row a source, as few as those.
+        taken = taken.join(held(step), F.col("_row") == F.col("_picked"), "left").withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0))).drop("_picked", "_step")
+    return taken.select("_row", "doc_id", "size", "source_size", "target", "copies")
 
 
-def _exchanged(taken: DataFrame, most: int, held) -> DataFrame:
-    """``taken`` after one more step of the landing, where a source's words are still off its target because of a long document.
+def _exchange(taken: DataFrame, most: int, held) -> DataFrame:
+    """One more step of the landing, where a source's words are still off its target because of long documents: _picked and _step.
 
-    In each source the one document is taken once more, or once less, whose size is nearest to what is missing, or too
-    much, if that brings the source nearer.
+    In each source that is off by more than CLOSE of its target the one document is taken once more, or once less, whose
+    size is nearest to what is missing, or too much, if that brings the source nearer.
     """
-    off = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("off"))
-    off = off.withColumnRenamed("source", "s")
+    off = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("off"), F.first("target").alias("goal"))
+    off = off.withColumnRenamed("source", "s").where(F.abs("off") > CLOSE * F.col("goal")).drop("goal")
     able = F.when(F.col("off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
     miss = F.abs(F.col("size") - F.abs(F.col("off")))
     pick = taken.join(held(off), F.col("source").eqNullSafe(F.col("s"))).where(able & (miss < F.abs(F.col("off"))))
     pick = pick.groupBy("s").agg(F.min(F.struct(miss.alias("miss"), "_row", F.signum("off").cast("long").alias("_step"))).alias("p"))
-    return taken.join(pick.select("p._row", "p._step"), "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0)))
+    return pick.select(F.col("p._row").alias("_picked"), "p._step")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -30,6 +31,8 @@ INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd labe
 UNSEEN = set("script style noscript template head svg math iframe object canvas audio video select option textarea button title".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Blocks that hold a page or an article whatever words their class has.
+LAYOUT = {"html", "body", "main", "article"}
 #: Groups of tags and of words in attributes, one feature each.
 TAGS = [["article", "main"], ["section", "div"], ["p"], ["h1", "h2", "h3", "h4", "h5", "h6"], ["ul", "ol", "dl", "li", "dt", "dd"], ["nav", "menu"], ["header"], ["footer"], ["aside"], ["form", "fieldset", "dialog"], ["table", "tr", "td", "th", "tbody"], ["figure", "blockquote", "pre"], ["body", "html"]]
 WORDS = [
@@ -62,6 +65,7 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", [], None)
         self.open: list[tuple[str, Node]] = []  # tags that are open, with the block they are in
+        self.places: dict[str, list[int]] = defaultdict(list)  # where in it each tag is
         self.unseen = self.link = 0
 
     def leaf(self) -> Node:
@@ -72,6 +76,7 @@ class Builder(HTMLParser):
 
     def pop(self) -> None:
         tag, node = self.open.pop()
+        self.places[tag].pop()
         self.at = node
         if tag in UNSEEN:
             self.unseen -= 1
@@ -79,13 +84,12 @@ class Builder(HTMLParser):
             self.link -= 1
 
     def end(self, tags: set[str], within: set[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                while len(self.open) > i:
-                    self.pop()
-                return
-            if self.open[i][0] in within:
-                return
+        """Ends the innermost open one of ``tags``, unless one of ``within`` is open inside it. In time as tags are named and ended."""
+        innermost = lambda names: max((self.places[t][-1] for t in names if self.places.get(t)), default=-1)
+        last = innermost(tags)
+        if last >= max(innermost(within), 0):
+            while len(self.open) > last:
+                self.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("br", "hr"):
@@ -97,6 +101,7 @@ class Builder(HTMLParser):
             self.end({"p"}, {"body", "td", "th", "button", "div", "article", "section"})
         if tag in SELF_CLOSING:
             self.end(SELF_CLOSING[tag], {"ul", "ol", "dl", "table", "select"})
+        self.places[tag].append(len(self.open))
         self.open.append((tag, self.at))
         if tag in UNSEEN:
             self.unseen += 1
@@ -107,12 +112,14 @@ class Builder(HTMLParser):
             self.unseen = 0
         if tag not in INLINE and tag not in UNSEEN:
             words = [w for name, value in attrs if value and name in ("class", "id", "role", "itemprop", "aria-label") for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()) if w]
+            if tag in LAYOUT:  # what such a block's class says besides is about the page: that it has a sidebar, comments, a banner
+                words = [w for w in words if w in WORDS[0]]
             node = Node(tag, words, self.at)
             self.at.children.append(node)
             self.at = node
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in VOID and any(t == tag for t, _ in self.open):
+        if tag not in VOID:
             self.end({tag}, set())
 
     def handle_data(self, data: str) -> None:
@@ -308,7 +315,14 @@ def example(draw: random.Random) -> tuple[str, set[str]]:
 
     def named(group: int) -> str:
         word = draw.choice(WORDS[group])
-        return draw.choice([f' class="{word}"', f' id="{word}"', f' class="{word}-box wide"', f' class="c{serial[0]} {word}"'])
+        return draw.choice([f' class="{word}"', f' id="{word}"', f' class="{word}-box wide"', f' class="c{serial[0]} {word}"', f' class="{word}-{draw.choice(WORDS[group])}"', f' class="{draw.choice(["inline", "slot", "x"])}-{word}"'])
+
+    def layout() -> str:
+        """What a block around a whole page or article is called by what else the page has."""
+        if draw.random() < 0.75:
+            return ""
+        word = draw.choice(WORDS[draw.choice([1, 2, 4, 5, 7, 7, 4])])
+        return f' class="{draw.choice(["page", "wrap", "single", "layout", "outer"])} {draw.choice(["has-{}", "with-{}", "no-{}", "{}-left", "right-{}", "{}-on"]).format(word)}"'
 
     def links(n: int) -> str:
         return "<ul>" + "".join(f"<li><a href='/{i}'>{words(draw.randint(1, 3), False)}</a></li>" for i in range(n)) + "</ul>"
@@ -332,6 +346,8 @@ def example(draw: random.Random) -> tuple[str, set[str]]:
         if kind == 6:
             items = "".join(f"<div{draw.choice([' class=comment', ''])}><p>{short()}</p></div>" for _ in range(draw.randint(1, 4)))
             return f"<{draw.choice(['section', 'div', 'ol'])}{named(7)}><h2>{words(1, False)}</h2>{items}</div></section>"
+        if kind == 8:
+            return f"<{draw.choice(['div', 'section', 'aside'])}{named(8)}><{draw.choice(['p', 'h3', 'h4'])}>{short()}</p><input name=q>{draw.choice(['', '<button>x</button>', f'<p>{words(3, False)}</p>'])}</div></section></aside>"
         return f"<form{named(8) if draw.random() < 0.5 else ''}><label>{words(3, False)}</label><input name=q><p>{short()}</p></form>"
 
     def body(n: int) -> str:
@@ -340,18 +356,18 @@ def example(draw: random.Random) -> tuple[str, set[str]]:
             out.append(f"<header{draw.choice(['', named(2)])}><p>{words(draw.randint(2, 6), False)}</p></header>")
         for _ in range(n):
             kind = draw.random()
-            if kind < 0.75:
+            if kind < 0.7:
                 out.append(f"<p>{words(draw.randint(1, 90), True)}{draw.choice(['', '<b>' + words(2, True) + '</b>', '<br><p>' + words(9, True)])}</p>")
-            elif kind < 0.82:
+            elif kind < 0.76:
                 out.append(f"<h2>{words(draw.randint(1, 6), True)}</h2>")
-            elif kind < 0.88:
+            elif kind < 0.81:
                 out.append("<ul>" + "".join(f"<li>{words(draw.randint(2, 12), True)}</li>" for _ in range(3)) + "</ul>")
-            elif kind < 0.92:
+            elif kind < 0.85:
                 out.append(f"<blockquote>{words(12, True)}</blockquote>")
-            elif kind < 0.95:
+            elif kind < 0.88:
                 out.append(f"<table><tr><td>{words(2, True)}</td><td>{words(2, True)}</td></tr></table>")
             else:
-                out.append(side(draw.choice([3, 4, 5, 7])))
+                out.append(side(draw.choice([3, 4, 4, 5, 7, 8])))
         if draw.random() < 0.2:
             out.append(f"<footer{draw.choice(['', named(3)])}>{words(draw.randint(1, 5), False)}</footer>")
         return "".join(out)
@@ -369,15 +385,18 @@ def example(draw: random.Random) -> tuple[str, set[str]]:
         wrapped = draw.choice(["{}", "<body>{}</body>", "<html><body>{}</body></html>", "<body><div>{}</div></body>", "<div><div><div>{}</div></div></div>", "<body><table><tr><td>{}</td></tr></table></body>"])
         ends = draw.random() < 0.4
         return wrapped.format((side(0) if ends else "") + inner + (side(2) if ends else "")), main
-    around = draw.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f"<div{named(0)}>{{}}</div>", f"<div id=wrap><div{named(0)}>{{}}</div></div>", "{}", "<div>{}</div>", "<article class=post><div class=entry-content>{}</div></article>", f"<section{named(0)}>{{}}</section>"])
+    around = draw.choice([f"<article{layout()}>{{}}</article>", f"<main{layout()}>{{}}</main>", f"<div{layout()}><div{named(0)}>{{}}</div></div>", "<main><article>{}</article></main>", f"<div{named(0)}>{{}}</div>", f"<div id=wrap><div{named(0)}>{{}}</div></div>", "{}", "<div>{}</div>", "<article class=post><div class=entry-content>{}</div></article>", f"<section{named(0)}>{{}}</section>"])
     before = "".join(side(k) for k in range(8) if draw.random() < (0.7, 0.5, 0, 0.2, 0.35, 0.25, 0, 0.2)[k])
     after = "".join(side(k) for k in range(8) if draw.random() < (0.1, 0, 0.8, 0.4, 0.2, 0.15, 0.35, 0.2)[k])
     head = f"<head><title>{words(3, False)}</title><style>p{{x:y}}</style><script>var a='<p>';</script></head>" if draw.random() < 0.9 else ""
-    return f"<!DOCTYPE html><html>{head}<body>{before}{around.format(inner)}{after}</body></html>", main
+    inside = before + around.format(inner) + after
+    if draw.random() < 0.25:
+        inside = f"<div{layout()}>{inside}</div>"
+    return f"<!DOCTYPE html><html>{head}<body{layout()}>{inside}</body></html>", main
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 240, seed: int = 7) -> tuple[Tree, ...]:
+def trained(pages: int = 400, seed: int = 7) -> tuple[Tree, ...]:
     """The model, from pages made by rule."""
     draw = random.Random(seed)
     rows, labels = [], []
