@@ -713,6 +713,32 @@ def simplify_path(spark, sf):
     return simplify.simplified(src.ways(spark, sf).select("way_id", "coords"), 13).select("way_id", F.size("coords").alias("n"), F.size("simple").alias("n_simple"))
 
 
+@query(
+    f"""WITH RECURSIVE {O.WAYS}, bent AS (SELECT way_id, k, lat + ((way_id * 7 + k * k * 3) % 9 - 4) / 5000.0::DOUBLE AS y, lng + ((way_id * 5 + k * k * 7) % 9 - 4) / 5000.0::DOUBLE AS x FROM (SELECT way_id, idx AS k, lat, lng FROM pts)),
+    cut(way_id, a, b) AS (
+        SELECT DISTINCT way_id, 0, {O.POINTS - 1} FROM ways
+        UNION ALL
+        SELECT way_id, unnest([a, worst]), unnest([worst, b]) FROM (
+            SELECT way_id, a, b, arg_max(k, (far, -k)) AS worst, max(far) AS far FROM (
+                SELECT way_id, a, b, k, pow(m.y - p.y - t * (q.y - p.y), 2) + pow(m.x - p.x - t * (q.x - p.x), 2) AS far FROM (
+                    SELECT c.way_id, c.a, c.b, m.k, m, p, q, greatest(0.0, least(1.0, coalesce(((m.y - p.y) * (q.y - p.y) + (m.x - p.x) * (q.x - p.x)) / nullif(pow(q.y - p.y, 2) + pow(q.x - p.x, 2), 0), 0.0))) AS t
+                    FROM cut c JOIN bent p ON p.way_id = c.way_id AND p.k = c.a JOIN bent q ON q.way_id = c.way_id AND q.k = c.b JOIN bent m ON m.way_id = c.way_id AND m.k > c.a AND m.k < c.b))
+            GROUP BY way_id, a, b) WHERE far > pow(360.0::DOUBLE / (4096 * 256) * 1.5, 2))
+    SELECT way_id, count(DISTINCT v) AS n_simple, sum(DISTINCT v)::BIGINT AS places FROM (SELECT way_id, unnest([a, b]) AS v FROM cut) GROUP BY way_id"""
+)
+def simplify_bends(spark, sf):
+    """Ways that bend, each differently, with fewer vertices for a zoom: how many stay, and the sum of their places."""
+    from lanecraft.operators import simplify
+
+    p = F.col("way_id")
+    bend = lambda c, a, b: lambda v, k: v[c] + ((p * a + k * k * b) % 9 - 4) / 5000.0
+    lat, lng = bend("lat", 7, 3), bend("lng", 5, 7)
+    bent = src.ways(spark, sf).select("way_id", F.transform("coords", lambda v, k: F.struct(lat(v, k).alias("lat"), lng(v, k).alias("lng"))).alias("coords"))
+    found = simplify.simplified(bent, 12)
+    places = F.filter(F.sequence(F.lit(0), F.size("coords") - 1), lambda k: F.array_contains("simple", F.get("coords", k)))
+    return found.select("way_id", F.size("simple").cast("long").alias("n_simple"), F.aggregate(places, F.lit(0).cast("long"), lambda s, k: s + k).alias("places"))
+
+
 @query(
     f"""WITH RECURSIVE r AS (SELECT user_id AS client, event_id, {_MS} AS ts, event_id % 9 = 0 AS refused, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     st(client, i, event_id, sent, until) AS (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lanecraft.functions import geo, streets
 from lanecraft.functions import text as T
 from lanecraft.operators import graph, lookup, overlay, route, segments, spatial, tables
-from lanecraft.sources import dims, terrain
+from lanecraft.sources import dims, store, terrain
 from lanecraft.sources import ways as src
 from lanecraft.sources.tables import table
 from lanecraft.streaming import navigation
@@ -436,6 +436,26 @@ def log_appended(spark, sf):
     return spark.read.parquet(at).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("routes"), F.sum("o_orderkey").alias("check_sum"))
 
 
+@query(
+    "WITH o AS (SELECT o_custkey AS key, CASE WHEN o_orderkey % 9 <> 0 THEN 'image ' || o_orderkey END AS image, epoch_ms(o_orderdate)::BIGINT * 100 + o_orderkey % 100 AS fetched_at, o_orderkey FROM orders),"
+    " l AS (SELECT key, arg_max({'i': image}, (fetched_at, o_orderkey)).i AS image, max(fetched_at) AS fetched_at FROM (SELECT *, fetched_at = max(fetched_at) OVER (PARTITION BY key) AS newest FROM o) WHERE newest GROUP BY key HAVING count(*) = 1)"
+    " SELECT key, image, fetched_at FROM l WHERE (SELECT max(fetched_at) FROM o) - fetched_at <= 20000000000000"
+)
+def image_cache(spark, sf):
+    """A cache of images in files by key, upserted twice: nulls are kept like images, the old are left out; keys with two equally new ones aside."""
+    o = table(spark, sf, "orders")
+    stamp = F.unix_millis(F.col("o_orderdate").cast("timestamp")) * 100 + F.col("o_orderkey") % 100
+    rows = o.select(F.col("o_custkey").alias("key"), F.when(F.col("o_orderkey") % 9 != 0, F.concat(F.lit("image "), F.col("o_orderkey"))).alias("image"), stamp.alias("fetched_at"), "o_orderkey")
+    newest = F.max(F.struct("fetched_at")).over(W.partitionBy("key"))["fetched_at"]
+    ties = rows.withColumn("newest", newest).where("fetched_at = newest").groupBy("key").count().where("count > 1").select("key")
+    at = f"{graph.shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        store.upsert(rows.where(F.col("o_orderkey") % 2 == half).select("key", "image", "fetched_at"), at, "key", "fetched_at")
+    now = rows.agg(F.max("fetched_at")).first()[0]
+    found = store.read(spark, at, "key long, image string, fetched_at long", now, 20_000_000_000_000)
+    return found.join(ties, "key", "left_anti").select("key", "image", "fetched_at")
+
+
 # --- Benchmarks ---
 
 _PROFILES = {"kid-starting-out": "bicycle", "kid-confident": "bicycle", "training": "fastbike"}

@@ -288,3 +288,55 @@ def test_heights_of_places_and_ways(spark, tmp_path):
     rows = [(1, {}, line((52.5220, 13.40), (52.4850, 13.40))), (2, {}, line((52.5220, 13.46), (52.5220, 13.40))), (3, {}, line((10.0, 10.0))), (4, {}, [])]
     got = {r["way_id"]: (r["metres1"], r["metres2"]) for r in terrain.with_ends(spark.createDataFrame(rows, WAYS), tiles).collect()}
     assert got[1] == (pytest.approx(35.0), pytest.approx(235.0)) and got[2] == (None, pytest.approx(35.0)) and got[3] == got[4] == (None, None)
+
+
+def test_lines_are_reduced_together_as_one_by_one():
+    from lanecraft.operators import simplify
+
+    def alone(points, tolerance):
+        keep, stack = {0, len(points) - 1}, [(0, len(points) - 1)]
+        while stack:
+            a, b = stack.pop()
+            best, worst = tolerance * tolerance, None
+            for k in range(a + 1, b):
+                line, rest = points[b] - points[a], points[k] - points[a]
+                span = float(line @ line)
+                t = min(max(float(rest @ line) / span, 0), 1) if span else 0.0
+                far = float(((rest - t * line) ** 2).sum())
+                if far > best:
+                    best, worst = far, k
+            if worst is not None:
+                keep.add(worst)
+                stack += [(a, worst), (worst, b)]
+        return points[sorted(keep)]
+
+    draw = np.random.default_rng(8)
+    lines = [np.cumsum(draw.normal(size=(n, 2)), axis=0) for n in (1, 2, 3, 10, 500, 4)] + [np.zeros((5, 2)), np.array([[0, 0], [1, 1], [0, 0.0]])]
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in lines])])
+    for tolerance in (0.1, 1.0, 5.0):
+        keep = simplify.kept(np.concatenate(lines), ends, tolerance)
+        for a, b, points in zip(ends, ends[1:], lines, strict=False):
+            assert points[keep[a:b]].tolist() == alone(points, tolerance).tolist()
+
+
+def test_an_upsert_writes_only_what_it_touches(spark, tmp_path):
+    import os
+
+    from lanecraft.sources import store
+
+    schema, path = "key long, value string, fetched_at long", str(tmp_path / "cache")
+    assert store.read(spark, path, schema).collect() == []
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    store.upsert(make([(k, f"a{k}", 10) for k in range(200)] + [(None, "n", 1), (7, "older", 3)]), path, "key", "fetched_at", 16)
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(f"{path}/parts") for f in fs}
+    before = files()
+    store.upsert(make([(3, None, 20), (300, "new", 5), (4, "stale", 2)]), path, "key", "fetched_at", 16)
+    got = {r["key"]: (r["value"], r["fetched_at"]) for r in store.read(spark, path, schema).collect()}
+    assert got == {**{k: (f"a{k}", 10) for k in range(200)}, None: ("n", 1), 3: (None, 20), 300: ("new", 5)}
+    after = files()
+    assert {f: after[f] for f in before} == before
+    written = {f.split("_part=")[1].split("/")[0] for f in after.keys() - before.keys() if "_part=" in f}
+    assert 1 <= len(written) <= 3
+    assert {r["key"] for r in store.read(spark, path, schema, now=21, ttl_ms=11).collect()} == set(range(200))
+    store.upsert(make([]), path, "key", "fetched_at", 16)
+    assert store.read(spark, path, schema).count() == 202

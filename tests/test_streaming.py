@@ -89,3 +89,29 @@ def test_positions_find_their_own_route(spark):
     route = spark.createDataFrame([(1, 0, 52.5, 13.4), (1, 1, 52.501, 13.4), (2, 0, 52.5, 13.4005)], "trip long, idx int, lat double, lng double")
     asked = spark.createDataFrame([(1, 10, 52.5002, 13.4), (1, 11, 52.6, 13.4), (2, 12, 52.5, 13.4), (3, 13, 52.5, 13.4)], "trip long, event_id long, lat double, lng double")
     assert {r["event_id"]: r["point"] for r in navigation.on_route(asked, route).collect()} == {10: 0, 11: None, 12: 0, 13: None}
+
+
+def test_the_step_machine_goes_on_after_a_restart_and_leaves_out_what_is_late(spark, tmp_path):
+    df, ahead = trips(spark, 80)
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run(name, **options):
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        sink = navigation.step_machine(stream, ahead, **options).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state"))
+        query = sink.outputMode("append").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / name))
+
+    try:
+        df.where("ts < 40000").coalesce(1).write.parquet(str(tmp_path / "in"))
+        first = run("steps").count()
+        # The second run reads what came since and a position of an hour before, which is too late.
+        late = spark.createDataFrame([(1, 999, 39_000 - 3_600_000, 52.5, 13.4)], df.schema)
+        df.where("ts >= 40000").unionByName(late).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = run("steps")
+        want = sorted(map(tuple, navigation.steps_batch(df, ahead).collect()), key=str)
+        assert first == 80 and sorted(map(tuple, got.collect()), key=str) == want and max(r[2] for r in want) > 2
+        assert run("clock", ttl_ms=3_600_000).where("event_id <> 999").count() == 160
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
