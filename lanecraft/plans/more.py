@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lanecraft.functions import geo, streets
 from lanecraft.functions import text as T
 from lanecraft.operators import graph, lookup, overlay, route, segments, spatial, tables
-from lanecraft.sources import dims, store, terrain
+from lanecraft.sources import dims, reports, store, terrain
 from lanecraft.sources import ways as src
 from lanecraft.sources.tables import table
 from lanecraft.streaming import navigation
@@ -456,6 +456,40 @@ def image_cache(spark, sf):
     return found.join(ties, "key", "left_anti").select("key", "image", "fetched_at")
 
 
+@query("WITH q AS (SELECT event_id AS id, user_id % 20 AS region, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts DESC, event_id DESC) AS nth FROM events) SELECT id, region FROM q WHERE nth <= 100 AND id % 11 <> 0 AND region <> 3")
+def feedback_queue(spark, sf):
+    """Each region's newest hundred reports, after some were deleted and one region's queue was cleared."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("region"), F.col("ts").alias("created_at"))
+    return reports.queue(e, deleted=e.where("id % 11 = 0"), cleared=F.col("region") == 3).select("id", "region")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, ['preferred', 'avoided', 'rough'][CAST(event_id % 3 AS INT) + 1] AS feedback_type, count(*) AS reports, count(DISTINCT event_id % 2000) AS ways FROM events WHERE event_type = 'error' GROUP BY ALL")
+def feedback_reports(spark, sf):
+    """Reports written in two goes that overlap, and read back by day and kind."""
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("preferred", "avoided", "rough"))), (e % 3 + 1).cast("int"))
+    rows = table(spark, sf, "events").where("event_type = 'error'").select(
+        e.cast("string").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").cast("string").alias("route_log_id"), (52 + e % 1000 / 1000).alias("lat"), (13 + e % 777 / 1000).alias("lng"),
+        (e % 2000).alias("osm_way_id"), kind.alias("feedback_type"), F.lit(None).cast("string").alias("comment"), F.lit(MODE).alias("travel_mode"),
+    )
+    at = f"{graph.shared_folder(spark)}/feedback-{uuid.uuid4().hex}"
+    for part in ("osm_way_id < 1200", "osm_way_id >= 800"):
+        reports.append_feedback(rows.where(part), at)
+    return reports.read_feedback(spark, at).groupBy("day", "feedback_type").agg(F.count("*").alias("reports"), F.count_distinct("osm_way_id").alias("ways"))
+
+
+@query(
+    f"""WITH {O.SEGMENTS}, l AS (SELECT route, metres, 1 + seg % 4 AS lts FROM segs), s AS (SELECT route, {', '.join(f'coalesce(sum(metres) FILTER (lts = {k}), 0) / sum(metres) AS p{k}' for k in (1, 2, 3, 4))} FROM l GROUP BY route HAVING sum(metres) > 0),
+    r AS (SELECT *, floor(p1 * 100 + p2 * 70 + p3 * 30 + 0.5) AS raw FROM s), c AS (SELECT route, CASE WHEN p4 > 0 THEN least(raw, 40) WHEN p3 > 0.1 THEN least(raw, 60) ELSE raw END AS score FROM r)
+    SELECT CASE WHEN score >= 85 THEN 'green' WHEN score >= 70 THEN 'yellow' WHEN score >= 50 THEN 'orange' ELSE 'red' END AS label, count(*) AS routes FROM c GROUP BY 1"""
+)
+def safety_labels(spark, sf):
+    """How many trips get which label for their family score."""
+    rows = segments.segments(pings(spark, sf)).withColumn("lts", 1 + F.col("seg") % 4)
+    found = segments.lts_breakdown(rows).where("p1 + p2 + p3 + p4 > 0")
+    return found.groupBy(segments.score_label(F.col("score")).alias("label")).agg(F.count("*").alias("routes"))
+
+
 # --- Benchmarks ---
 
 _PROFILES = {"kid-starting-out": "bicycle", "kid-confident": "bicycle", "training": "fastbike"}

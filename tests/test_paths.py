@@ -36,14 +36,14 @@ def towns(spark):
     return {"m": search.links(*zip(*one, strict=True)), "x": search.links(*zip(*two, strict=True))}, spark.createDataFrame(rows, "mode string, src long, dst long, cost double")
 
 
-@pytest.fixture(scope="module", params=[50, 100_000], ids=["many levels", "one level"])
+@pytest.fixture(scope="module", params=[500, 100_000], ids=["several levels", "one level"])
 def laid(request, towns):
     return towns[0], overlay.build(towns[1], most=request.param), request.param
 
 
 def test_reachable_over_cells_equals_a_plain_search(spark, laid):
     out, found, most = laid
-    assert (found.top > 1) == (most == 50)
+    assert (found.top > 1) == (most == 500)
     starts = [("m", node(0, 0)), ("x", node(5, 5)), ("x", node(20, 3)), ("x", 7)]
     got = {(r["mode"], r["node"]) for r in overlay.reachable(found, spark.createDataFrame(starts, "mode string, node long")).collect()}
     want = {("m", n) for n in search.reached(out["m"], [node(0, 0)])} | {("x", n) for n in search.reached(out["x"], [node(5, 5), node(20, 3), 7])}
@@ -71,8 +71,8 @@ def test_paths_across_cells_cost_what_plain_ones_do(spark, laid):
             assert all(links[a[1]][b[1]] == pytest.approx(b[2] - a[2]) for a, b in zip(path, path[1:], strict=False))
 
 
-def test_many_pairs_of_one_cell_are_dealt_out(spark, laid, monkeypatch):
-    out, found, _ = laid
+def test_many_pairs_of_one_cell_are_dealt_out(spark, towns, monkeypatch):
+    out, found = towns[0], overlay.build(towns[1])
     monkeypatch.setattr(overlay, "TOGETHER", 3)
     pairs = [("m", k, node(k % 5, 1), node(22, 20)) for k in range(20)]
     got = overlay.routes(found, spark.createDataFrame(pairs, "mode string, pair long, src long, dst long")).groupBy("pair").agg(F.max("cost").alias("c")).collect()
@@ -340,3 +340,40 @@ def test_an_upsert_writes_only_what_it_touches(spark, tmp_path):
     assert {r["key"] for r in store.read(spark, path, schema, now=21, ttl_ms=11).collect()} == set(range(200))
     store.upsert(make([]), path, "key", "fetched_at", 16)
     assert store.read(spark, path, schema).count() == 202
+
+
+def test_reports_are_added_once_and_need_what_they_need(spark, tmp_path):
+    import datetime
+
+    from lanecraft.sources import reports
+
+    at = datetime.datetime(2026, 1, 2, 3)
+    make = lambda *rows: spark.createDataFrame(rows, reports.FEEDBACK)
+    row = lambda i, **k: tuple({"id": i, "timestamp": at, "route_log_id": None, "lat": 52.5, "lng": 13.4, "osm_way_id": None, "feedback_type": "rough", "comment": None, "travel_mode": None, **k}.values())
+    path = str(tmp_path / "feedback")
+    assert reports.read_feedback(spark, path) is None
+    assert reports.append_feedback(make(row("a"), row("b"), row("a", comment="again")), path) == 2
+    assert reports.append_feedback(make(row("b"), row("c")), path) == 1
+    for bad in (row("d", lat=None), row(None), row("d", feedback_type=None)):
+        with pytest.raises(ValueError, match="without"):
+            reports.append_feedback(make(row("e"), bad), path)
+    assert sorted(r["id"] for r in reports.read_feedback(spark, path).collect()) == ["a", "b", "c"]
+
+
+def test_answers_without_a_route_are_kept(spark, tmp_path):
+    from lanecraft.sources import reports
+
+    rows = spark.createDataFrame([("berlin", "Home", "Zoo", (1.5, "abc")), ("sf", "A", "B", None)], "city string, origin string, destination string, route struct<km:double,line:string>")
+    reports.write_answers(rows, str(tmp_path / "answers"))
+    got = {r["key"]: r["route"] for r in reports.read_answers(spark, str(tmp_path / "answers"), "struct<km:double,line:string>").collect()}
+    assert got == {"berlin:Home\u2192Zoo": (1.5, "abc"), "sf:A\u2192B": None}
+
+
+def test_a_full_queue_drops_the_oldest_of_a_region(spark):
+    from lanecraft.sources import reports
+
+    rows = spark.createDataFrame([(k, "x" if k < 8 else None, k // 2) for k in range(12)], "id long, region string, created_at long")
+    left = lambda **k: sorted(r["id"] for r in reports.queue(rows, most=3, **k).collect())
+    assert left() == [5, 6, 7, 9, 10, 11]
+    assert left(deleted=rows.where("id IN (6, 9)")) == [5, 7, 10, 11]
+    assert left(cleared=F.col("region") == "x") == [9, 10, 11]
