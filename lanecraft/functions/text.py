@@ -58,6 +58,22 @@ def polyline(encoded: Column, precision: int = 5) -> Column:
     return F.when(F.coalesce(F.length(encoded), F.lit(0)) == 0, F.array().cast("array<struct<lat:double,lng:double>>")).otherwise(found)
 
 
+def polyline_of(coords: Column, precision: int = 5) -> Column:
+    """The encoded polyline of an array of (lat, lng), which ``polyline`` reads; halves are rounded up. Null of null, empty of none."""
+    scale = F.lit(float(10**precision))
+    numbers = F.transform(coords, lambda c: F.array(*(F.floor(c[k] * scale + 0.5).cast("long") for k in ("lat", "lng"))))
+    before = F.concat(F.array(F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))), numbers)
+    steps = F.flatten(F.zip_with(numbers, F.slice(before, 1, F.size(numbers)), lambda a, b: F.array(a[0] - b[0], a[1] - b[1])))
+    folded = F.transform(steps, lambda d: F.when(d < 0, -2 * d - 1).otherwise(2 * d))
+
+    def characters(z: Column) -> Column:
+        n = sum((F.when(z >= 1 << 5 * k, 1).otherwise(0) for k in range(1, 13)), F.lit(1))  # five bits a character
+        part = lambda i: F.call_function("shiftright", z, 5 * i).bitwiseAND(F.lit(31)) + F.when(i < n - 1, 32).otherwise(0) + 63
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.char(part(i))), "")
+
+    return F.when(coords.isNotNull(), F.array_join(F.transform(folded, characters), ""))
+
+
 # --- Rider preferences in English: fixed values. ---
 SURFACES = {
     "cobble": "cobblestone", "cobbles": "cobblestone", "cobblestone": "cobblestone", "cobblestones": "cobblestone", "sett": "sett", "setts": "sett",

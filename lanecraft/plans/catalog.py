@@ -694,13 +694,20 @@ def quantised(spark, sf):
     return table(spark, sf, "events").select("event_id", (geo.half_up(F.col("value") * 10000) / 10000).alias("cell"), F.pmod(F.lit(360) - e % 360, F.lit(360)).alias("heading"), (e % 4 == 0).alias("gps"))
 
 
-@query("SELECT r::INT AS tile_row, c::INT AS tile_col FROM range(523, 557) a(r), range(130, 137) b(c) ORDER BY md5(r || ':' || c || ':42'), r, c LIMIT 20")
+@query(f"WITH {O.WAYS}, t AS (SELECT DISTINCT CAST(floor(lat / 0.002::DOUBLE) AS INT) AS r, CAST(floor(lng / 0.002::DOUBLE) AS INT) AS c FROM pts) SELECT r AS tile_row, c AS tile_col FROM t ORDER BY md5(r || ':' || c || ':42'), r, c LIMIT 20")
 def tile_sample(spark, sf):
-    """Twenty tiles of a city, the same ones each time: the feature is the size of the sample."""
-    grid = spark.range(34).select((F.col("id") + 523).cast("int").alias("tile_row")).crossJoin(spark.range(7).select((F.col("id") + 130).cast("int").alias("tile_col")))
+    """Twenty of the small tiles that ways lie on, the same ones each time: the feature is the size of the sample."""
+    grid = src.way_points(src.ways(spark, sf)).select(geo.tile(F.col("lat"), 0.002).alias("tile_row"), geo.tile(F.col("lng"), 0.002).alias("tile_col")).distinct()
     return grid.orderBy(F.md5(F.concat_ws(":", "tile_row", "tile_col", F.lit("42")).cast("binary")), "tile_row", "tile_col").limit(20)
 
 
+@query(f"WITH {O.WAYS} SELECT way_id, idx, round(lat, 5) AS lat, round(lng, 5) AS lng FROM pts")
+def polyline_round_trip(spark, sf):
+    """All ways' vertices, encoded as polylines and decoded."""
+    lines = src.ways(spark, sf).select("way_id", T.polyline_of(F.col("coords")).alias("line"))
+    return lines.select("way_id", F.posexplode(T.polyline(F.col("line"))).alias("idx", "v")).select("way_id", "idx", F.round("v.lat", 5).alias("lat"), F.round("v.lng", 5).alias("lng"))
+
+
 @query(
     f"""WITH {O.WAYS}, a AS (SELECT way_id, lat AS la, lng AS ga FROM pts WHERE idx = 0), z AS (SELECT way_id, lat AS lz, lng AS gz FROM pts WHERE idx = {O.POINTS - 1}),
     far AS (SELECT way_id, max(abs((lz - la) * (ga - lng) - (la - lat) * (gz - ga)) / sqrt(pow(lz - la, 2) + pow(gz - ga, 2))) AS off FROM pts JOIN a USING (way_id) JOIN z USING (way_id) GROUP BY way_id)

@@ -64,6 +64,22 @@ def settings_merged(spark, sf):
     return merged.select("id", *(F.col("m")[c].alias(c) for c in ("rough", "ride", "slow")))
 
 
+@query(
+    f"""WITH {O.modes()}, s AS (SELECT s_suppkey AS id, ['kid-confident', 'training', 'own mode'][CAST(s_suppkey % 3 AS INT) + 1] AS named, s_suppkey % 10 + 1.5::DOUBLE AS ride FROM supplier),
+    d AS (SELECT mode, unnest(['ride', 'walk']) AS setting, unnest([ride_kmh::DOUBLE, walk_kmh::DOUBLE]) AS value FROM modes)
+    SELECT id, mode, setting, CASE WHEN mode = named AND setting = 'ride' THEN ride ELSE value END AS value FROM s, d
+    UNION ALL SELECT id, named, 'ride', ride FROM s WHERE named = 'own mode' UNION ALL SELECT id, named, 'extra', 1.0 FROM s WHERE id % 2 = 0"""
+)
+def settings_by_mode(spark, sf):
+    """Settings of users by mode over the modes' own: one speed of one mode, which may be theirs alone, and for some a setting that no mode has."""
+    k = F.col("s_suppkey")
+    defaults = F.create_map(*(x for m in dims.MODES for x in (F.lit(m[0]), F.create_map(F.lit("ride"), F.lit(m[5]), F.lit("walk"), F.lit(m[7])))))
+    named = F.element_at(F.array(*map(F.lit, ("kid-confident", "training", "own mode"))), (k % 3 + 1).cast("int"))
+    ride = F.map_filter(F.create_map(F.lit("ride"), k % 10 + 1.5, F.lit("extra"), F.when(k % 2 == 0, 1.0)), lambda _, v: v.isNotNull())
+    rows = table(spark, sf, "supplier").select(k.alias("id"), dims.merged_by_mode(defaults, F.create_map(named, ride)).alias("m"))
+    return rows.select("id", F.explode("m").alias("mode", "s")).select("id", "mode", F.explode("s").alias("setting", "value"))
+
+
 @query(f"WITH {O.CLS} SELECT item, path_level, {O.GOOD} AS preferred, CASE WHEN {O.GOOD} THEN path_level ELSE 'other' END IS NOT DISTINCT FROM CASE WHEN {O.GOOD} THEN {O.cases('item', dims.ITEMS)} ELSE 'other' END AS agree, count(*) AS ways FROM cls GROUP BY ALL")
 def painter_parity(spark, sf):
     """Whether the map paints ways by the level that the bar counts them under; if not, one of both is wrong."""

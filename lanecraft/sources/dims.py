@@ -94,3 +94,10 @@ def resolved(asked: Column, has_key: Column, needs_key: list[str], known: list[s
 def merged(defaults: Column, own: Column) -> Column:
     """A map of defaults under one of own settings."""
     return F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(own, k)), own)
+
+
+def merged_by_mode(defaults: Column, own: Column) -> Column:
+    """The same a level deeper: maps of settings by mode. A mode that only one of the two names keeps what that one says; null is an empty map."""
+    empty = F.create_map().cast("map<string,map<string,double>>")
+    inner = F.create_map().cast("map<string,double>")
+    return F.map_zip_with(F.coalesce(defaults, empty), F.coalesce(own, empty), lambda _, a, b: merged(F.coalesce(a, inner), F.coalesce(b, inner)))

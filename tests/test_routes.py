@@ -164,3 +164,20 @@ def test_segments_find_their_way(spark):
     points = spark.createDataFrame([(1, i, 52.5 + i * 1e-4, 13.4) for i in range(5)], "route long, idx int, lat double, lng double")
     vertices = spark.createDataFrame([(7, 0, 52.5002, 13.4001), (8, 0, 52.5002, 13.4009)], "way_id long, idx int, lat double, lng double")
     assert [tuple(r) for r in spatial.way_of_segment(points, vertices).collect()] == [(1, 7, 5)]
+
+
+def test_overrides_of_a_mode_win_over_those_of_all(spark):
+    own = {"training": {"rough_mult": 2.0, "level_mult": {"2a": 3.0}, "ride_kmh": 25.0, "slow_kmh": 9.0, "walk_kmh": 4.5}, "carrying-kid": {"level_mult": {"2a": 1.0}}}
+    got = {r["mode"]: r for r in dims.modes(spark, own, rough=7.0).collect()}
+    assert (got["training"]["rough_mult"], got["training"]["level_mult"], got["training"]["ride_kmh"], got["training"]["slow_kmh"], got["training"]["walk_kmh"]) == (2.0, {"2a": 3.0}, 25.0, 9.0, 4.5)
+    assert (got["carrying-kid"]["rough_mult"], got["carrying-kid"]["level_mult"], got["carrying-kid"]["ride_kmh"]) == (7.0, {"2a": 1.0, "2b": 1.2}, 20.0)
+    assert {r["rough_mult"] for r in dims.modes(spark).collect()} == {5.0}
+
+
+def test_polylines_of_points_are_read_back(spark):
+    points = [[], [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)], [(0.0, 0.0), (0.0, 0.0)], [(-90.0, 180.0), (90.0, -180.0)], None]
+    rows = spark.createDataFrame([(k, None if p is None else [{"lat": a, "lng": b} for a, b in p]) for k, p in enumerate(points)], "k int, coords array<struct<lat:double,lng:double>>")
+    got = {r["k"]: (r["line"], r["back"]) for r in rows.select("k", text.polyline_of(F.col("coords")).alias("line")).withColumn("back", text.polyline(F.col("line"))).collect()}
+    assert got[1][0] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@" and got[0] == ("", []) and got[4][0] is None
+    for k in (1, 2, 3):
+        assert [(r["lat"], r["lng"]) for r in got[k][1]] == points[k]
