@@ -105,20 +105,13 @@ def steps_stream(positions: DataFrame, manoeuvres: DataFrame, late: str = "10 mi
 
 
 class StepMachine(StatefulProcessor):
-    """The step machine of each trip with state of its own kinds: where the trip stands, and a timer that ends it.
-
-    With ``ttl_ms`` the state goes so long after the trip's last position by the clock (for time mode "processingTime");
-    otherwise an hour after its last position by the stream's time (time mode "eventTime").
-    """
+    """The step machine of each trip: where the trip stands, and a timer that ends it an hour after its last position by the stream's time."""
 
     HOUR_MS = 3_600_000
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.standing = handle.getValueState("standing", "step int, far boolean, near boolean", self.ttl_ms)
+        self.standing = handle.getValueState("standing", "step int, far boolean, near boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
         at: State = tuple(self.standing.get()) if self.standing.exists() else (0, False, False)
@@ -128,10 +121,9 @@ class StepMachine(StatefulProcessor):
             at, far, near = advance(at, None if pd.isna(lat) or pd.isna(lng) else (lat, lng), there)
             out.append((key[0], event, at[0], far, near))
         self.standing.update(at)
-        if self.ttl_ms is None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(int(new["ts"].max()), timers.getCurrentWatermarkInMs()) + self.HOUR_MS)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(new["ts"].max()), timers.getCurrentWatermarkInMs()) + self.HOUR_MS)
         yield pd.DataFrame(out, columns=["trip", "event_id", "step", "far", "near"])
 
     def handleExpiredTimer(self, key: Any, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -142,18 +134,15 @@ class StepMachine(StatefulProcessor):
         pass
 
 
-def step_machine(positions: DataFrame, manoeuvres: DataFrame, late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
+def step_machine(positions: DataFrame, manoeuvres: DataFrame, late: str = "10 minutes") -> DataFrame:
     """``steps_stream`` by a stateful processor; needs the state store of RocksDB (``spark.sql.streaming.stateStore.providerClass``).
 
     Positions later than ``late`` are left out. A query that is started again from its checkpoint goes on with the
-    trips where they stood. With ``ttl_ms`` trips end by the clock, and nothing is too late.
+    trips where they stood.
     """
     ahead = manoeuvres.groupBy("trip").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lng"))).alias("ahead"))
-    marked = positions
-    if ttl_ms is None:
-        marked = positions.withColumn("_at", F.timestamp_millis(F.col("ts") + 1)).withWatermark("_at", late)
-    mode = "eventTime" if ttl_ms is None else "processingTime"
-    return marked.join(ahead, "trip", "left").groupBy("trip").transformWithStateInPandas(StepMachine(ttl_ms), STEPS, "append", mode)
+    marked = positions.withColumn("_at", F.timestamp_millis(F.col("ts") + 1)).withWatermark("_at", late)
+    return marked.join(ahead, "trip", "left").groupBy("trip").transformWithStateInPandas(StepMachine(), STEPS, "append", "eventTime")
 
 
 def debounced_stream(events: DataFrame, key: str, ts: str, gap: str, late: str = "10 seconds") -> DataFrame:
