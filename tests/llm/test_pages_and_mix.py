@@ -48,8 +48,13 @@ def test_misnested_tags_take_time_as_they_are_long(piece):
 
 
 def test_mixes_come_near_every_target(spark):
-    for sf in ("sf0.001", "sf0.1"):
-        found = mixing.copies(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
-        sums = found.selectExpr("target", "source_size", "size * copies AS taken", "size").groupBy("target", "source_size").agg({"taken": "sum", "size": "min"}).collect()
-        for r in sums:
-            assert abs(r["sum(taken)"] - r["target"]) <= max(0.01 * r["target"], r["min(size)"])
+    """Within 1 % where sources are large; in small ones no document more, or less, would bring one nearer."""
+    for sf, large in (("sf0.001", False), ("sf0.1", True)):
+        sources = {}
+        for r in mixing.copies(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect():
+            sources.setdefault((r["target"], r["source_size"]), []).append((r["size"], r["copies"]))
+        for (target, _), rows in sources.items():
+            off = target - sum(size * copies for size, copies in rows)
+            if large or abs(off) > 0.01 * target:
+                able = [size for size, copies in rows if (copies < mixing.MOST if off > 0 else copies > 0)]
+                assert abs(off) <= 0.01 * target or not large and all(abs(size - abs(off)) >= abs(off) for size in able)
