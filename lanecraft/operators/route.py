@@ -17,10 +17,14 @@ from . import graph, search, segments
 
 
 def ways_on_path(steps: DataFrame) -> DataFrame:
-    """What each way adds up to on the path of ``steps(route, idx, way_id, dist, cost, is_walking)``, and its place by first use."""
+    """What each way adds up to on the path of ``steps(route, idx, way_id, dist, cost, is_walking)``, and its place by first use.
+
+    Division is IEEE's: a way whose edges take no time, as of a rider who stands still, has a speed of NaN.
+    """
     sums = steps.groupBy("route", "way_id").agg(F.count("*").alias("edges"), F.sum("dist").alias("metres"), F.sum("cost").alias("seconds"), F.bool_or("is_walking").alias("walked"), F.min("idx").alias("first"))
     place = F.row_number().over(Window.partitionBy("route").orderBy("first"))
-    return sums.withColumns({"kmh": F.col("metres") / F.col("seconds") * 3.6, "place": place}).drop("first")
+    still = F.col("metres") * F.lit(float("inf"))  # NaN of 0 metres
+    return sums.withColumns({"kmh": F.when(F.col("seconds") == 0, still).otherwise(F.try_divide("metres", "seconds")) * 3.6, "place": place}).drop("first")
 
 
 def way_runs(steps: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """What keeps a task, or the driver, from holding what grows with the tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from lanecraft.operators import route
 from lanecraft.plans import catalog
 from lanecraft.sources import ways as src
 
@@ -31,3 +34,9 @@ def test_last_edges_are_dealt_by_pairs_of_nodes(spark, many):
     assert len(held) == 5 and max(held) < sum(held) / 3
     first = catalog.graph.last_edges(catalog.all_edges(spark, many))
     assert catalog._sums(last).exceptAll(catalog._sums(first)).isEmpty()
+
+
+def test_a_way_without_time_has_no_speed(spark):
+    steps = spark.createDataFrame([(1, 0, 7, 0.0, 0.0, False), (1, 1, 7, 0.0, 0.0, False), (1, 2, 8, 10.0, 2.0, False)], "route long, idx long, way_id long, dist double, cost double, is_walking boolean")
+    got = {r["way_id"]: (r["kmh"], r["place"]) for r in route.ways_on_path(steps).collect()}
+    assert math.isnan(got[7][0]) and got[7][1] == 1 and got[8] == (18.0, 2)
