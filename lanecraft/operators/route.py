@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lanecraft.functions import geo, streets
 from lanecraft.sources import dims
 
-from . import graph, search, segments
+from . import graph, search, segments, spatial
 
 
 def ways_on_path(steps: DataFrame) -> DataFrame:
@@ -110,15 +110,30 @@ class _Corridor:
         return search.cheapest(self.out, {start: 0.0}, [goal], bound).path(goal)
 
 
+def _box(pad: float) -> dict[str, Column]:
+    """The tiles that bound a request."""
+    return {n: geo.tile(f(*(F.col(f"{c}{k}") for k in (1, 2))) + s * F.lit(pad)) for n, f, c, s in (("s", F.least, "lat", -1), ("n", F.greatest, "lat", 1), ("w", F.least, "lng", -1), ("e", F.greatest, "lng", 1))}
+
+
+def _tile() -> dict[str, Column]:
+    """The tile of an edge, which is its start's."""
+    return {"tile_row": geo.tile(F.floor(F.col("src") / 100_000_000) / 1e5 - 90), "tile_col": geo.tile(F.pmod(F.col("src"), F.lit(100_000_000).cast("long")) / 1e5 - 180)}
+
+
+def in_corridors(edges: DataFrame, asked: DataFrame, pad: float) -> DataFrame:
+    """``edges(mode, src)`` in the tiles of any request of their mode."""
+    boxes = asked.select("mode", *(c.alias(n) for n, c in _box(pad).items())).distinct()
+    tiles = boxes.withColumn("tile_row", F.explode(F.sequence("s", "n"))).withColumn("tile_col", F.explode(F.sequence("w", "e"))).select("mode", "tile_row", "tile_col").distinct().checkpoint()
+    return edges.withColumns(_tile()).join(spatial.counted(tiles), ["mode", "tile_row", "tile_col"], "left_semi").drop("tile_row", "tile_col")
+
+
 def corridors(asked: DataFrame, links: DataFrame, every: DataFrame, pad: float) -> tuple[DataFrame, DataFrame]:
     """The edges of each corridor that is asked for, and its requests, both by corridor and share. See ``shared_paths``."""
-    box = {n: geo.tile(f(*(F.col(f"{c}{k}") for k in (1, 2))) + s * F.lit(pad)) for n, f, c, s in (("s", F.least, "lat", -1), ("n", F.greatest, "lat", 1), ("w", F.least, "lng", -1), ("e", F.greatest, "lng", 1))}
     key = ["mode", "s", "n", "w", "e", "avoid"]
-    wanted = asked.withColumns(box).withColumn("avoid", F.array_sort(F.array_distinct(F.coalesce("avoid", F.array().cast("array<bigint>"))))).withColumn("corridor", F.xxhash64(*key))
+    wanted = asked.withColumns(_box(pad)).withColumn("avoid", F.array_sort(F.array_distinct(F.coalesce("avoid", F.array().cast("array<bigint>"))))).withColumn("corridor", F.xxhash64(*key))
     groups = wanted.groupBy("corridor", *key).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("shares")).checkpoint()
     tiles = groups.withColumn("tile_row", F.explode(F.sequence("s", "n"))).withColumn("tile_col", F.explode(F.sequence("w", "e"))).select("corridor", "mode", "avoid", "shares", "tile_row", "tile_col")
-    tile = {"tile_row": geo.tile(F.floor(F.col("src") / 100_000_000) / 1e5 - 90), "tile_col": geo.tile(F.pmod(F.col("src"), F.lit(100_000_000).cast("long")) / 1e5 - 180)}
-    met = lambda some, edges: some.join(edges.withColumns(tile), ["mode", "tile_row", "tile_col"])
+    met = lambda some, edges: some.join(edges.withColumns(_tile()), ["mode", "tile_row", "tile_col"])
     plain = met(tiles.where(F.size("avoid") == 0), links).select("corridor", "shares", *EDGE)
     others = met(tiles.where(F.size("avoid") > 0), every).where(~F.array_contains("avoid", F.col("way_id")))
     others = others.groupBy("corridor", "shares", "src", "dst").agg(F.max_by(F.struct(*EDGE[2:]), "ord").alias("e")).select("corridor", "shares", "src", "dst", "e.*")
@@ -178,8 +193,8 @@ def client_routes(
     classed = graph.with_class(ways, t)
     if adjust:
         classed = adjust(classed)
-    every = graph.edges(graph.decided(classed, modes), preferred, elevation, t=t).select("mode", "src", "dst", "dist", "cost", "way_id", "is_walking", "ord").join(classed.select("way_id", "item"), "way_id")
-    every = every.checkpoint()
+    every = graph.edges(graph.decided(classed, modes), preferred, elevation, t=t, keep=("item",)).select("mode", *EDGE, "ord")
+    every = in_corridors(every, asked, pad).checkpoint()
     last = F.max_by(F.struct(*EDGE[2:]), "ord").alias("e")
     links = every.groupBy("mode", "src", "dst").agg(last).select("mode", "src", "dst", "e.*").checkpoint()
     avoid = F.col("avoid").cast("array<bigint>") if "avoid" in asked.columns else F.lit(None).cast("array<bigint>")

@@ -104,3 +104,11 @@ def test_lines_meet_ways_in_any_share(spark, monkeypatch, held):
         ways = {w for w, lat, lng in vertices if abs(tile(lat) - tile(a)) <= 1 and abs(tile(lng) - tile(b)) <= 1}
         sums = [(round(sum(min(abs(lat - r["lat"]) + abs(lng - r["lng"]) for v, lat, lng in vertices if v == w) for r in rows), 9), w) for w in ways]
         assert got[line] == ((min(sums)[1], pytest.approx(min(sums)[0])) if sums else (None, None))
+
+
+def test_only_edges_of_corridors_are_kept(spark):
+    node = lambda lat, lng: round((lat + 90) * 1e5) * 100_000_000 + round((lng + 180) * 1e5)
+    edges = spark.createDataFrame([(m, node(52.54 + k / 10, 13.44), k) for m in ("a", "b") for k in range(9)], "mode string, src long, k int")
+    asked = spark.createDataFrame([(1, "a", 52.55, 13.45, 52.65, 13.45), (2, "a", None, None, None, None)], "route long, mode string, lat1 double, lng1 double, lat2 double, lng2 double")
+    kept = route.in_corridors(edges, asked, 0.01)
+    assert kept.columns == edges.columns and sorted((r["mode"], r["k"]) for r in kept.collect()) == [("a", 0), ("a", 1)]
