@@ -99,19 +99,25 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def on_tile(lat: Column, lng: Column, zoom: int = ZOOM) -> dict[str, Column]:
-    """The tile and the pixel of a place; ``pixel`` counts along the lines."""
+    """The tile and the pixel of a place; ``pixel`` counts along the lines. Beyond the poles, where the grid ends, ``y`` is null."""
     x, y = geo.mercator_tile(lat, lng, zoom)
     return {"x": F.floor(x).cast("int"), "y": F.floor(y).cast("int"), "pixel": geo.pixel(y) * SIZE + geo.pixel(x)}
 
 
+def tiles_of(places: DataFrame, zoom: int = ZOOM) -> DataFrame:
+    """x and y of the tiles that ``places(lat, lng)`` lie on; none for a place without a tile."""
+    at = on_tile(F.col("lat"), F.col("lng"), zoom)
+    return places.select(at["x"].alias("x"), at["y"].alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct()
+
+
 def heights(places: DataFrame, tiles: DataFrame, zoom: int = ZOOM) -> DataFrame:
-    """``lat``, ``lng`` and ``metres`` of all different ``places(lat, lng)``; null without tile, or where it can't be decoded.
+    """``lat``, ``lng`` and ``metres`` of all different ``places(lat, lng)``; null without tile (beyond the poles, too), or where it can't be decoded.
 
     ``tiles(z, x, y, png)``. A task decodes a tile for the pixels that are asked for, which are no more than it has however
     many places lie on it; of several rows of one tile any one that can be decoded counts.
     """
     asked = places.select("lat", "lng").distinct().withColumns(on_tile(F.col("lat"), F.col("lng"), zoom))
-    wanted = asked.select("x", "y", "pixel").distinct()
+    wanted = asked.select("x", "y", "pixel").where("x IS NOT NULL AND y IS NOT NULL").distinct()
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         at = np.array([p for p in table.column("pixel").to_pylist() if p is not None], np.int64)

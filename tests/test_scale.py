@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanecraft.operators import route, spatial
-from lanecraft.plans import catalog
+from lanecraft.plans import catalog, more
+from lanecraft.sources import terrain
 from lanecraft.sources import ways as src
 
 
@@ -112,3 +113,23 @@ def test_only_edges_of_corridors_are_kept(spark):
     asked = spark.createDataFrame([(1, "a", 52.55, 13.45, 52.65, 13.45), (2, "a", None, None, None, None)], "route long, mode string, lat1 double, lng1 double, lat2 double, lng2 double")
     kept = route.in_corridors(edges, asked, 0.01)
     assert kept.columns == edges.columns and sorted((r["mode"], r["k"]) for r in kept.collect()) == [("a", 0), ("a", 1)]
+
+
+def test_ways_beyond_the_pole_have_no_height(spark, tmp_path):
+    """Large tables have ways on and beyond the pole, where the grid of pictures ends."""
+    keys = [0, 1, 1_874_032, 1_875_999, 1_876_001, 1_876_058, 7_000_000]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["lat"], r["lng"]): r["metres"] for r in catalog.QUERIES["elevation_lookup"](spark, str(tmp_path)).collect()}
+    ways = src.ways(spark, str(tmp_path))
+    vertices = {(r["lat"], r["lng"]) for r in src.way_points(ways).collect()}
+    want = {}
+    for lat, lng in vertices:
+        want[lat, lng], rad = None, math.radians(lat)
+        if lat < 90:
+            x, y = (lng + 180) / 360 * 4096, (1 - math.log(math.tan(rad) + 1 / math.cos(rad)) / math.pi) / 2 * 4096
+            i, j = (math.floor((c - math.floor(c)) * 256) for c in (x, y))
+            want[lat, lng] = pytest.approx(-10000 + (100000 + math.fmod(j * 37 + i * 91 + math.floor(x) * 5 + math.floor(y) * 3, 400)) * 0.1, abs=1e-3)
+    assert any(lat > 90 for lat, _ in vertices) and any(89.98 < lat < 90 for lat, _ in vertices)
+    assert got == want
+    ends = {r["way_id"]: r["metres1"] is not None and r["metres2"] is not None for r in terrain.with_ends(ways, more.hills(ways)).collect()}
+    assert ends == {k: k < 1_876_000 for k in keys}
