@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,23 +64,26 @@ def manoeuvre_points(manoeuvres: DataFrame, points: DataFrame) -> DataFrame:
 EDGE = ("src", "dst", "dist", "cost", "way_id", "is_walking", "item")
 PATH = "route long, idx int, src long, dst long, dist double, cost double, way_id long, is_walking boolean, item string, graph_nodes long, graph_edges long"
 #: Requests that a task routes over one graph, about, and from how many on landmarks pay.
-TOGETHER, LANDMARKS_FROM = 128, 16
+TOGETHER, LANDMARKS_FROM = 1024, 16
+#: From how many requests of one start on a search that reaches everything pays, instead of one for each goal.
+SEARCH_FROM = 4
+#: Ways of a task.
+WAYS = 2000
 
 
 class _Corridor:
     """The graph of a corridor, held once for all its requests."""
 
     def __init__(self, rows: pa.Table):
-        columns = [rows.column(c).to_pylist() for c in EDGE]
-        self.edges = {(e[0], e[1]): e for e in zip(*columns, strict=True)}
-        self.out = search.links(*columns[:2], columns[3])
+        src, dst, cost = (rows.column(c).to_pylist() for c in ("src", "dst", "cost"))
+        self.edges = {pair: at for at, pair in enumerate(zip(src, dst, strict=True))}
+        self.out = search.links(src, dst, cost)
         self.into = {d for _, d in self.edges}
         self.nodes = np.array(sorted({n for pair in self.edges for n in pair}), np.int64)
         self.lat, self.lng = self.nodes // 100_000_000 / 1e5 - 90, self.nodes % 100_000_000 / 1e5 - 180
         self.leaving = np.isin(self.nodes, np.fromiter(self.out, np.int64, len(self.out)))
-        self.speed = max((e[2] / e[3] for e in self.edges.values() if e[3] > 0), default=1.0) or 1.0
-        self.reach: dict[int, np.ndarray] = {}
-        self.landmarks: search.Landmarks | None = None
+        self.speed = max((d / c for d, c in zip(rows.column("dist").to_pylist(), cost, strict=True) if c > 0), default=1.0) or 1.0
+        self.starts: dict[tuple[float, float], int | None] = {}
 
     def nearest(self, lat: float, lng: float, among: np.ndarray, reach_m: float) -> int | None:
         """The node among those of a mask that is nearest, of equally near ones the smallest id; None if it is farther than ``reach_m``."""
@@ -91,23 +94,31 @@ class _Corridor:
         best = int(far.argmin())
         return int(self.nodes[among][best]) if far[best] <= reach_m else None
 
-    def goals(self, start: int) -> np.ndarray:
-        """Which nodes a path from ``start`` can end at: those that are reached and have a link into them; only the start itself if there is none."""
-        if start not in self.reach:
-            found = search.reached(self.out, [start])
-            ends = found & self.into or {start}
-            self.reach[start] = np.isin(self.nodes, np.fromiter(ends, np.int64, len(ends)))
-        return self.reach[start]
-
-    def path(self, lat1: float, lng1: float, lat2: float, lng2: float, reach_m: float) -> list[int] | None:
-        start = self.nearest(lat1, lng1, self.leaving, reach_m)
-        goal = None if start is None else self.nearest(lat2, lng2, self.goals(start), reach_m)
-        if goal is None:
-            return None
-        bound = search.straight(goal, self.speed)
-        if self.landmarks:
-            bound = search.larger(bound, self.landmarks.bound(goal))
-        return search.cheapest(self.out, {start: 0.0}, [goal], bound).path(goal)
+    def start(self, lat: float, lng: float, reach_m: float) -> int | None:
+        """The nearest node that an edge leaves."""
+        if (lat, lng) not in self.starts:
+            self.starts[lat, lng] = self.nearest(lat, lng, self.leaving, reach_m)
+        return self.starts[lat, lng]
+
+    def paths(self, start: int, ends: list[tuple[float, float]], reach_m: float, landmarks: search.Landmarks | None) -> Iterator[list[int] | None]:
+        """A path from ``start`` for each of ``ends``, to the nearest node that one can end at: it is reached and has a link into it; only the start itself if there is none."""
+        whole = search.cheapest(self.out, {start: 0.0}) if len(ends) >= SEARCH_FROM else None
+        held = (whole.cost.keys() if whole else search.reached(self.out, [start])) & self.into or {start}
+        mask = np.isin(self.nodes, np.fromiter(held, np.int64, len(held)))
+        goals: dict[tuple[float, float], int | None] = {}
+        for end in ends:
+            if end not in goals:
+                goals[end] = self.nearest(*end, mask, reach_m)
+            goal = goals[end]
+            if goal is None:
+                yield None
+            elif whole:
+                yield whole.path(goal)
+            else:
+                bound = search.straight(goal, self.speed)
+                if landmarks:
+                    bound = search.larger(bound, landmarks.bound(goal))
+                yield search.cheapest(self.out, {start: 0.0}, [goal], bound).path(goal)
 
 
 def _box(pad: float) -> dict[str, Column]:
@@ -120,10 +131,24 @@ def _tile() -> dict[str, Column]:
     return {"tile_row": geo.tile(F.floor(F.col("src") / 100_000_000) / 1e5 - 90), "tile_col": geo.tile(F.pmod(F.col("src"), F.lit(100_000_000).cast("long")) / 1e5 - 180)}
 
 
+def tiles_of(asked: DataFrame, pad: float) -> DataFrame:
+    """mode, tile_row and tile_col of all tiles that requests touch."""
+    boxes = asked.select("mode", *(c.alias(n) for n, c in _box(pad).items())).distinct()
+    return boxes.withColumn("tile_row", F.explode(F.sequence("s", "n"))).withColumn("tile_col", F.explode(F.sequence("w", "e"))).select("mode", "tile_row", "tile_col").distinct()
+
+
+def near(ways: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``ways`` with a vertex in any of ``tiles``, whatever its mode, dealt anew. Ids are found first, so that nothing else of other ways is worked out."""
+    # An outer explosion, as an inner one tests for vertices where the table is read, in as few tasks as it has files.
+    at = ways.select("way_id", F.explode_outer("coords").alias("v")).select("way_id", graph.node_id("v").alias("src")).withColumns(_tile())
+    found = at.join(spatial.counted(tiles.select("tile_row", "tile_col").distinct()), ["tile_row", "tile_col"], "left_semi").select("way_id").distinct().checkpoint()
+    held = ways.join(spatial.counted(found.toDF("_near")), F.col("way_id").eqNullSafe(F.col("_near")), "left_semi")
+    return held.repartition(max(math.ceil(found.count() / WAYS), 1), "way_id")
+
+
 def in_corridors(edges: DataFrame, asked: DataFrame, pad: float) -> DataFrame:
     """``edges(mode, src)`` in the tiles of any request of their mode."""
-    boxes = asked.select("mode", *(c.alias(n) for n, c in _box(pad).items())).distinct()
-    tiles = boxes.withColumn("tile_row", F.explode(F.sequence("s", "n"))).withColumn("tile_col", F.explode(F.sequence("w", "e"))).select("mode", "tile_row", "tile_col").distinct().checkpoint()
+    tiles = tiles_of(asked, pad).checkpoint()
     return edges.withColumns(_tile()).join(spatial.counted(tiles), ["mode", "tile_row", "tile_col"], "left_semi").drop("tile_row", "tile_col")
 
 
@@ -138,8 +163,12 @@ def corridors(asked: DataFrame, links: DataFrame, every: DataFrame, pad: float)
     others = met(tiles.where(F.size("avoid") > 0), every).where(~F.array_contains("avoid", F.col("way_id")))
     others = others.groupBy("corridor", "shares", "src", "dst").agg(F.max_by(F.struct(*EDGE[2:]), "ord").alias("e")).select("corridor", "shares", "src", "dst", "e.*")
     own = plain.unionByName(others).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    shares = groups.select(F.col("corridor").alias("_corridor"), "shares")
-    dealt = wanted.join(shares, F.col("corridor") == F.col("_corridor")).withColumn("share", F.pmod(F.xxhash64("route"), "shares").cast("int"))
+    # Requests that start near each other go to one share, but in pieces, lest a start that many have fills it.
+    cell = [F.coalesce(geo.tile(F.col(c), 0.001), F.lit(0)).alias(n) for c, n in (("lat1", "_row"), ("lng1", "_col"))]
+    pieces = wanted.groupBy("corridor", *cell).agg(F.ceil(F.count("*") / TOGETHER).alias("pieces")).checkpoint()
+    shares = groups.select("corridor", "shares")
+    dealt = wanted.select("*", *cell).join(spatial.counted(pieces), ["corridor", "_row", "_col"]).join(spatial.counted(shares), "corridor")
+    dealt = dealt.withColumn("share", F.pmod(F.xxhash64("_row", "_col", F.pmod(F.xxhash64("route"), "pieces")), "shares").cast("int"))
     return own, dealt.select("corridor", "share", "route", "lat1", "lng1", "lat2", "lng2")
 
 
@@ -149,35 +178,42 @@ def shared_paths(asked: DataFrame, links: DataFrame, every: DataFrame, pad: floa
     Requests of a mode whose padded boxes touch the same tiles, and that avoid the same ways, share a graph: ``links`` (one for
     each pair of nodes) in those tiles, or the last of ``every`` edge that isn't on an avoided way. So the edges that are
     shuffled grow with the corridors that are asked for, not with the requests; more than TOGETHER requests of a
-    corridor are dealt to several tasks. The start is the nearest node that an edge leaves, the end the nearest that can be
+    corridor are dealt to several tasks, those that start near each other to the same one, as SEARCH_FROM and more of one start
+    share a search. The start is the nearest node that an edge leaves, the end the nearest that can be
     reached, both within ``reach_m``. A path of one node has a row without edge (idx 0, dst null); a request without a path none.
     """
     own, dealt = corridors(asked, links, every, pad)
     dealt = dealt.toDF(*dealt.columns)  # new columns, as both come from the requests
 
     def run(edges: pa.Table, requests: pa.Table) -> pa.Table:
-        rows = []
+        routes, steps, nodes, taken, sizes = [], [], [], [], (0, 0)
         if edges.num_rows and requests.num_rows:
-            graph = _Corridor(edges)
-            if requests.num_rows >= LANDMARKS_FROM:
-                graph.landmarks = search.Landmarks(graph.out)
-            sizes = len(graph.nodes), len(graph.edges)
+            graph, asked = _Corridor(edges), {}
             for route, *ends in zip(*(requests.column(c).to_pylist() for c in ("route", "lat1", "lng1", "lat2", "lng2")), strict=True):
-                path = None if None in ends else graph.path(*ends, reach_m)
-                if path and len(path) == 1:
-                    rows.append((route, 0, path[0], *[None] * 6, *sizes))
-                elif path:
-                    rows += [(route, i, *graph.edges[pair], *sizes) for i, pair in enumerate(zip(path, path[1:], strict=False))]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
-        names = ["route", "idx", *EDGE, "graph_nodes", "graph_edges"]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 11, types, strict=True)], names=names)
+                start = None if None in ends else graph.start(*ends[:2], reach_m)
+                if start is not None:
+                    asked.setdefault(start, []).append((route, tuple(ends[2:])))
+            alone = sum(len(some) for some in asked.values() if len(some) < SEARCH_FROM)
+            landmarks = search.Landmarks(graph.out) if alone >= LANDMARKS_FROM else None
+            sizes = len(graph.nodes), len(graph.edges)
+            for start, some in asked.items():
+                for (route, _), path in zip(some, graph.paths(start, [end for _, end in some], reach_m, landmarks), strict=True):
+                    found = [] if path is None else [graph.edges[pair] for pair in zip(path, path[1:], strict=False)] or [None]
+                    routes += [route] * len(found)
+                    steps += range(len(found))
+                    nodes += path[: len(found)] if path else ()
+                    taken += found
+        of = edges.select([c for c in EDGE if c != "src"]).take(pa.array(taken, pa.int64()))
+        out = {"route": pa.array(routes, pa.int64()), "idx": pa.array(steps, pa.int32()), "src": pa.array(nodes, pa.int64())}
+        out |= {c: of.column(c) for c in of.column_names}
+        return pa.table(out | {n: pa.array([k] * len(routes), pa.int64()) for n, k in zip(("graph_nodes", "graph_edges"), sizes, strict=True)})
 
     return own.groupBy("corridor", "share").cogroup(dealt.groupBy("corridor", "share")).applyInArrow(run, PATH)
 
 
 def client_routes(
     asked: DataFrame, ways: DataFrame, modes: DataFrame, preferred: Column, pad: float = 0.05, t: streets.Tags = streets.flat,
-    adjust: Callable[[DataFrame], DataFrame] | None = None, elevation: tuple[Column, Column] | None = None,
+    adjust: Callable[[DataFrame], DataFrame] | None = None, elevation: tuple[Column, Column] | None = None, lifted: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Whole requests ``asked(route, mode, lat1, lng1, lat2, lng2)``, with ``avoid`` (ids of ways) where there is such a column: totals and segments.
 
@@ -187,9 +223,14 @@ def client_routes(
     the first edge has no item either. Levels are the legend's by item; walked segments have none.
 
     ``adjust`` changes classified ways before modes decide on them (a region's rules, a rider's preference); ``elevation``
-    are Columns of ``ways`` for the metres at a way's ends, null where unknown. ``preferred`` says whether ``item`` is one that
-    the mode prefers. How requests share graphs: see ``shared_paths``. Rows with null coordinates are not found.
+    are Columns of ``ways`` for the metres at a way's ends, null where unknown, or of what ``lifted`` makes of those ways that lie
+    in the tiles of requests; no others are lifted or classified. ``preferred`` says whether ``item`` is one that the mode
+    prefers. How requests share graphs: see ``shared_paths``. Rows with null coordinates are not found.
     """
+    asked = asked.checkpoint()  # read several times
+    ways = near(ways, tiles_of(asked, pad).checkpoint()).checkpoint()
+    if lifted:
+        ways = lifted(ways).checkpoint()
     classed = graph.with_class(ways, t)
     if adjust:
         classed = adjust(classed)

@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lanecraft.operators import route, spatial
+from lanecraft.functions import streets
+from lanecraft.operators import route, search, spatial
 from lanecraft.plans import catalog, more
-from lanecraft.sources import terrain
+from lanecraft.sources import dims, terrain
 from lanecraft.sources import ways as src
 
 
@@ -133,3 +134,61 @@ def test_ways_beyond_the_pole_have_no_height(spark, tmp_path):
     assert got == want
     ends = {r["way_id"]: r["metres1"] is not None and r["metres2"] is not None for r in terrain.with_ends(ways, more.hills(ways)).collect()}
     assert ends == {k: k < 1_876_000 for k in keys}
+
+
+def test_only_ways_in_the_tiles_of_requests_are_lifted(spark):
+    point = lambda lat, lng: {"lat": lat, "lng": lng}
+    rows = [(k, {"highway": "cycleway"}, [point(52.54 + k / 10, 13.44), point(52.541 + k / 10, 13.44)]) for k in range(40)]
+    rows += [(90, {"highway": "cycleway"}, [point(0.0, 0.0), point(52.551, 13.44)]), (91, {}, []), (92, {}, None), (None, {"highway": "cycleway"}, [point(52.545, 13.44), point(52.546, 13.44)])]
+    ways = spark.createDataFrame(rows, "way_id long, tags map<string,string>, coords array<struct<lat:double,lng:double>>")
+    asked = spark.createDataFrame([(1, "kid-confident", 52.54, 13.44, 52.541, 13.44), (2, "kid-confident", 52.74, 13.44, 52.741, 13.44), (3, "kid-confident", None, None, None, None)], "route long, mode string, lat1 double, lng1 double, lat2 double, lng2 double")
+    lifted = []
+
+    def lift(some):
+        lifted.extend(r["way_id"] for r in some.select("way_id").collect())
+        return some.withColumn("up", F.lit(0.0))
+
+    found, _ = route.client_routes(asked, ways, dims.modes(spark), F.lit(True), pad=0.01, t=streets.of_map("tags"), elevation=(F.col("up"), F.col("up")), lifted=lift)
+    assert {r["route"]: r["found"] for r in found.collect()} == {1: True, 2: True, 3: False}
+    assert sorted(lifted, key=str) == [0, 2, 90, None]
+
+
+def test_requests_of_a_start_share_a_task_and_a_search(spark, monkeypatch):
+    """Many requests of a few starts have the cheapest paths, by few searches, and no share holds too many of them."""
+    monkeypatch.setattr(route, "TOGETHER", 20)
+    draw, side = random.Random(4), 12
+    node = lambda i, j: (14_250_000 + 200 * i) * 100_000_000 + 19_344_000 + 200 * j
+    pairs = [((i, j), (i + a, j + b)) for i in range(side) for j in range(side) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if 0 <= i + a < side and 0 <= j + b < side and draw.random() < 0.8]
+    links = [("m", node(*a), node(*b), 200.0, draw.uniform(60, 200), k, False, None) for k, (a, b) in enumerate(pairs)]
+    edges = spark.createDataFrame(links, "mode string, src long, dst long, dist double, cost double, way_id long, is_walking boolean, item string").withColumn("ord", F.struct("way_id")).checkpoint()
+    spots = [(draw.randrange(side), draw.randrange(side)) for _ in range(9)]
+    ends = [(spots[0] if k % 2 else spots[k % 9], (draw.randrange(side), draw.randrange(side))) for k in range(300)]
+    place = lambda c: (52.5 + 0.002 * c[0], 13.44 + 0.002 * c[1])
+    table = [(k, "m", *place(a), *place(b), None) for k, (a, b) in enumerate(ends)]
+    asked = spark.createDataFrame(table, "route long, mode string, lat1 double, lng1 double, lat2 double, lng2 double, avoid array<long>")
+    _, dealt = route.corridors(asked, edges, edges, 0.05)
+    held = {}
+    for r in dealt.collect():
+        held.setdefault(r["share"], []).append((r["lat1"], r["lng1"]))
+    assert sum(map(len, held.values())) == 300 and max(map(len, held.values())) <= 100
+    assert sum(len(set(starts)) for starts in held.values()) <= 40  # 300 requests of 9 starts
+    out, got = search.links(*zip(*((s, d, c) for _, s, d, _, c, *_ in links), strict=True)), {}
+    for r in sorted(route.shared_paths(asked, edges, edges).collect(), key=lambda r: (r["route"], r["idx"])):
+        got.setdefault(r["route"], []).append(r)
+    for k, (a, b) in enumerate(ends):
+        best = search.cheapest(out, {node(*a): 0.0}).cost
+        rows = got.get(k, [])
+        assert [r["idx"] for r in rows] == list(range(len(rows)))
+        if a != b and node(*b) in best:
+            assert rows[0]["src"] == node(*a) and rows[-1]["dst"] == node(*b)
+            assert all(x["dst"] == y["src"] for x, y in zip(rows, rows[1:], strict=False)) and all(out[r["src"]][r["dst"]] == r["cost"] and links[r["way_id"]][1:3] == (r["src"], r["dst"]) for r in rows)
+            assert sum(r["cost"] for r in rows) == pytest.approx(best[node(*b)])
+    searches = []
+    cheapest = search.cheapest
+    monkeypatch.setattr(search, "cheapest", lambda *a: searches.append(1) or cheapest(*a))
+    own = route._Corridor(edges.toArrow())
+    start = own.start(*place(spots[0]), 100.0)
+    paths = list(own.paths(start, [place(b) for _, b in ends[:50]], 100.0, None))
+    assert len(searches) == 1 and len(paths) == 50
+    few = list(own.paths(start, [place(b) for _, b in ends[:3]], 100.0, None))
+    assert few == paths[:3] and len(searches) == 1 + sum(p is not None for p in few)
